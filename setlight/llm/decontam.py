@@ -137,7 +137,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item (null ids stay unless their own row leaks)."""
-    bad = contaminated(docs.withColumn("doc_id", F.xxhash64("text")), benchmark, **settings).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.xxhash64("text") == F.col("_leak"), "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, gram: int = 3, shard_chars: int = 20_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; one pass for each shard of items, nothing is shuffled."""
+    spark, kept = docs.sparkSession, docs
+    for items in item_shards(benchmark, shard_chars):
+        shared = spark.sparkContext.broadcast(ItemIndex(items, gram))
+
+        def clean(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            index = shared.value
+            return batch.filter(pa.array([not index.matches(x, gram, threshold, question, answer) for x in batch.column("text").to_pylist()], pa.bool_()))
+
+        kept = kept.mapInArrow(per_batch(clean), docs.schema)
+    return kept
