@@ -1,4 +1,6 @@
 """All queries of the analytics part, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import q_concerts, q_listening  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
