@@ -1,6 +1,6 @@
 """All queries of the analytics part, by name."""
 
-from . import q_concerts, q_functions, q_listening, q_sets  # noqa: F401  they register their queries
+from . import q_concerts, q_functions, q_links, q_listening, q_sets, q_sources  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
