@@ -22,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORDS = "[a-z0-9]+"
 SHINGLE = 5
 
@@ -109,7 +111,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     long_enough = words.where(F.size("w") >= SHINGLE)
     hashes = kept_apart(long_enough, "h", F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), shingle), "doc_id")
     some = kept_apart(hashes, "t", F.array_intersect("h", wanted), "doc_id", "h").where(F.size("t") > 0)
-    hits = kept_apart(some, "hits", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains("t", F.get("h", i))), "doc_id", "h")
+    # few documents have such a shingle; written once, they serve all classes of windows
+    hits = cut(kept_apart(some, "hits", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains("t", F.get("h", i))), "doc_id", "h"), "license-hits")
 
     found = None
     for m in sorted({len(s) for _, _, s in template_shingles(templates)}):
