@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 
 from setlight.llm import decontam, jaccard, line_dedup, mixing, toxicity
 from setlight.llm.common import cut, table
+from setlight.shipping import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    ship(spark)
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their repeated lines; n_chars follows."""
+    ship(spark)
     out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
@@ -28,16 +31,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays."""
+    ship(spark)
     return jaccard.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    ship(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The reading order: every document at least once, small sources up to twice."""
+    ship(spark)
     return mixing.mix(docs)
 
 
