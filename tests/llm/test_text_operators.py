@@ -252,3 +252,12 @@ def test_hash_of_kept_text(spark):
     frame = spark.createDataFrame([(1, "a\r\nb"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: hashlib.sha256(r.kept.encode()).hexdigest() for r in line_dedup.dedup_lines(frame).collect()}
     assert got == {1: hashlib.sha256(b"a\r\nb").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(100, 140)] + [(7, 7)]
+    star = [(50, i) for i in range(51, 80)] + [(3, 79), (60, 61), (61, 60)]
+    rows = spark.createDataFrame([(v, u) if u % 2 else (u, v) for u, v in chain + star], "u long, v long")
+    found = {r["node"]: r["label"] for r in jaccard.components(rows).collect()}
+    assert found == {i: 100 for i in range(100, 141)} | {i: 3 for i in (3, *range(50, 80))}
+    assert jaccard.components(rows.where("u = 7")).count() == 0
