@@ -5,9 +5,10 @@
 2. A lexicon: log-odds of words and word beginnings between toxic and clean labelled documents, as a
    lower confidence bound, from at most ``sample`` labelled documents outside the held-out fold.
    Copies of a text count once.
-3. For each text, tokens that may be written in disguise (leetspeak, repeated letters, letters
-   spaced or dotted apart) become character lattices; Viterbi decoding under the language model picks
-   the likeliest spelling. All other tokens have one path only and stay.
+3. For each text, every token that may be written in disguise (a leetspeak character anywhere, a
+   repeated letter, letters spaced or dotted apart) becomes a character lattice, with the marks at its
+   edges and without them; Viterbi decoding under the language model picks the likeliest spelling of
+   each form. All other tokens have one path only and stay.
 4. The restored text is scored: the strongest words give a logistic score whose weights are fitted on
    a third fold of the sample.
 
@@ -33,6 +34,7 @@ from .common import held_out, one_label, per_batch
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
+STATE = (1 << ((ORDER - 1) * BITS)) - 1
 BLANK, OTHER, DIGIT, MARK = 0, 27, 28, 29
 
 #: Letters that a character may stand for in leetspeak.
@@ -41,9 +43,13 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "µ": "u",
 }
 GAP = " .-_*"
-SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\s.,;:!?])")
-DISGUISED = re.compile(r"[^\W\d_][^\s]*[0-9@$!|+€£¡(µ]+[^\W\d_]|[0-9@$!|+€£¡(µ]+[^\W\d_]|([^\W\d_])\1\1")
+SPACED = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*]+[^\W_]){2,}(?![^\s.,;:!?])")
+DISGUISED = re.compile(rf"[{re.escape(''.join(LEET))}]|([^\W\d_])\1")
+CHOICES = re.compile(rf"(.)\1+|[{re.escape(''.join(LEET) + GAP)}]", re.S)
+TRAILING = re.compile(r"(\W)\1+$")
 EDGES = ".,;:!?\"'()[]{}<>*#%&~^=/\\-_`"
+#: Marks at the edges that stand for no letter.
+OUTER = "".join(x for x in EDGES if x not in LEET)
 
 
 def fold(ch: str) -> int:
@@ -57,6 +63,7 @@ def fold(ch: str) -> int:
 
 
 FOLD = np.array([fold(chr(i)) if i else BLANK for i in range(0x3000)], np.uint8)
+SYMBOLS = FOLD.tobytes()  # single symbols are read faster from bytes
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -102,38 +109,45 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each run of equal characters its possible spellings, with the channel's log-probability."""
-    out, chars = [], token.lower()
-    for m in re.finditer(r"(.)\1*", chars, re.S):
-        ch, n = m[1], len(m[0])
+    out, chars, end = [], token.lower(), 0
+    for m in CHOICES.finditer(chars):
+        if m.start() > end:  # between the runs with a choice; all states are one after three symbols
+            out += [[(x, 0.0)] for x in (chars[end : m.start()][:3], chars[end : m.start()][3:]) if x]
+        end = m.end()
+        ch, n = m[0][0], len(m[0])
         if ch in GAP:
             out.append([("", -0.5), (" ", -2.0)])
         elif ch in LEET:
             out.append([(x * (n if n < 3 else 1), -0.7) for x in LEET[ch]] + [(ch * n, -1.5)])
         elif n >= 3:
             out.append([(ch, -0.7), (ch * 2, -0.9), (ch * n, -4.0)])
-        elif n == 2:
-            out.append([(ch * 2, 0.0), (ch, -2.0)])
         else:
-            out.append([(ch, 0.0)])
-    return out
+            out.append([(ch * 2, 0.0), (ch, -2.0)])
+    return out + [[(x, 0.0)] for x in (chars[end:][:3], chars[end:][3:]) if x]
 
 
 def restore(token: str, model: np.ndarray) -> str:
     """The Viterbi path through the token's lattice; a state is the last three symbols."""
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    log_p, known = memoryview(model), len(SYMBOLS)
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # a path is (path before, text)
     for choices in [*lattice(token), [(" ", 0.0)]]:
-        after: dict[int, tuple[float, str]] = {}
+        after: dict[int, tuple[float, tuple]] = {}
         for state, (score, said) in states.items():
             for text, channel in choices:
                 s, total = state, score + channel
                 for ch in text:
-                    code = s << BITS | (int(FOLD[ord(ch)]) if ord(ch) < len(FOLD) else OTHER)
-                    total += float(model[code])
-                    s = code & ((1 << (3 * BITS)) - 1)
+                    point = ord(ch)
+                    code = s << BITS | (SYMBOLS[point] if point < known else OTHER)
+                    total += log_p[code]
+                    s = code & STATE
                 if s not in after or total > after[s][0]:
-                    after[s] = (total, said + text)
+                    after[s] = (total, (said, text))
         states = after
-    return max(states.values())[1].strip()
+    path, parts = max(states.values(), key=lambda x: x[0])[1], []
+    while path:
+        path, text = path
+        parts.append(text)
+    return "".join(reversed(parts)).strip()
 
 
 def keys_of(word: str) -> tuple[str, ...]:
@@ -151,10 +165,14 @@ class Restorer:
         got = self.known.get(token)
         if got is None:
             core = token.strip(EDGES)
-            bare = re.sub(r"(\W)\1+$", "", core).strip(EDGES)
+            bare = core if core[-1:].isalnum() else TRAILING.sub("", core).strip(EDGES)
             got = (bare,) if bare else ()
-            if bare and DISGUISED.search(bare):
-                got += tuple(x for x in restore(bare, self.model).split() if x != bare)
+            if DISGUISED.search(token):
+                found = dict.fromkeys(got)
+                for form in {token.strip(OUTER), core, bare}:
+                    if DISGUISED.search(form):
+                        found |= dict.fromkeys(x for y in restore(form, self.model).split() if (x := y.strip(EDGES)))
+                got = tuple(found)
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[token] = got

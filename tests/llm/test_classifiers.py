@@ -85,6 +85,23 @@ def test_disguised_words_are_restored(spark):
     assert [r.predicted for r in rows] == [1] * 5
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("carg0", "cargo"), ("gr055", "gross"), ("gla55", "glass"), ("!con", "icon"), ("'!con',", "icon"), ("(argo", "cargo"), ("gla$$", "glass"), ("carrgo", "cargo"), ("c  a  r  g  o", "cargo"), ("c--a--r--g--o", "cargo"), ("c - a - r - g - o", "cargo")],
+)
+def test_every_disguise_reaches_the_lattice(written, meant):
+    counts = np.zeros(toxicity.CELLS)
+    np.add.at(counts, toxicity.gram_codes("the cargo was gross and an icon of glass stood there " * 200), 1)
+    restorer = toxicity.Restorer(toxicity.log_model(counts))
+    assert meant in restorer.words(f"there {written} stood")
+    assert "stood" in restorer.words("it (stood!!!)")
+
+
+def test_long_tokens_take_linear_time():
+    token = "ab0" * 100_000
+    assert len(toxicity.restore(token, toxicity.log_model(np.ones(toxicity.CELLS)))) == len(token)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = corpus(spark, 8)
     assert {r.predicted for r in toxicity.score_toxicity(docs, labels.where("false")).collect()} == {0}
