@@ -3,10 +3,10 @@
 A message's lines carry quote marks; the number of ``>`` marks is a line's level, and neighbouring
 lines of a level are one block. Level 0 is the message's own text, the others are quotations. Own
 text (whole, by block and by line) and quoted text (by block and by line) are normalised and hashed.
-A quoted hash points to the latest earlier message of the conversation whose own text has it: an
-as-of lookup inside each (conversation, hash), so repeated lines don't multiply. A message's parent is the
-one its lowest quote level points to with most characters, ties to the later turn. Chains of parents
-are followed by pointer doubling. Messages come back without quotations, ordered so that each thread
+Units of any length count, only empty ones are left out. A quoted hash points to the latest earlier
+message of the conversation whose own text has it: an as-of lookup inside each (conversation, hash),
+so repeated lines don't multiply. A message's parent is the one its lowest quote level points to with
+most characters, ties to the later turn. Chains of parents are followed by pointer doubling. Messages come back without quotations, ordered so that each thread
 stands together behind its first message: by the thread's first turn, then by turn.
 
 Defined cases: a message without a resolvable quotation begins a thread of its own; attribution
@@ -91,7 +91,7 @@ def roots(links: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
-def link_quotations(messages: DataFrame, least: int = 8) -> DataFrame:
+def link_quotations(messages: DataFrame, least: int = 1) -> DataFrame:
     """(conv_id, turn, role, parent_turn, root_turn, depth, reply_order, n_quotes, text), a row for each message."""
     rows = cut(parsed(messages), "messages")
     links = cut(parents(rows, least), "quotations")

@@ -112,6 +112,13 @@ def test_quotation_linking(spark):
     assert quotes.link_quotations(frame.where("false")).count() == 0
 
 
+def test_short_messages_are_linked(spark):
+    rows = [(1, 0, "a", "Lunch?"), (1, 1, "b", "> Lunch?\nYes."), (1, 2, "c", "An unrelated thread starts here."), (1, 3, "a", "> Yes.\nok"), (1, 4, "b", "> ok\n好"), (1, 5, "c", ">好\nHm"), (1, 6, "d", ">\n> \nNothing quoted"), (2, 0, "x", ""), (2, 1, "y", ">\nEmpty")]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[(1, t)] for t in range(7)] == [(None, 0, 0), (0, 0, 1), (None, 2, 0), (1, 0, 2), (3, 0, 3), (4, 0, 4), (None, 6, 0)]
+    assert got[(2, 0)] == (None, 0, 0) and got[(2, 1)] == (None, 1, 0)
+
+
 def test_reply_order_over_many_threads(spark):
     rng = random.Random(2)
     rows = [(9, i, "r", f"Message number {i} says something." if i == 0 or rng.random() < 0.5 else f"> Message number {rng.randrange(i)} says something.\nMessage number {i} says something.") for i in range(1500)]
