@@ -6,12 +6,16 @@ items. Contributions are BM25 term weights over the item's own total, so that on
 all items. Items are ordered by length and put into blocks; for each term and block the index keeps
 the largest contribution. The sum of these block maxima over a passage's terms bounds every score in
 the block (block-max WAND): only blocks whose bound reaches the threshold are scored, term by term.
+Postings and block maxima are sparse, and only some passages' bounds are held at a time.
 All items at or above the threshold are retrieved and then verified: enough of the question's and of
 the answer's word n-grams (the first two thirds and the last third of the item) must be in the
 passage, as sets.
 
-The index is broadcast in shards of at most ``shard_chars`` characters of items, so its size is
-bounded; more items mean more shards, each a pass over the documents. Documents are never shuffled.
+Spark counts items, average and longest length and each word's items over the whole benchmark, so
+that scores and passages are the same in every sharding. Items are hashed to shards of about
+``shard_terms`` postings and ``shard_chars`` characters; each shard's index is built in a Spark task,
+with the counts of its own words only, and broadcast. More items mean more shards, each a pass over
+the documents. Documents are never shuffled.
 
 Defined cases: null or empty texts and items match nothing; items without words are left out;
 repeated items or documents give repeated results; an empty benchmark gives an empty result.
@@ -20,132 +24,203 @@ repeated items or documents give repeated results; an empty benchmark gives an e
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import cut, per_batch
 
 WORDS = re.compile(r"\w+").findall
 BLOCK = 8
+BOUNDS = 1 << 20  # block maxima that are added up at once, unless one passage has more
 
 
-def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
+def words_of(text: str | None) -> list[str]:
+    return WORDS((text or "").lower())
+
+
+def grams(words: list, n: int) -> set[tuple]:
     n = min(n, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+class Rows:
+    """Sparse rows: the columns and values of row k stand from start[k] to start[k + 1]."""
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int):
+        order = np.lexsort((columns, rows))
+        self.columns, self.values = columns[order].astype(np.int32), values[order]
+        self.start = np.searchsorted(rows[order], np.arange(n + 1))
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``rows``, column, value) of all entries of these rows."""
+        first = self.start[rows]
+        n = self.start[rows + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.repeat(np.arange(len(rows)), n), self.columns[at], self.values[at]
+
+    def items(self) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        for k in range(len(self.start) - 1):
+            part = slice(self.start[k], self.start[k + 1])
+            yield k, list(zip(self.columns[part].tolist(), self.values[part].tolist(), strict=True))
+
+    def __getitem__(self, at: tuple[int, int]) -> float:
+        part = slice(self.start[at[0]], self.start[at[0] + 1])
+        return float(self.values[part][self.columns[part] == at[1]].sum())
+
+    def sum(self) -> float:
+        return float(self.values.sum())
+
+
 class ItemIndex:
-    """BM25 postings of items with block maxima."""
-
-    def __init__(self, items: list[tuple[int, str]], gram: int, k1: float = 1.2, b: float = 0.75):
-        parsed = sorted(((len(w), i, w) for i, text in items if (w := WORDS((text or "").lower()))), key=lambda x: x[:2])
-        self.ids = [i for _, i, _ in parsed]
-        self.longest = max((n for n, _, _ in parsed), default=1)
-        average = sum(n for n, _, _ in parsed) / max(1, len(parsed))
-        df = Counter(t for _, _, w in parsed for t in set(w))
-        self.terms = {t: k for k, t in enumerate(df)}
-        self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.maxima = np.zeros((len(df) + 1, max(1, -(-len(parsed) // BLOCK))), np.float32)  # the last row is for unknown words
-        self.question, self.answer = [], []
+    """BM25 postings of items with block maxima.
+
+    ``whole`` is (items, average length, longest length, items by word) of the whole benchmark, for a
+    shard of it.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], gram: int, k1: float = 1.2, b: float = 0.75, whole: tuple[int, float, int, dict[str, int]] | None = None):
+        parsed = sorted(((len(w), i, w) for i, text in items if (w := words_of(text))), key=lambda x: x[0])
+        if whole is None:
+            lengths = [n for n, _, _ in parsed]
+            whole = len(parsed), sum(lengths) / max(1, len(parsed)), max(lengths, default=1), Counter(t for _, _, w in parsed for t in set(w))
+        n_items, average, self.longest, df = whole
+        self.gram, self.ids, self.terms = gram, [i for _, i, _ in parsed], {}
+        self.n_blocks = max(1, -(-len(parsed) // BLOCK))
+        rows, columns, values, codes = [], [], [], []
         for j, (n, _, w) in enumerate(parsed):
-            weight = {t: math.log(1 + (len(parsed) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / average)) for t, tf in Counter(w).items()}
-            whole = sum(weight.values())
-            for t, x in weight.items():
-                k = self.terms[t]
-                self.postings[k].append((j, x / whole))
-                self.maxima[k, j // BLOCK] = max(self.maxima[k, j // BLOCK], x / whole)
-            split = max(1, 2 * n // 3)
-            self.question.append(grams(w[:split], gram))
-            self.answer.append(grams(w[split:], gram))
-
-    def matches(self, text: str | None, gram: int, threshold: float, question: float, answer: float) -> dict[int, tuple[float, float, float, int]]:
-        """item -> (score, question overlap, answer overlap, passages) of one document; the best passage counts."""
-        words = WORDS((text or "").lower())
+            weight = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / average)) for t, tf in Counter(w).items()}
+            total = sum(weight.values())
+            codes.append(np.array([self.terms.setdefault(t, len(self.terms)) for t in w], np.int32))
+            rows.append(np.array([self.terms[t] for t in weight], np.int64))
+            columns.append(np.full(len(weight), j, np.int64))
+            values.append(np.array([x / total for x in weight.values()]))
+        self.ends = np.cumsum([0, *map(len, codes)])
+        self.codes = np.concatenate([np.zeros(0, np.int32), *codes])
+        rows, columns, values = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((rows, np.int64), (columns, np.int64), (values, np.float64)))
+        n_rows = len(self.terms) + 1  # the last row is for unknown words
+        self.postings = Rows(rows, columns, values, n_rows)
+        cells, inverse = np.unique(rows * self.n_blocks + columns // BLOCK, return_inverse=True)
+        most = np.zeros(len(cells))
+        np.maximum.at(most, inverse, values)
+        self.maxima = Rows(cells // self.n_blocks, cells % self.n_blocks, most, n_rows)
+
+    def parts(self, j: int) -> tuple[set[tuple], set[tuple]]:
+        """The n-grams of an item's question and answer, in codes of words."""
+        w = self.codes[self.ends[j] : self.ends[j + 1]].tolist()
+        split = max(1, 2 * len(w) // 3)
+        return grams(w[:split], self.gram), grams(w[split:], self.gram)
+
+    def matches(self, text: str | None, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
+        """(item, score, question overlap, answer overlap, passages) of one document; the best passage counts."""
+        words = words_of(text)
         if not words or not self.ids:
-            return {}
+            return []
         step, unknown = self.longest, len(self.terms)
         get = self.terms.get
         codes = np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
         starts = range(0, max(1, len(words) - step), step)
-        rows, passages = [], []
-        for s in starts:
-            rows.append(u := np.unique(codes[s : s + 2 * step]))
-            passages.append(len(u))
-        flat = np.concatenate(rows)
-        bounds = np.add.reduceat(self.maxima[flat], np.concatenate(([0], np.cumsum(passages)[:-1])), axis=0)
+        at_once = max(1, BOUNDS // (2 * step * self.n_blocks))
         out: dict[int, tuple[float, float, float, int]] = {}
-        hit_rows, hit_blocks = np.nonzero(bounds >= threshold - 1e-4)
-        for p in np.unique(hit_rows):
-            blocks = set(hit_blocks[hit_rows == p].tolist())
-            scores: dict[int, float] = defaultdict(float)
-            for k in rows[p].tolist():
-                for j, x in self.postings.get(k, ()):
-                    if j // BLOCK in blocks:
-                        scores[j] += x
-            good = {j: s for j, s in scores.items() if s >= threshold - 1e-9}
-            if not good:
-                continue
-            have = grams(words[p * step : (p + 2) * step], gram)
-            for j, score in good.items():
-                asked = self._overlap(self.question[j], have, words, p)
-                answered = self._overlap(self.answer[j], have, words, p)
-                if asked >= question and answered >= answer:
-                    old = out.get(j, (0.0, 0.0, 0.0, 0))
-                    out[j] = (max(old[0], score), max(old[1], asked), max(old[2], answered), old[3] + 1)
-        return {self.ids[j]: x for j, x in out.items()}
-
-    def _overlap(self, wanted: set, have: set, words: list[str], p: int) -> float:
+        for first in range(0, len(starts), at_once):
+            passages = [codes[s : s + 2 * step] for s in starts[first : first + at_once]]
+            rows = [np.unique(x) for x in passages]
+            owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+            which, blocks, most = self.maxima.take(np.concatenate(rows))
+            bounds = np.bincount(owner[which] * self.n_blocks + blocks, most, len(rows) * self.n_blocks).reshape(len(rows), self.n_blocks)
+            reached = bounds >= threshold - 1e-4
+            for p in np.flatnonzero(reached.any(axis=1)).tolist():
+                _, items, x = self.postings.take(rows[p])
+                some = reached[p][items // BLOCK]
+                scores = np.bincount(items[some], x[some], len(self.ids))
+                good = np.flatnonzero((scores > 0) & (scores >= threshold - 1e-9)).tolist()
+                if not good:
+                    continue
+                said = passages[p].tolist()
+                have = grams(said, self.gram)
+                for j in good:
+                    asked, answered = (self._overlap(wanted, have, said) for wanted in self.parts(j))
+                    if asked >= question and answered >= answer:
+                        old = out.get(j, (0.0, 0.0, 0.0, 0))
+                        out[j] = (max(old[0], float(scores[j])), max(old[1], asked), max(old[2], answered), old[3] + 1)
+        return [(self.ids[j], *x) for j, x in sorted(out.items())]
+
+    def _overlap(self, wanted: set, have: set, said: list[int]) -> float:
         if not wanted:
             return 1.0
         short = len(next(iter(wanted)))
         if have and len(next(iter(have))) != short:  # a part of fewer words than a gram
-            have = grams(words[p * self.longest : (p + 2) * self.longest], short)
+            have = grams(said, short)
         return len(wanted & have) / len(wanted)
 
 
-def item_shards(benchmark: DataFrame, shard_chars: int) -> list[list[tuple[int, str]]]:
-    """The items in shards of bounded size; one shard at a time is on the driver."""
-    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-total // shard_chars))
-    for k in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").where("text is not null").collect()]
+def item_shards(benchmark: DataFrame, gram: int, shard_chars: int, shard_terms: int) -> Iterator[ItemIndex]:
+    """Indexes of bounded size over all items, built in Spark tasks; one at a time is on the driver."""
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(i, text, len(w), list(dict.fromkeys(w))) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (w := words_of(text))]
+        columns = zip(*rows, strict=True) if rows else [[]] * 4
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "text", "n", "terms"])
+
+    read = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(per_batch(parse), "item_id long, text string, n long, terms array<string>")
+    parsed = cut(read.withColumn("deal", F.xxhash64("item_id", F.monotonically_increasing_id())), "items")
+    n_items, length, longest, terms, chars = parsed.agg(F.count("*"), F.sum("n"), F.max("n"), F.sum(F.size("terms")), F.sum(F.length("text"))).first()
+    if not n_items:
+        return
+    shard = F.pmod("deal", F.lit(max(-(-chars // shard_chars), -(-terms // shard_terms)))).alias("shard")
+    df = parsed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    of_shard = parsed.select(shard, F.explode("terms").alias("term")).distinct().join(df, "term").select("shard", "term", "df")
+
+    def build(items: pa.Table, counts: pa.Table) -> pa.Table:
+        known = dict(zip(counts["term"].to_pylist(), counts["df"].to_pylist(), strict=True))
+        pairs = list(zip(items["item_id"].to_pylist(), items["text"].to_pylist(), strict=True))
+        index = ItemIndex(pairs, gram, whole=(n_items, length / n_items, longest, known))
+        return pa.table({"shard": items["shard"][:1], "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    grouped = parsed.select(shard, "item_id", "text").groupBy("shard").cogroup(of_shard.groupBy("shard"))
+    built = cut(grouped.applyInArrow(build, "shard long, index binary"), "item-index")
+    for k in sorted(r[0] for r in built.select("shard").collect()):
+        yield pickle.loads(built.where(F.col("shard") == k).first()["index"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, gram: int = 3, shard_chars: int = 20_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, gram: int = 3, shard_chars: int = 20_000_000, shard_terms: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, bm25, question_overlap, answer_overlap, passages) for each leaked item of each document."""
     schema = "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double, passages long"
     spark, out = docs.sparkSession, None
-    for items in item_shards(benchmark, shard_chars):
-        shared = spark.sparkContext.broadcast(ItemIndex(items, gram))
+    for index in item_shards(benchmark, gram, shard_chars, shard_terms):
+        shared = spark.sparkContext.broadcast(index)
 
         def find(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             index, rows = shared.value, []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc_id, item, *x) for item, x in sorted(index.matches(text, gram, threshold, question, answer).items())]
+                rows += [(doc_id, *x) for x in index.matches(text, threshold, question, answer)]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap", "passages"])
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(per_batch(find), schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, gram: int = 3, shard_chars: int = 20_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, gram: int = 3, shard_chars: int = 20_000_000, shard_terms: int = 1_000_000) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; one pass for each shard of items, nothing is shuffled."""
     spark, kept = docs.sparkSession, docs
-    for items in item_shards(benchmark, shard_chars):
-        shared = spark.sparkContext.broadcast(ItemIndex(items, gram))
+    for k, index in enumerate(item_shards(benchmark, gram, shard_chars, shard_terms)):
+        shared = spark.sparkContext.broadcast(index)
 
         def clean(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             index = shared.value
-            return batch.filter(pa.array([not index.matches(x, gram, threshold, question, answer) for x in batch.column("text").to_pylist()], pa.bool_()))
+            return batch.filter(pa.array([not index.matches(x, threshold, question, answer) for x in batch.column("text").to_pylist()], pa.bool_()))
 
+        if k:  # one shard's index at a time is in a task
+            kept = cut(kept, "decontaminated")
         kept = kept.mapInArrow(per_batch(clean), docs.schema)
     return kept

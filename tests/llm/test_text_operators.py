@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 from collections import defaultdict
 
@@ -163,6 +164,19 @@ def test_block_bounds_hold():
             assert index.maxima[k, j // decontam.BLOCK] >= x - 1e-6
 
 
+def test_decontamination_is_the_same_in_every_sharding(spark):
+    items, docs = bench_docs()
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [sorted((str(r.doc_id), r.item_id, round(r.bm25, 9), r.question_overlap, r.answer_overlap, r.passages) for r in decontam.contaminated(frame, benchmark, shard_chars=n).collect()) for n in (10**6, 700)]
+    assert found[0] and found[0] == found[1]
+
+
+def test_index_grows_with_its_postings():
+    index = decontam.ItemIndex([(i, " ".join(f"w{i}x{k}" for k in range(25))) for i in range(4000)], 3)
+    assert len(pickle.dumps(index)) < 20_000_000
+    assert [x[0] for x in index.matches(" ".join(f"w7x{k}" for k in range(25)), 0.5, 0.5, 0.5)] == [7]
+
+
 def license_docs():
     t = licenses.TEMPLATES
     return [
