@@ -6,27 +6,37 @@ returns the columns of ``documents``. Labels and benchmark items come from ``sf_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setlight.llm import decontam, jaccard, line_dedup, mixing, toxicity
-from setlight.llm.common import cut, table
+from setlight.llm.common import cut, table, unused
 from setlight.shipping import ship
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with other names for its columns called like one of ``names``, and the columns that undo it."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    other = dict(zip(clash, unused(docs, *(f"own_{c}" for c in clash)), strict=True))
+    return docs.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     ship(spark)
-    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    rows, own = set_aside(docs, "held_out", "score", "predicted")
+    return toxicity.score_toxicity(rows, table(spark, sf_dir, "labels")).where("predicted = 0").select(*own)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose their repeated lines; n_chars follows."""
+    """Texts lose their repeated lines; n_chars follows where lines went."""
     ship(spark)
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept"))
+    rows, own = set_aside(docs, "kept", "n_lines", "n_dropped")
+    out = line_dedup.dedup_lines(rows)
+    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumns(changed).select(*own)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,17 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores before them until no column of ``df`` has them, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]):
     """A mapInArrow function from one that maps a record batch."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch
+from .common import cut, per_batch, unused
 
 #: Stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
@@ -122,12 +122,14 @@ def id_ranges(docs: DataFrame, batches: int) -> list:
 
 
 def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: int = 3) -> DataFrame:
-    """Every row of ``docs`` with its columns, ``kept`` (text without dropped lines), ``n_lines`` and ``n_dropped``."""
+    """Every row of ``docs`` with its columns, ``kept`` (text without dropped lines), ``n_lines`` and ``n_dropped``,
+    which replace columns of these names."""
     spark = docs.sparkSession
     store = LineRuns(spark, least)
     for where in id_ranges(docs, batches):
         store.add(docs.where(where))
     repeated = cut(store.repeated(at_least), "line-repeated")
+    own_id, own_fp, own_drop = unused(docs, "dedup_id", "dedup_fp", "dedup_drop")
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts, lines, hashes = [], [], [], []
@@ -138,28 +140,28 @@ def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: in
         h = np.frombuffer(b"".join(hashes), PAIR)
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(lines, pa.int32()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
-            ["_dedup_id", "_dedup_fp", "line", "h1", "h2"],
+            ["id", "fp", "line", "h1", "h2"],
         )
 
-    marked = docs.withColumns({"_dedup_id": F.col("doc_id").cast("long"), "_dedup_fp": F.xxhash64("text")})
+    marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_fp: F.xxhash64("text")})
     drops = (
-        marked.select("_dedup_id", "text", "_dedup_fp")
-        .mapInArrow(per_batch(places), "_dedup_id long, _dedup_fp long, line int, h1 long, h2 long")
+        marked.select(own_id, "text", own_fp)
+        .mapInArrow(per_batch(places), "id long, fp long, line int, h1 long, h2 long")
         .join(repeated, ["h1", "h2"])
-        .where("_dedup_id is null or holder is null or _dedup_id <> holder")
-        .groupBy("_dedup_id", "_dedup_fp")
-        .agg(F.collect_set("line").alias("_dedup_drop"))
+        .where("id is null or holder is null or id <> holder")
+        .groupBy("id", "fp")
+        .agg(F.collect_set("line").alias(own_drop))
     )
-    joined = marked.alias("d").join(drops.alias("x"), F.col("d._dedup_id").eqNullSafe(F.col("x._dedup_id")) & (F.col("d._dedup_fp") == F.col("x._dedup_fp")), "left").select("d.*", "x._dedup_drop")
-    names = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
+    joined = marked.alias("d").join(drops.alias("x"), F.col(f"d.{own_id}").eqNullSafe(F.col("x.id")) & (F.col(f"d.{own_fp}") == F.col("x.fp")), "left").select("d.*", f"x.{own_drop}")
+    names = [c for c in docs.columns if c.lower() not in ("kept", "n_lines", "n_dropped")]
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, gone = [], [], []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("_dedup_drop").to_pylist(), strict=True):
+        for text, drop in zip(batch.column("text").to_pylist(), batch.column(own_drop).to_pylist(), strict=True):
             lines, drop = (text or "").split("\n"), set(drop or ())
             total.append(len(lines)), gone.append(len(drop))
             kept.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text or "")
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_dedup_drop").mapInArrow(per_batch(keep), f"{schema}, kept string, n_lines long, n_dropped long")
+    return joined.select(*[F.col(f"`{c}`") for c in names], own_drop).mapInArrow(per_batch(keep), f"{schema}, kept string, n_lines long, n_dropped long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, one_label, per_batch
+from .common import held_out, one_label, per_batch, unused
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
@@ -271,10 +271,11 @@ class Model:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 40_000) -> DataFrame:
-    """Every row of ``docs`` with its columns and held_out, score, predicted."""
+    """Every row of ``docs`` with its columns and held_out, score, predicted, which replace columns of these names."""
     model = Model(docs, labels, sample)
     grams, lexicon, weights, base = model.grams, model.lexicon, model.weights, model.base
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    names = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    (fold,) = unused(docs, "fold")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(grams.value)
@@ -284,7 +285,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
                 s = np.full(len(e), base)
             else:
                 s = 1 / (1 + np.exp(-np.clip(e @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("_fold"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column(fold), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "held_out", "score", "predicted"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
-    return docs.select(*[F.col(f"`{c}`") for c in names], held_out().alias("_fold")).mapInArrow(score, f"{schema}, held_out boolean, score double, predicted int")
+    return docs.select(*[F.col(f"`{c}`") for c in names], held_out().alias(fold)).mapInArrow(score, f"{schema}, held_out boolean, score double, predicted int")

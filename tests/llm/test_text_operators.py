@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from setlight.llm import decontam, jaccard, licenses, line_dedup, mixing
 
@@ -97,11 +98,12 @@ def near_docs(seed, families=6, copies=12, words=60):
     return [*rows, (None, docs[0]), (900, None), (901, " \n"), (902, "one two"), (903, "ONE  two"), (904, docs[3]), (904, docs[3]), (905, "é ü é ü é ü"), (906, " ".join(f"u{i}" for i in range(30_000)))]
 
 
-@pytest.mark.parametrize(("seed", "leaf", "rare"), [(1, 256, 24), (2, 4, 3), (3, 8, 1), (4, 3, 100)])
-def test_jaccard_components(spark, seed, leaf, rare):
+@pytest.mark.parametrize(("seed", "leaf", "rare", "most_keys"), [(1, 12, 24, 10**6), (2, 4, 3, 10**6), (3, 8, 1, 0), (4, 3, 100, 10**6), (6, 4, 2, 40)])
+def test_jaccard_components(spark, monkeypatch, seed, leaf, rare, most_keys):
+    monkeypatch.setattr(jaccard, "HEAVY", 50)
     docs = near_docs(seed)
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, dg int")
-    got = jaccard.jaccard_components(frame, leaf=leaf, pivots=2, levels=1, rare=rare).collect()
+    got = jaccard.jaccard_components(frame, leaf=leaf, block=2 * leaf, pivots=2, levels=1, rare=rare, most_keys=most_keys).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(docs)
 
 
@@ -114,6 +116,26 @@ def test_one_of_each(spark):
     assert jaccard.one_of_each(frame.where("false")).count() == 0
 
 
+def test_one_of_each_judges_rows_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "k"), (7, a, "k"), (7, b, "k"), (8, c, "k"), (8, c + " end", "k"), (9, c, "k"), (10, b.upper(), "k"), (11, "", "k"), (11, "", "k"), (None, a, "k"), (12, a, "k"), (12, a, "k")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    kept = jaccard.one_of_each(frame.withColumnsRenamed({"_id": "row_id"}).withColumn("ROW_fp", F.lit(1)).withColumn("_id", F.lit("own"))).collect()
+    assert {r.row_id for r in kept} == {"k"} and {r._id for r in kept} == {"own"}
+    got = sorted((str(r.doc_id), r.text) for r in kept if r.doc_id != 8)
+    assert got == sorted([("1", a), ("7", b), ("11", ""), ("11", ""), ("None", a)])
+    assert sum(r.doc_id == 8 for r in kept) == 1
+
+
+def test_ordinary_regions_meet_pivots(spark, monkeypatch):
+    met, place = [], jaccard.voronoi
+    monkeypatch.setattr(jaccard, "voronoi", lambda *x: met.append(x) or place(*x))
+    base = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join([*base[:i], "other", *base[i + 1 : 70 + i % 10]])) for i in range(60)]
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(docs) and met
+
+
 def test_bounds_are_safe():
     rng = random.Random(0)
     b = jaccard.Bounds(75)
@@ -129,6 +151,12 @@ def test_bounds_are_safe():
             assert len(common) >= max(b.need(len(x)), b.need(len(y)))
 
 
+def test_need_as_a_column(spark):
+    for percent in (75, 90):
+        b = jaccard.Bounds(percent)
+        assert all(r.need == b.need(r.id) for r in spark.range(1, 500).withColumn("need", b.need_column(F.col("id"))).collect())
+
+
 def bench_docs():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
