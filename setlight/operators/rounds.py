@@ -5,56 +5,141 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: A table of so many rows is broadcast at most: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+ROWS_A_FILE = 100_000
+#: Rounds before what is left is split into components, and the rows of one that a task passes over in order.
+FIRST_ROUNDS, ONE_TASK = 4, 100_000
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a temp folder only in local mode.
+
+    A cluster without that setting gets an error: a machine-local folder would be invisible to the
+    other executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="setlight-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write a round's table to the folder in ``spark.checkpoint.dir`` and read it back; lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+
+    Survives lost executors, unlike cached blocks or a local checkpoint.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="setlight-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# --- first come -------------------------------------------------------------------------------
+
+
 def first_come(rows: DataFrame, key: str, order: str, tokens: str) -> DataFrame:
     """The keys that a pass in ``order`` accepts, where an accepted row claims its tokens and rows with a claimed token are skipped.
 
     A row that comes first for all of its tokens is accepted in any order of evaluation, so each round
-    takes all such rows at once, drops those that meet a claimed token, and repeats. ``order`` is unique.
+    takes all such rows at once and drops those that meet a claimed token. What a few rounds leave, such as
+    long chains of claims, is split into the components of rows that share tokens; each is passed over in
+    one task. Only components of more than ``ONE_TASK`` claims go on in rounds. ``order`` is unique.
     """
     left = scratch(rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.explode(tokens).alias("t")).where("t is not null"), "claims")
-    taken = None
+    taken, n = [], 0
     while True:
+        if n == FIRST_ROUNDS:
+            passed, left = _small_components(left)
+            taken.append(passed)
         first = left.groupBy("t").agg(F.min("o").alias("first"))
-        wins = left.join(first, "t").groupBy("k").agg(F.bool_and(F.col("o") == F.col("first")).alias("wins")).where("wins").select("k")
-        wins = scratch(wins, "accepted")
+        wins = scratch(left.join(first, "t").groupBy("k").agg(F.bool_and(F.col("o") == F.col("first")).alias("wins")).where("wins").select("k"), "accepted")
         if wins.limit(1).count() == 0:
             break
-        taken = wins if taken is None else taken.unionByName(wins)
+        taken.append(wins)
         claimed = left.join(wins, "k", "left_semi").select("t").distinct()
         gone = left.join(claimed, "t", "left_semi").select("k").distinct()
         left = scratch(left.join(gone, "k", "left_anti"), "claims")
-    free = rows.where(F.size(F.array_compact(F.col(tokens))) == 0).select(F.col(key).alias("k"))
-    return (free if taken is None else taken.unionByName(free)).withColumnRenamed("k", key)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over (a, b), by label propagation with pointer jumping."""
-    both = scratch(edges.selectExpr("a as u", "b as v").unionByName(edges.selectExpr("b as u", "a as v")).distinct(), "pairs")
-    labels = scratch(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "labels")
-    changed = True
-    while changed:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near")).withColumnRenamed("u", "node")
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = scratch(low.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        changed = new.where("label <> old").limit(1).count() > 0
-        labels = new.select("node", "label")
-    return labels
+        n += 1
+    out = rows.where(F.size(F.array_compact(F.col(tokens))) == 0).select(F.col(key).alias("k"))
+    for part in taken:
+        out = out.unionByName(part)
+    return out.withColumnRenamed("k", key)
+
+
+def _small_components(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a pass accepts in each component of claims (k, o, t) that fits a task, and the claims of the others."""
+    ends = left.groupBy("k").agg(F.min("t").alias("b"))
+    labels = components(left.join(ends, "k").select(F.col("t").alias("a"), "b"), keep_loops=True)
+    named = scratch(left.join(labels, left.t == labels.node).select("k", "o", "t", "label"), "component-claims")
+    large = scratch(named.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > ONE_TASK).select("label"), "large-components")
+
+    def one_pass(claims: pd.DataFrame) -> pd.DataFrame:
+        claimed, accepted = set(), []
+        for _, mine in claims.groupby("o"):
+            tokens = set(mine["t"])
+            if not tokens & claimed:
+                claimed |= tokens
+                accepted.append(mine["k"].iloc[0])
+        return pd.DataFrame({"k": accepted})
+
+    small = named.join(large, "label", "left_anti")
+    flat = small.select("label", F.to_json(F.struct("k")).alias("k"), "t", F.dense_rank().over(W.partitionBy("label").orderBy("o")).alias("o"))
+    kept = flat.groupBy("label").applyInPandas(one_pass, "k string")
+    back = left.select("k").schema
+    accepted = scratch(kept.select(F.from_json("k", back).alias("x")).select("x.k"), "accepted")
+    return accepted, scratch(named.join(large, "label", "left_semi").select("k", "o", "t"), "claims")
+
+
+# --- components -------------------------------------------------------------------------------
+
+
+def few_or_shuffled(labels: DataFrame) -> DataFrame:
+    """``labels``, broadcast while there are few of them."""
+    return F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+
+
+def _hooks(pairs: DataFrame) -> DataFrame:
+    """(node, label): each node of (u, v), u <= v, with its least neighbour, or itself if that is larger."""
+    return pairs.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(pairs.select(F.col("u").alias("node"), F.col("u").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+
+
+def _flatten(labels: DataFrame) -> DataFrame:
+    """(node, label) with each node's root, by pointer jumping."""
+    while True:
+        via = labels.select(F.col("node").alias("via"), F.col("label").alias("top"))
+        n = labels.count()
+        low = labels.select("node", F.col("label").alias("via")).join(F.broadcast(via) if n <= BROADCAST_ROWS else via, "via")
+        low = scratch(low.select("node", F.col("via").alias("old"), F.col("top").alias("label")).coalesce(max(4, -(-n // ROWS_A_FILE))), "labels")
+        labels = low.select("node", "label")
+        if low.where("label <> old").limit(1).count() == 0:
+            return labels
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", keep_loops: bool = False) -> DataFrame:
+    """(node, label) for the nodes of (a, b): the smallest node that each can reach.
+
+    Nodes hook on to their least neighbours and jump to their roots; then edges are drawn between
+    roots, so those inside a component go, and the roots hook again. Edges of a node to itself are left
+    out unless ``keep_loops``.
+    """
+    some = edges if keep_loops else edges.where(F.col(a) != F.col(b))
+    pairs = scratch(some.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
+    labels = _flatten(scratch(_hooks(pairs), "labels"))
+    while True:
+        root = few_or_shuffled(labels.select("node", F.col("label").alias("root")))
+        ends = pairs.join(root, pairs.u == root.node).select(F.col("root").alias("x"), "v").join(root, F.col("v") == root.node).select("x", F.col("root").alias("y"))
+        pairs = scratch(ends.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
+        if pairs.limit(1).count() == 0:
+            return labels
+        moved = scratch(_hooks(pairs).select(F.col("node").alias("label"), F.col("label").alias("to")), "hooks")
+        labels = _flatten(scratch(labels.join(few_or_shuffled(moved), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"))

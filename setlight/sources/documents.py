@@ -1,11 +1,12 @@
 """Documents and exports: JSON import, monthly archives with checksums, versioned writes, CSV, nested payloads.
 
-Paths are Spark paths. Versioned writes keep every version in a folder of its own and a small pointer
-table says which one counts; a writer that began from another version fails, or merges and tries again.
+Paths are Spark paths. Versioned writes keep every version in a folder of its own and small pointer
+files say which one counts; a writer that began from another version fails, or merges and tries again.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from html.parser import HTMLParser
 
@@ -32,33 +33,57 @@ class StaleVersion(Exception):
 
 
 class VersionedTable:
-    """Compare-and-swap versions of a small table under one folder."""
+    """Compare-and-swap versions of a small table under one folder.
+
+    Version n counts once the file ``pointers/n`` names it. A pointer is moved into place by a rename that
+    fails if the target exists, so of two writers of one number only one succeeds; the file system must
+    offer that (HDFS and local disks do).
+    """
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
-    def _pointers(self) -> DataFrame:
-        return read_json(self.spark, f"{self.folder}/pointers", "number long, version string, parent string")
-
     def head(self) -> tuple[int, str | None]:
-        """Number and name of the newest version; of two writers with one number the smaller name counts."""
-        row = self._pointers().orderBy(F.desc("number"), "version").limit(1).collect()
+        """Number and name of the newest version."""
+        pointers = read_json(self.spark, f"{self.folder}/pointers", "number long, version string, parent string")
+        row = pointers.orderBy(F.desc("number")).limit(1).collect()
         return (row[0].number, row[0].version) if row else (0, None)
 
     def read(self, version: str | None = None) -> DataFrame:
         version = version or self.head()[1]
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}") if version else self.spark.createDataFrame([], self.schema)
 
+    def document(self) -> tuple[DataFrame, str | None]:
+        """The rows of the newest version and its name, which a later write must give back."""
+        version = self.head()[1]
+        return self.read(version), version
+
+    def _claim(self, number: int, pointer: dict) -> None:
+        """Set the pointer of a number, or fail if it is set."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        draft, target = path(f"drafts/{pointer['version']}.json"), path(f"pointers/{number:012d}.json")
+        files = draft.getFileSystem(conf)
+        files.mkdirs(target.getParent())
+        out = files.create(draft, False)
+        out.write(bytearray(json.dumps(pointer).encode()))
+        out.close()
+        no_options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(draft), files.makeQualified(target), no_options)
+        except Exception as e:
+            if "FileAlreadyExistsException" in str(e):
+                raise StaleVersion(f"another writer was faster than {pointer['version']}") from e
+            raise
+
     def write_if_current(self, df: DataFrame, parent: str | None) -> str:
-        """Strict write: fails if ``parent`` is no longer the head, before or after its own pointer is set."""
+        """Strict write: fails if ``parent`` is not the head, or is no longer when the pointer is set."""
         number, head = self.head()
         if head != parent:
             raise StaleVersion(f"{head} is newer than {parent}")
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/{name}")
-        self.spark.sql(f"select {number + 1}L as number, '{name}' as version, {f"'{parent}'" if parent else "cast(null as string)"} as parent").coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
-        if self.head()[1] != name:
-            raise StaleVersion(f"another writer was faster than {name}")
+        self._claim(number + 1, {"number": number + 1, "version": name, "parent": parent})
         return name
 
     def write_merging(self, df: DataFrame, parent: str | None, merge, tries: int = 2) -> str:

@@ -70,8 +70,21 @@ def test_roll_back(spark):
 
 def test_three_way_merge(spark):
     df = lambda rows: spark.createDataFrame(rows, "id long, a string")
-    got = P.three_way(df([(1, "x"), (2, "x"), (3, "x"), (4, "x")]), df([(1, "mine"), (2, "x"), (5, "new")]), df([(1, "theirs"), (2, "theirs"), (3, "edited"), (4, "x")]), "id", ["a"])
-    assert {r.id: r.a for r in got.collect()} == {1: "mine", 2: "theirs", 3: "edited", 5: "new"}
+    got = P.three_way(df([(1, "x"), (2, "x"), (3, "x"), (4, "x"), (6, "x")]), df([(1, "mine"), (2, "x"), (5, "new"), (6, "x")]), df([(1, "theirs"), (2, "theirs"), (3, "edited"), (4, "x")]), "id", ["a"])
+    assert {r.id: r.a for r in got.collect()} == {1: "mine", 2: "theirs", 3: "edited", 5: "new", 6: "x"}
+
+
+def test_three_way_merge_goes_into_structs_and_keeps_their_order(spark):
+    df = lambda rows: spark.createDataFrame(rows, "id long, ord long, s struct<a: string, t: struct<b: string, c: string>>")
+    base, mine, theirs = [(1, 0, ("x", ("x", "x")))], [(1, 0, ("mine", ("mine", "x"))), (9, 1, ("new", None))], [(2, 0, ("added", None)), (1, 1, ("x", ("theirs", "theirs")))]
+    got = P.three_way(df(base), df(mine), df(theirs), "id", ["s"], order="ord").orderBy("place").collect()
+    assert [r.id for r in got] == [2, 1, 9]
+    assert (got[1].s.a, got[1].s.t.b, got[1].s.t.c) == ("mine", "mine", "theirs")
+
+
+def test_long_chains_of_claims_take_few_rounds(spark):
+    rows = spark.createDataFrame([(i, i, [f"t{i}", f"t{i + 1}"]) for i in range(1000)], "k long, o long, t array<string>")
+    assert sorted(r.k for r in first_come(rows, "k", "o", "t").collect()) == list(range(0, 1000, 2))
 
 
 def test_fair_plan_takes_turns(spark):
