@@ -21,19 +21,34 @@ SEVEN = {
     "folk": "\\bfolk\\b|singer[\\s-]?songwriter|americana",
     "electronic": "electro|techno|\\bhouse\\b|\\bedm\\b|\\bdance\\b|synth",
 }
+WIDE = [
+    ("Rock", "alternative rock|indie rock|hard rock|garage rock|post[- ]?punk|nu metal|alternative metal|heavy metal|rock|metal|punk|grunge|emo"),
+    ("Pop", r"indie pop|synth[- ]?pop|power pop|pop rock|\bpop\b"),
+    ("Hip-hop/R&B", r"hip[- ]?hop|\brap\b|trap|r&b|rnb|rhythm and blues|soul|funk"),
+    ("Electronic", r"electronic|\bdance\b|edm|house|techno|electro|drum and bass|dnb|ambient|trip[- ]?hop"),
+]
 NOT_PUNK = "post[\\s-]?punk"
 PRIORITY = ["metal", "punk", "folk", "hiphop_rnb", "electronic", "pop", "rock"]
 
 
-def five_groups(text: Column) -> Column:
-    """one of five groups, the first rule that matches."""
+def first_group(text: Column, patterns: list[tuple[str, str]]) -> Column:
     low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     out = F.when(F.lit(False), "")
-    for name, pattern in FIVE:
+    for name, pattern in patterns:
         out = out.when(low.rlike(pattern), name)
     return out.otherwise("Other")
 
 
+def five_groups(text: Column) -> Column:
+    """one of five groups, the first rule that matches."""
+    return first_group(text, FIVE)
+
+
+def wide_groups(text: Column) -> Column:
+    """the same groups by wider patterns."""
+    return first_group(text, WIDE)
+
+
 def _is(token: Column, group: str) -> Column:
     hit = token.rlike(SEVEN[group])
     return hit & ~token.rlike(NOT_PUNK) if group == "punk" else hit

@@ -1,4 +1,4 @@
-"""Numbers, dates and labels (F7-F11, F13-F20, F35-F39, X2-X4, X6). Rounding is half up, floor(x + 0.5)."""
+"""Numbers, dates and labels (F7-F11, F13-F20, F35-F39, X2-X4, X6, C15). Rounding is half up, floor(x + 0.5)."""
 
 from __future__ import annotations
 
@@ -82,48 +82,86 @@ def bucket_label(day: Column, kind: str) -> Column:
     return F.date_format(day, {"day": "d MMM", "month": "MMM yyyy", "year": "yyyy"}[kind])
 
 
-def nice_step(top: Column, intervals: int = 4) -> Column:
-    """the axis step: 1, 2, 2.5, 5 or 10 times a power of ten."""
-    raw = top / intervals
+def nice_axis(top: Column, intervals: int = 4) -> dict[str, Column]:
+    """the axis' end, step (1, 2, 2.5, 5 or 10 times a power of ten) and ticks; 1 by quarters where nothing is to show."""
+    top = F.greatest(F.lit(0.0), F.coalesce(top.cast("double"), F.lit(0.0)))
+    raw = top / max(2, intervals)
     magnitude = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     x = raw / magnitude
-    return F.when(top <= 0, 0.25).otherwise(F.when(x <= 1, 1.0).when(x <= 2, 2.0).when(x <= 2.5, 2.5).when(x <= 5, 5.0).otherwise(10.0) * magnitude)
-
-
-#: Weather codes and what they say.
-WEATHER = [(0, 0, "clear"), (1, 3, "cloudy"), (45, 48, "fog"), (51, 67, "rain"), (71, 77, "snow"), (80, 82, "rain"), (85, 86, "snow"), (95, 99, "thunder")]
-
-
-def weather(code: Column, hour: Column) -> Column:
-    """condition by code; clear skies differ by day and night."""
-    out = F.when(F.lit(False), "")
-    for low, high, name in WEATHER:
-        out = out.when(code.between(low, high), name)
-    said = out.otherwise("unknown")
-    return F.when(said == "clear", F.when(hour.between(6, 20), "sunny").otherwise("clear night")).otherwise(said)
-
-
-def desired_hours(start: Column) -> Column:
-    """two hours before the start, the start and two hours later, inside the day."""
-    return F.array_distinct(F.filter(F.array(start - 2, start, start + 2), lambda h: h.between(0, 23)))
-
-
-#: How failures are named, first match wins.
-FAILURES = [("rate_limited", "429|rate.?limit|too many"), ("timeout", "timeout|timed out|abort"), ("auth", "401|403|unauthor|forbidden"), ("not_found", "404|not found"), ("server", r"\b5\d\d\b|server error"), ("network", "network|fetch|econn")]
-
-
-def failure_kind(text: Column) -> Column:
-    """F39."""
-    out = F.when(text.isNull() | (text == ""), "none")
-    for name, pattern in FAILURES:
-        out = out.when(F.lower(text).rlike(pattern), name)
-    return out.otherwise("other")
-
-
-def match_score(same_name: Column, same_alias: Column, country: Column, has_genre: Column, ended: Column) -> Column:
-    """additive artist score between 0 and 100."""
-    points = F.when(same_name, 70).when(same_alias, 55).otherwise(0) + F.when(country, 15).otherwise(0) + F.when(has_genre, 10).otherwise(0) - F.when(ended, 10).otherwise(0)
-    return F.least(F.lit(100), F.greatest(F.lit(0), points))
+    step = F.when(top == 0, 0.25).otherwise(F.when(x <= 1, 1.0).when(x <= 2, 2.0).when(x <= 2.5, 2.5).when(x <= 5, 5.0).otherwise(10.0) * magnitude)
+    end = F.when(top == 0, 1.0).otherwise(F.ceil(top / step) * step)
+    return {"max": end, "step": step, "ticks": F.transform(F.sequence(F.lit(0), half_up(end / step).cast("int")), lambda i: i * step)}
+
+
+#: Weather codes, the key of the condition and what it says. Keys with a star differ by day and night.
+WEATHER = [
+    ([0], "clear*", "Clear"),
+    ([1], "partlyCloudy*", "Mostly clear"),
+    ([2], "partlyCloudy*", "Partly cloudy"),
+    ([3], "cloudy", "Cloudy"),
+    ([45, 48], "fog", "Fog"),
+    ([51, 53, 55, 56, 57], "drizzle", "Light rain"),
+    ([61, 63, 66, 67, 80, 81], "rain", "Rain"),
+    ([65, 82], "heavyRain", "Heavy rain"),
+    ([71, 73, 75, 77, 85, 86], "snow", "Snow"),
+    ([95, 96, 99], "thunderstorm", "Thunderstorms"),
+]
+DAWN, DUSK = 6, 20
+
+
+def weather(code: Column, hour: Column) -> dict[str, Column]:
+    """key and text of a weather code; night is before 6 and from 20 on."""
+    phase = F.when((hour < DAWN) | (hour >= DUSK), "Night").otherwise("Day")
+    key, text = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for codes, name, said in WEATHER:
+        key = key.when(code.isin(codes), F.concat(F.lit(name[:-1]), phase) if name.endswith("*") else F.lit(name))
+        text = text.when(code.isin(codes), said)
+    return {"key": key.otherwise("unknown"), "text": text.otherwise("Weather unavailable")}
+
+
+def desired_hours(time: Column) -> Column:
+    """of a start "HH:mm" the hours two before, at, two and four after, held inside the day; four evening hours without one."""
+    start = F.substring(time, 1, 2).cast("int")
+    around = F.array(F.greatest(F.lit(0), start - 2), start, F.least(F.lit(23), start + 2), F.when(start <= 20, F.least(F.lit(23), start + 4)))
+    known = F.coalesce(time.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.lit(False))
+    return F.when(known, F.array_distinct(F.array_compact(around))).otherwise(F.array(*[F.lit(h) for h in (17, 19, 21, 23)]))
+
+
+#: What failures are called, by status or words, first match first; the reasons may name the provider and the status.
+FAILURES = [
+    ("rate_limited", "status = 429", "rate[ _-]?limit|quota[_ -]?exceed|usage[_ -]?cap", "Rate limit reached; the item will be retried"),
+    ("provider_unavailable", "status >= 500", "", "{provider} temporarily unavailable (HTTP {status})"),
+    ("timeout", "", "timeout|timed out|aborterror|aborted", "Request timed out"),
+    ("invalid_response", "", "invalid[_ -]?(json|response|provider)|unparseable|malformed", "Provider returned an invalid response"),
+    ("match_uncertain", "", "show[_ -]?identity[_ -]?conflict|ambiguous[_ -]?show|match[_ -]?conflict", "Show could not be matched safely"),
+    ("match_uncertain", "", "artist[_ -]?id[_ -]?mismatch|duplicate[_ -]?spotify[_ -]?identity|needs[_ -]?review", "Artist could not be matched safely"),
+    ("network_error", "", "network|fetch failed|failed to fetch|econn|socket|dns", "Network request failed"),
+    ("provider_error", "status > 0", "", "{provider} request failed (HTTP {status})"),
+    ("update_failed", "true", "", "{provider} update could not be completed safely"),
+]
+STATUS = r"(?i)(?:http\s*)?(4\d\d|5\d\d)\b"
+
+
+def failure_summary(text: Column, provider: Column) -> dict[str, Column]:
+    """code and reason of a failure message, with the first HTTP error status in it."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    status = F.regexp_extract(low, STATUS, 1).try_cast("int")
+    label = F.substring(F.trim(F.regexp_replace(provider, r"[^A-Za-z0-9 ._-]", "")), 1, 40)
+    label = F.when(F.coalesce(label, F.lit("")) == "", "Provider").otherwise(label)
+    holds = {"": F.lit(False), "true": F.lit(True), "status = 429": status == 429, "status >= 500": status >= 500, "status > 0": status > 0}
+    code, reason = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for name, by_status, words, said in FAILURES:
+        hit = F.coalesce(holds[by_status], F.lit(False)) | (low.rlike(words) if words else F.lit(False))
+        full = F.substring(F.replace(F.replace(F.lit(said), F.lit("{provider}"), label), F.lit("{status}"), F.coalesce(status.cast("string"), F.lit(""))), 1, 140)
+        code, reason = code.when(hit, name), reason.when(hit, full)
+    return {"code": code, "reason": reason}
+
+
+def match_score(exact: Column, alias: Column, kind: Column, provider_score: Column, origin: Column, found: Column, impostor: Column) -> Column:
+    """how well a candidate fits a band, 0 to 100: by name or alias, as a group, by the provider's own score, by country; impostors get 0."""
+    points = F.when(exact, 75).when(alias, 65).otherwise(0) + F.when(kind.isin("Group", "Orchestra"), 10).otherwise(0)
+    points = points + F.when(provider_score >= 95, 10).otherwise(0) + F.when(origin == found, 5).when(origin != found, -30).otherwise(0)
+    return F.when(impostor, 0).otherwise(F.least(F.lit(100), F.greatest(F.lit(0), points)))
 
 
 def coverage_level(percent: Column) -> Column:
@@ -147,5 +185,14 @@ def next_first_or_fifteenth(now: Column) -> Column:
 
 
 def used_percent(used: Column, cap: Column) -> Column:
-    """Rounded percent, between 0 and 100."""
+    """Rounded percent, between 0 and 100."""
     return F.when(cap > 0, F.least(F.lit(100), F.greatest(F.lit(0), half_up(used / cap * 100)))).otherwise(0)
+
+
+def usage_bar(used: Column, cap: Column, real: Column) -> dict[str, Column]:
+    """The widths of our cap and of what is used, in percent of the real limit with two decimals, and whether the cap has a tick."""
+    some = lambda *xs: F.coalesce(*[F.when(x != 0, x) for x in xs])
+    limit = F.coalesce(some(real, cap), F.lit(1))
+    ours = F.coalesce(some(cap), limit)
+    share = lambda x: half_up(F.least(F.lit(100.0), F.greatest(F.lit(0.0), x / limit * 100)) * 100) / 100
+    return {"cap_pct": share(ours), "used_pct": share(F.coalesce(used, F.lit(0))), "tick": ours < limit}

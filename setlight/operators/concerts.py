@@ -189,8 +189,18 @@ def duplicate_ids(rows: DataFrame, key: str, ident: str) -> DataFrame:
     return rows.where(F.col(ident).isNotNull()).groupBy(ident).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(key)), ",").alias("rows")).where("n > 1")
 
 
+#: States of an artist's identity and how a summary calls them; all others were not checked yet.
+IDENTITY_STATES = {"auto_confirmed": "auto_confirmed", "manual_confirmed": "manual_confirmed", "needs_review": "awaiting_review", "no_match": "no_match", "error": "errors", "manual_rejected": "manually_rejected"}
+
+
+def identity_summary(rows: DataFrame, status: str) -> DataFrame:
+    """C11: one row with the number of bands in each state."""
+    known = F.coalesce(F.col(status).isin(*IDENTITY_STATES), F.lit(False))
+    return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col(status) == s).alias(name) for s, name in IDENTITY_STATES.items()], F.count_if(~known).alias("not_checked_yet"))
+
+
 def provider_coverage(rows: DataFrame, status: str, ident: str) -> DataFrame:
-    """Rows and identified rows per status, with rows whose id is not unique."""
+    """Rows and identified rows per status, with rows whose id is not unique."""
     many = rows.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_i")).count().where("count > 1").select("_i")
     marked = rows.join(many, F.col(ident) == F.col("_i"), "left")
     return marked.groupBy(status).agg(F.count("*").alias("n"), F.count(ident).alias("identified"), F.count("_i").alias("duplicated"))

@@ -28,7 +28,7 @@ def candidate_pairs(listens: DataFrame, tolerance_ms: int, same_source: bool = F
 
 
 def evidence() -> Column:
-    """D3: tier and outcome of a pair; recording id, track id, release with both durations, names."""
+    """D3: tier of a pair of different sources; recording id, track id, release with both durations, names."""
     same = lambda c: F.col(f"l_{c}") == F.col(f"r_{c}")
     names = same("band_id") & (F.lower(F.trim("l_recording_title")) == F.lower(F.trim("r_recording_title")))
     close = (F.col("l_duration_ms") > 0) & (F.col("r_duration_ms") > 0) & (F.abs(F.col("l_duration_ms") - F.col("r_duration_ms")) <= DURATION_TOLERANCE_MS)
@@ -36,6 +36,46 @@ def evidence() -> Column:
     return tier.cast("long")
 
 
+def matching_evidence(pairs: DataFrame, tolerance_ms: int) -> DataFrame:
+    """D3: any pairs (l_..., r_..., with source, source_id and reviewed) as (l_ord, r_ord, tier, outcome, method, automatic), the first rule that holds.
+
+    A reviewed listen is not judged again; one source's equal ids are the same listen whatever their times.
+    """
+    reviewed = F.coalesce("l_reviewed", F.lit(False)) | F.coalesce("r_reviewed", F.lit(False))
+    by_id = (F.col("l_source") == F.col("r_source")) & (F.col("l_source_id") == F.col("r_source_id"))
+    far = F.coalesce(F.abs(F.col("l_ms") - F.col("r_ms")) > tolerance_ms, F.lit(True))
+    tier = F.when(reviewed, 0).when(by_id, 1).when(far, 9).otherwise(F.coalesce(evidence(), F.lit(9)))
+    says = [
+        (0, None, "user_reviewed", "manual", False),
+        (1, 1, "exact_duplicate", "provider_id", True),
+        (2, 2, "exact_duplicate", "recording_id", True),
+        (3, 3, "exact_duplicate", "spotify_id", True),
+        (4, 4, "probable_duplicate", "trusted_release_duration_signature", False),
+        (5, 5, "ambiguous", "normalized_signature", False),
+        (9, None, "unique", None, False),
+    ]
+    rules = pairs.sparkSession.createDataFrame(says, "rule long, tier long, outcome string, method string, automatic boolean")
+    return pairs.withColumn("rule", tier.cast("long")).join(F.broadcast(rules), "rule").select("l_ord", "r_ord", "tier", "outcome", "method", "automatic")
+
+
+def merge_component(groups: DataFrame, pairs: DataFrame, earlier: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decisions (group_id, a, b) to merge, applied to review groups: (merged members, remaining pairs).
+
+    Listens joined by the decision or by earlier ones (group_id, a, b) become one; the smallest id stands for
+    them. ``groups`` holds (group_id, ord), ``pairs`` (group_id, a, b, tier). Pairs inside the merged listens
+    and the decided pair go, the others point to the smallest id and are kept once, the first by (a, b).
+    """
+    edges = earlier.select("group_id", "a", "b").unionByName(decided.select("group_id", "a", "b")).where("a <> b")
+    labels = components(edges.select("a", "b")).select(F.col("node").alias("ord"), F.col("label").alias("target"))
+    start = decided.join(labels, decided.a == labels.ord).select("group_id", F.col("target").alias("merged_into"))
+    members = groups.join(labels, "ord").join(start, "group_id").where("target = merged_into").select("group_id", "ord", "target")
+    end = lambda c: members.select("group_id", F.col("ord").alias(c), F.col("target").alias(f"to_{c}"))
+    mapped = pairs.join(decided.select("group_id", "a", "b", F.lit(True).alias("done")), ["group_id", "a", "b"], "left").where("done is null").drop("done").join(end("a"), ["group_id", "a"], "left").join(end("b"), ["group_id", "b"], "left")
+    x, y = F.coalesce("to_a", "a"), F.coalesce("to_b", "b")
+    moved = mapped.select("group_id", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "tier", F.struct("a", "b").alias("was")).where("a <> b")
+    return members, moved.groupBy("group_id", "a", "b").agg(F.min_by("tier", "was").alias("tier"))
+
+
 def candidates(listens: DataFrame, tolerance_ms: int) -> DataFrame:
     """(a, b, tier, automatic, pair): pairs with evidence; ``pair`` orders equal tiers."""
     pairs = candidate_pairs(listens, tolerance_ms).withColumn("tier", evidence()).where("tier is not null")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from setlight.functions.text import norm_title
+
 
 def unique_names(bands: DataFrame) -> DataFrame:
     """L2: name or alias -> band, without names that point to more than one band."""
@@ -55,16 +57,6 @@ def fill_from_siblings(events: DataFrame, group: str, value: str) -> DataFrame:
     return fill_from(events, agreed(events, group, value), group, [value])
 
 
-def from_catalogue(items: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Title and artist, and the release where the item has one, must name exactly one recording."""
-    both = items.join(catalogue, ["title", "artist"], "left")
-    fits = F.col("release").isNull() | (F.col("release") == F.col("c_release"))
-    n = F.countDistinct(F.when(fits, F.col("recording")))
-    found = both.groupBy("item").agg(n.alias("n"), F.min(F.when(fits, F.col("recording"))).alias("recording"), F.count("recording").alias("by_title"))
-    status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("by_title") > 0, "release_mismatch").otherwise("not_found")
-    return found.select("item", status.alias("status"), F.when(F.col("n") == 1, F.col("recording")).alias("recording"))
-
-
 def match_shows(candidates: DataFrame, shows: DataFrame) -> DataFrame:
     """A show by provider id, else by band, day and venue, else by band, day and city; several matches are ambiguous."""
     by_id = candidates.join(shows.select("provider_id", F.col("show").alias("s")), "provider_id").select("candidate", F.lit(1).alias("how"), "s")
@@ -76,9 +68,39 @@ def match_shows(candidates: DataFrame, shows: DataFrame) -> DataFrame:
     return candidates.select("candidate").join(best, "candidate", "left").select("candidate", F.col("m.how").cast("long").alias("how"), F.when(F.col("m.n") == 1, F.col("m.s")).alias("show"), (F.coalesce("m.n", F.lit(0)) > 1).alias("ambiguous"))
 
 
-def reconcile(matches: DataFrame) -> DataFrame:
-    """Matched candidates upgrade a show, ambiguous ones are skipped, the others are added."""
-    return matches.select("candidate", F.when(F.col("show").isNotNull(), "upgrade").when(F.col("ambiguous"), "skip").otherwise("add").alias("action"))
+def reconcile(candidates: DataFrame, shows: DataFrame) -> DataFrame:
+    """What becomes of each candidate: it upgrades a show, is added, or is skipped as a duplicate.
+
+    A candidate with a provider id upgrades the one show it matches; where several match it is added and
+    flagged. One without only looks for shows that have a provider id. Otherwise the same band, day, city
+    and venue is a duplicate, unless both have provider ids that differ.
+    """
+    by_provider = match_shows(candidates.where("provider_id is not null"), shows)
+    others = match_shows(candidates.where("provider_id is null"), shows.where("provider_id is not null"))
+    found = by_provider.unionByName(others).select(F.col("candidate").alias("m"), "show", "ambiguous")
+    same = shows.select("band_id", "d", "city", "venue", F.col("provider_id").alias("p"))
+    twins = candidates.join(same, ["band_id", "d", "city", "venue"]).where(~F.coalesce(F.col("provider_id") != F.col("p"), F.lit(False))).select(F.col("candidate").alias("twin")).distinct()
+    rows = candidates.join(found, candidates.candidate == found.m, "left").join(twins, candidates.candidate == twins.twin, "left")
+    ours, again = F.col("provider_id").isNotNull(), F.col("twin").isNotNull()
+    action = F.when(F.col("show").isNotNull(), F.when(ours, "upgrade").otherwise("skip_ticketmaster_duplicate")).when(ours & F.col("ambiguous"), "add").when(again, "skip_duplicate").otherwise("add")
+    return rows.select("candidate", action.alias("action"), F.col("show"), (ours & F.coalesce("ambiguous", F.lit(False))).alias("ambiguous"))
+
+
+def track_evidence(events: DataFrame, bands: DataFrame, decompose: bool = True) -> DataFrame:
+    """What events say about a song's link: (band_id, artist_id, artist, title, track_id, url), for L22.
+
+    Events without a title or link say nothing. A second row without band and artist id stands for the
+    artist's name, where only one band has it.
+    """
+    name = norm_title(F.col("name"), decompose)
+    named = bands.select("band_id", F.col("name").alias("b_name"), F.col("artist_id").alias("b_artist"), name.alias("b_norm"))
+    alone = bands.select(name.alias("norm")).groupBy("norm").count().where("count = 1 and norm <> ''").select("norm")
+    artist = F.coalesce("b_name", "artist")
+    rows = events.join(named, "band_id", "left").where((norm_title(F.col("title"), decompose) != "") & F.col("url").isNotNull()).withColumns({"who": artist, "norm": F.coalesce("b_norm", norm_title(F.col("artist"), decompose))})
+    own = rows.select("band_id", F.col("b_artist").alias("artist_id"), F.col("who").alias("artist"), "title", "track_id", "url")
+    null = lambda c: F.lit(None).cast(own.schema[c].dataType).alias(c)
+    by_name = rows.join(alone, "norm", "left_semi").select(null("band_id"), null("artist_id"), F.col("who").alias("artist"), "title", "track_id", "url")
+    return own.unionByName(by_name)
 
 
 def identity_audit(bands: DataFrame, listens: DataFrame, now_ms: int) -> DataFrame:
@@ -90,32 +112,36 @@ def identity_audit(bands: DataFrame, listens: DataFrame, now_ms: int) -> DataFra
     return bands.select("band_id").join(impact, "band_id", "left").na.fill(0, ["listens", *windows, "tracks"])
 
 
-def inventory(listens: DataFrame, bands: DataFrame) -> DataFrame:
-    """One work item per track with its status, the first rule that holds."""
-    rows = listens.join(bands.select("band_id"), "band_id", "left_semi").where("track_id is not null")
-    sums = rows.groupBy("track_id").agg(F.count("*").alias("events"), F.countDistinct("band_id").alias("bands"), F.countDistinct("recording_id").alias("recordings"), F.count("recording_id").alias("identified"))
-    status = F.when(F.col("recordings") > 1, "conflict").when(F.col("identified") == F.col("events"), "complete").when(F.col("identified") > 0, "partial").otherwise("missing")
-    return sums.withColumn("status", status)
-
-
-def album_groups(listens: DataFrame) -> DataFrame:
-    """Groups by band and title; ambiguous if a track is in several groups or ids disagree."""
-    rows = listens.where("release_title is not null and track_id is not null").select("band_id", "release_title", "track_id", "recording_id")
-    crossing = rows.groupBy("track_id").agg((F.countDistinct("band_id", "release_title") > 1).alias("crosses"))
-    return rows.join(crossing, "track_id").groupBy("band_id", "release_title").agg(F.countDistinct("track_id").alias("tracks"), F.bool_or("crosses").alias("crosses"), F.countDistinct("recording_id").alias("ids"), F.min("track_id").alias("first_track")).withColumn("ambiguous", F.col("crosses") | (F.col("ids") > 1))
-
-
-def artwork_plan(groups: DataFrame) -> DataFrame:
-    """Groups by what can be done: reuse, suppress or ask."""
-    action = F.when(F.col("ambiguous"), "suppressed").when(F.col("ids") == 1, "reusable").otherwise("provider")
-    return groups.groupBy(action.alias("action")).agg(F.count("*").alias("groups"), F.sum("tracks").alias("tracks"))
-
-
-def evidence_tiers(listens: DataFrame) -> DataFrame:
-    """Tracks by how well they are known: recording id, one id for part, release, title, nothing."""
-    sums = listens.where("track_id is not null").groupBy("track_id").agg(F.count("*").alias("n"), F.count("recording_id").alias("ids"), F.countDistinct("recording_id").alias("distinct"), F.count("release_title").alias("releases"))
-    tier = F.when((F.col("distinct") == 1) & (F.col("ids") == F.col("n")), "A").when(F.col("distinct") == 1, "B").when(F.col("distinct") > 1, "C").when(F.col("releases") > 0, "D").otherwise("E")
-    return sums.groupBy(tier.alias("tier")).agg(F.count("*").alias("tracks"), F.sum("n").alias("events"))
+def album_groups(listens: DataFrame, known: DataFrame) -> DataFrame:
+    """Groups of a band's release title; ambiguous if a track is in several groups, or album ids or neutral artwork disagree.
+
+    listens (ord, ms, band_id, release_title, track_id); known (track_id, album_id, artwork, neutral_artwork).
+    """
+    rows = listens.where("release_title is not null and track_id is not null and band_id is not null").withColumn("release", F.lower(F.trim("release_title")))
+    tracks = rows.groupBy("band_id", "release", "track_id").agg(F.count("*").alias("n"), F.max("ms").alias("ms"))
+    crossing = tracks.groupBy("track_id").agg((F.count("*") > 1).alias("crosses"))
+    several = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))
+    full = tracks.join(crossing, "track_id").join(known, "track_id", "left")
+    groups = full.groupBy("band_id", "release").agg(
+        F.count("*").alias("tracks"),
+        F.sum("n").alias("listens"),
+        F.max("ms").alias("latest_ms"),
+        F.bool_or("crosses").alias("crosses"),
+        several("album_id").alias("ids_disagree"),
+        several("neutral_artwork").alias("artwork_disagrees"),
+        F.min("album_id").alias("album_id"),
+        F.min(F.when(F.col("album_id").isNotNull(), F.col("artwork"))).alias("artwork"),
+        F.coalesce(F.min(F.when(F.col("album_id").isNotNull(), F.col("track_id"))), F.min("track_id")).alias("representative"),
+    )
+    reason = F.when(F.col("crosses"), "spotify_track_crosses_album_groups").when(F.col("ids_disagree"), "conflicting_known_spotify_album_ids").when(F.col("artwork_disagrees"), "conflicting_neutral_artwork")
+    return groups.select("band_id", "release", "tracks", "listens", "latest_ms", reason.alias("ambiguous"), *[F.when(reason.isNull(), F.col(c)).alias(c) for c in ("album_id", "artwork", "representative")])
+
+
+def artwork_plan(groups: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """Each safe group's way to artwork: reuse what its album has, leave it alone where a try ended for good, else ask."""
+    rows = groups.where("ambiguous is null").join(suppressed.select("band_id", "release", F.lit(True).alias("ended")), ["band_id", "release"], "left")
+    way = F.when(F.col("album_id").isNotNull() & F.col("artwork").isNotNull(), "reusable").when(F.col("ended"), "suppressed").otherwise("provider")
+    return rows.select("band_id", "release", "representative", way.alias("way"))
 
 
 def artwork_coverage(listens: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from setlight.functions.text import norm_title
+
 WINDOW_DAYS, MOST_SETS, LEAST_SETS = 730, 20, 3
 
 
@@ -20,19 +22,30 @@ def rounded_median(values: Column) -> Column:
     return F.when(n % 2 == 1, low).otherwise(half_up((low + high) / 2).cast("long"))
 
 
-def own_songs(sets: DataFrame, songs: DataFrame) -> DataFrame:
+def own_songs(sets: DataFrame, songs: DataFrame, *others: str) -> DataFrame:
     """Non-cover songs with their position among the set's own songs and the set's length."""
     order = W.partitionBy("setlist").orderBy("idx")
     real = songs.where("not is_cover and name is not null and name <> ''")
     placed = real.withColumns({"pos": (F.row_number().over(order) - 1).cast("long"), "length": F.count("*").over(W.partitionBy("setlist"))})
-    return placed.join(sets, "setlist").select("setlist", "band_id", "d", "tour", F.lower("name").alias("song"), "pos", "length", "is_encore")
+    return placed.join(sets, "setlist").select("setlist", "band_id", "d", "tour", F.lower("name").alias("song"), "pos", "length", "is_encore", *others)
 
 
 def useful_sets(sets: DataFrame, songs: DataFrame, today: str) -> DataFrame:
-    """Songs of each band's first 20 sets, in input order, of the last 730 days that have own songs."""
+    """Songs of each band's first 20 sets of the last 730 days that have own songs.
+
+    Sets come in input order (``ord``); of several with one ``set_id`` (or, without one, of one day and
+    venue) only the first counts, whether it has songs or not. ``sets`` without these columns are ordered
+    by setlist and are all different.
+    """
     day = F.lit(today).cast("date")
-    rows = own_songs(sets.where((F.col("d") <= day) & (F.col("d") >= F.date_sub(day, WINDOW_DAYS))), songs)
-    nth = F.dense_rank().over(W.partitionBy("band_id").orderBy("setlist"))
+    order = F.col("ord") if "ord" in sets.columns else F.col("setlist")
+    some = sets.where((F.col("d") <= day) & (F.col("d") >= F.date_sub(day, WINDOW_DAYS))).withColumn("at", order)
+    if "set_id" in sets.columns:
+        own_id = F.coalesce("set_id", F.concat_ws("|", F.col("d").cast("string"), F.col("venue").cast("string")))
+        first = some.groupBy("band_id", own_id.alias("own_id")).agg(F.min("at").alias("at"))
+        some = some.join(first.select("band_id", "at"), ["band_id", "at"], "left_semi")
+    rows = own_songs(some.select("setlist", "band_id", "d", "tour", "at"), songs, "at")
+    nth = F.dense_rank().over(W.partitionBy("band_id").orderBy("at"))
     return rows.withColumn("nth", nth.cast("long")).where(F.col("nth") <= MOST_SETS)
 
 
@@ -66,6 +79,44 @@ def predict(sets: DataFrame, songs: DataFrame, today: str) -> DataFrame:
     return kept.select("band_id", "song", place.cast("long").alias("place"), "rate", "label", "total")
 
 
+def prediction_summary(sets: DataFrame, songs: DataFrame, today: str) -> DataFrame:
+    """(band_id, status, sets, first_day, last_day, confidence, songs, fingerprint) for each band of ``sets``.
+
+    Confidence is high for eight sets of nearly one length with well known songs, medium for five with
+    known ones. The fingerprint changes with the sets used, their days and their songs; it is a digest of
+    its own, not the text hash that a browser would make.
+    """
+    used = useful_sets(sets, songs, today)
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "song", "is_encore"))), lambda x: F.concat(x["song"], F.when(x["is_encore"], "*").otherwise(""))), "\n")
+    per_set = used.groupBy("band_id", "setlist", "nth", "d", "length").agg(F.sha2(line, 256).alias("text"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "setlist", "d", "text"))), lambda x: F.concat_ws("|", x["setlist"].cast("string"), x["d"].cast("string"), x["text"])), "\n")
+    totals = per_set.groupBy("band_id").agg(F.count("*").alias("sets"), F.min_by("d", -F.col("nth")).alias("first_day"), F.min_by("d", "nth").alias("last_day"), (F.max("length") - F.min("length")).alias("spread"), F.sha2(whole, 256).alias("fingerprint"))
+    predicted = predict(sets, songs, today).groupBy("band_id").agg(F.count("*").alias("songs"), F.avg("rate").alias("rate"))
+    rows = sets.select("band_id").distinct().join(totals, "band_id", "left").join(predicted, "band_id", "left")
+    n = F.coalesce("sets", F.lit(0))
+    ready = n >= LEAST_SETS
+    confidence = F.when((n >= 8) & (F.col("spread") <= 2) & (F.col("rate") >= 65), "high").when((n >= 5) & (F.col("rate") >= 45), "medium").otherwise("low")
+    return rows.select(
+        "band_id",
+        F.when(n == 0, "unavailable").when(ready, "ready").otherwise("insufficient_data").alias("status"),
+        n.alias("sets"),
+        *[F.when(ready, F.col(c)).alias(c) for c in ("first_day", "last_day")],
+        F.when(ready, confidence).alias("confidence"),
+        F.coalesce("songs", F.lit(0)).alias("songs"),
+        F.when(ready, F.col("fingerprint")).alias("fingerprint"),
+    )
+
+
+#: Words in a track's or album's name that make it unfit for a prediction.
+UNFIT = r"\b(karaoke|tribute|cover)\b"
+
+
+def fitting_tracks(tracks: DataFrame, songs: DataFrame, decompose: bool = True) -> DataFrame:
+    """Tracks (track_id, artist_id, title, album) for predicted songs (song_id, artist_id, name): same artist and normalised title, nothing unfit."""
+    known = tracks.where(~F.lower(F.concat_ws(" ", "title", "album")).rlike(UNFIT)).select("track_id", "artist_id", norm_title(F.col("title"), decompose).alias("wanted"))
+    return songs.select("song_id", "artist_id", norm_title(F.col("name"), decompose).alias("wanted")).join(known, ["artist_id", "wanted"]).select("song_id", "track_id")
+
+
 def insights(sets: DataFrame, songs: DataFrame, compare: int = 50, least_prior: int = 20, rare: float = 0.05, least_tour: int = 3, gap_years: int = 2, most: int = 2) -> DataFrame:
     """For each set up to two remarkable songs against the band's earlier sets: long gap, tour debut, rare."""
     own = own_songs(sets, songs)

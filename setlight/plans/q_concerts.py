@@ -183,6 +183,15 @@ def identities(spark, d):
     return bands(spark, d).selectExpr("band_id", "case when band_id % 4 = 0 then null else band_id % 500 end as provider_id", "case band_id % 3 when 0 then 'confirmed' when 1 then 'needs_review' else 'no_match' end as status")
 
 
+@query(
+    "c11_identity_summary",
+    "with s as (select case band_id % 9 when 0 then 'auto_confirmed' when 1 then 'manual_confirmed' when 2 then 'needs_review' when 3 then 'no_match' when 4 then 'error' when 5 then 'manual_rejected' when 6 then 'pending' when 7 then 'odd' end as status from bands) select count(*) as total, count(*) filter (status = 'auto_confirmed') as auto_confirmed, count(*) filter (status = 'manual_confirmed') as manual_confirmed, count(*) filter (status = 'needs_review') as awaiting_review, count(*) filter (status = 'no_match') as no_match, count(*) filter (status = 'error') as errors, count(*) filter (status = 'manual_rejected') as manually_rejected, count(*) filter (status is null or status in ('pending', 'odd')) as not_checked_yet from s",
+)
+def identity_summary(spark, d):
+    status = F.get(F.array(*[F.lit(s) for s in (*C.IDENTITY_STATES, "pending", "odd")]), (F.col("band_id") % 9).cast("int"))
+    return C.identity_summary(bands(spark, d).select(status.alias("status")), "status")
+
+
 @query("c11_c12_provider_coverage", f"with i as ({IDS}), m as (select provider_id from i where provider_id is not null group by 1 having count(*) > 1) select status, count(*) as n, count(i.provider_id) as identified, count(m.provider_id) as duplicated from i left join m using (provider_id) group by status")
 def coverage(spark, d):
     return C.provider_coverage(identities(spark, d), "status", "provider_id")

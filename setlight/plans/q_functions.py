@@ -139,9 +139,25 @@ def f19(spark, d):
     return concerts(spark, d).select("d").distinct().select("d", *[N.bucket_label(F.col("d"), k).alias(k) for k in ("day", "week", "month", "year")])
 
 
-@query("f20_nice_axis", "with s as (select ord, price_cents / 4 as raw, price_cents from concerts where price_cents is not null), m as (select *, case when price_cents > 0 then pow(10.0, floor(log10(raw))) end as mag from s) select ord, case when price_cents <= 0 then 0.25 else case when raw / mag <= 1 then 1 when raw / mag <= 2 then 2 when raw / mag <= 2.5 then 2.5 when raw / mag <= 5 then 5 else 10 end * mag end as step from m")
+@query(
+    "f20_nice_axis",
+    """with s as (select ord, greatest(0, coalesce(price_cents, 0))::double as top from concerts), m as (select *, case when top > 0 then pow(10.0, floor(log10(top / 4))) end as mag from s), x as (select *, case when top = 0 then 0.25 else case when top / 4 / mag <= 1 then 1 when top / 4 / mag <= 2 then 2 when top / 4 / mag <= 2.5 then 2.5 when top / 4 / mag <= 5 then 5 else 10 end * mag end as step from m)
+    select ord, case when top = 0 then 1.0 else ceil(top / step) * step end as max, step, cast(case when top = 0 then 4 else ceil(top / step) end as bigint) as intervals from x""",
+)
 def f20(spark, d):
-    return concerts(spark, d).where("price_cents is not null").select("ord", N.nice_step(F.col("price_cents")).alias("step"))
+    axis = N.nice_axis(F.col("price_cents"))
+    return concerts(spark, d).select("ord", axis["max"].alias("max"), axis["step"].alias("step"), (F.size(axis["ticks"]) - 1).alias("intervals"))
+
+
+WIDE_SQL = "case " + " ".join(f"when regexp_matches({{x}}, '{p}') then '{g}'" for g, p in G.WIDE) + " else 'Other' end"
+
+
+@query(
+    "f22_wide_genres",
+    f"with g as (select band_id, list_filter(list_transform(regexp_split_to_array(genre_raw, '[,;/|]'), lambda y: {WIDE_SQL.format(x='lower(trim(y))')}), lambda y: y <> 'Other') as g from bands) select band_id, case when len(g) > 0 then g[1] else 'Other' end as wide from g",
+)
+def f22(spark, d):
+    return bands(spark, d).select("band_id", G.band_group(F.col("genre_raw"), G.wide_groups).alias("wide"))
 
 
 ALL = "case when len(list_filter(g, lambda x: x is not null)) = 0 then 'other' else array_to_string(list_sort(list_filter(g, lambda x: x is not null)), ',') end"
@@ -210,10 +226,15 @@ def f33(spark, d):
 
 @query(
     "f35_match_score",
-    "select c_custkey, least(100, greatest(0, case when c_custkey % 3 = 0 then 70 when c_custkey % 4 = 0 then 55 else 0 end + case when c_nationkey < 10 then 15 else 0 end + case when c_acctbal > 0 then 10 else 0 end - case when c_custkey % 7 = 0 then 10 else 0 end)) as score from customer",
+    """select c_custkey, case when c_custkey % 31 = 0 then 0 else least(100, greatest(0, case when c_custkey % 3 = 0 then 75 when c_custkey % 4 = 0 then 65 else 0 end + case when c_mktsegment in ('BUILDING', 'MACHINERY') then 10 else 0 end
+      + case when c_acctbal > 5000 then 10 else 0 end + case when c_nationkey % 6 = 5 or c_custkey % 7 = 6 then 0 when c_nationkey % 6 = c_custkey % 7 then 5 else -30 end)) end as score from customer""",
 )
 def f35(spark, d):
-    return read(spark, d, "customer").select("c_custkey", N.match_score(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 4 == 0, F.col("c_nationkey") < 10, F.col("c_acctbal") > 0, F.col("c_custkey") % 7 == 0).alias("score"))
+    rows = read(spark, d, "customer")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "Group").when(F.col("c_mktsegment") == "MACHINERY", "Orchestra").otherwise("Person")
+    provider = F.when(F.col("c_acctbal") > 5000, 95).otherwise(94)
+    origin, found = (F.expr(f"nullif({x}, {none})") for x, none in (("c_nationkey % 6", 5), ("c_custkey % 7", 6)))
+    return rows.select("c_custkey", N.match_score(F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 4 == 0, kind, provider, origin, found, F.col("c_custkey") % 31 == 0).alias("score"))
 
 
 @query(
@@ -234,24 +255,47 @@ def f36(spark, d):
 
 @query(
     "f37_f38_weather",
-    """with w as (select ord, cast(ord % 100 as integer) as code, cast(ord % 24 as integer) as hour from concerts), s as (select *, case when code = 0 then 'clear' when code between 1 and 3 then 'cloudy' when code between 45 and 48 then 'fog' when code between 51 and 67 then 'rain' when code between 71 and 77 then 'snow'
-      when code between 80 and 82 then 'rain' when code between 85 and 86 then 'snow' when code between 95 and 99 then 'thunder' else 'unknown' end as said from w)
-    select ord, case when said = 'clear' then case when hour between 6 and 20 then 'sunny' else 'clear night' end else said end as condition, array_to_string(list_filter([hour - 2, hour, hour + 2], lambda h: h between 0 and 23), ',') as hours from s""",
+    """with w as (select ord, cast(ord % 100 as integer) as code, cast(ord % 24 as integer) as h from concerts), s as (select *, case when h < 6 or h >= 20 then 'Night' else 'Day' end as phase, case when ord % 29 = 0 then null else h end as start from w),
+    t as (select *, case when code = 0 then 'clear' || phase when code in (1, 2) then 'partlyCloudy' || phase when code = 3 then 'cloudy' when code in (45, 48) then 'fog' when code between 51 and 57 and code not in (52, 54) then 'drizzle'
+      when code in (61, 63, 66, 67, 80, 81) then 'rain' when code in (65, 82) then 'heavyRain' when code in (71, 73, 75, 77, 85, 86) then 'snow' when code in (95, 96, 99) then 'thunderstorm' else 'unknown' end as condition_key from s)
+    select ord, condition_key, case when condition_key like 'clear%' then 'Clear' when code = 1 then 'Mostly clear' when code = 2 then 'Partly cloudy' when condition_key = 'cloudy' then 'Cloudy' when condition_key = 'fog' then 'Fog' when condition_key = 'drizzle' then 'Light rain'
+      when condition_key = 'rain' then 'Rain' when condition_key = 'heavyRain' then 'Heavy rain' when condition_key = 'snow' then 'Snow' when condition_key = 'thunderstorm' then 'Thunderstorms' else 'Weather unavailable' end as condition_text,
+      case when start is null then '17,19,21,23' else array_to_string(list_sort(list_distinct(list_filter([greatest(0, start - 2), start, least(23, start + 2), case when start <= 20 then least(23, start + 4) end], lambda x: x is not null))), ',') end as hours from t""",
 )
 def f37(spark, d):
     code, hour = (F.col("ord") % 100).cast("int"), (F.col("ord") % 24).cast("int")
-    return concerts(spark, d).select("ord", N.weather(code, hour).alias("condition"), F.array_join(N.desired_hours(hour), ",").alias("hours"))
+    time = F.when(F.col("ord") % 29 == 0, "24:00").otherwise(F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":30")))
+    said = N.weather(code, hour)
+    return concerts(spark, d).select("ord", said["key"].alias("condition_key"), said["text"].alias("condition_text"), F.array_join(N.desired_hours(time), ",").alias("hours"))
+
+
+FAILED = ["HTTP 429", "quota exceeded", "Request timed out", "403 Forbidden", "http 404", "Error 503", "fetch failed", "odd", "Malformed body", "ambiguous_show", "needs review", "Connect ECONNRESET", "room 4711"]
 
 
 @query(
     "f39_failure_kind",
-    """with e as (select ord, ['', 'HTTP 429', 'Request timed out', '403 Forbidden', '404', 'Error 503', 'fetch failed', 'odd'][ord % 8 + 1] as t from concerts)
-    select ord, case when t = '' then 'none' when regexp_matches(lower(t), '429|rate.?limit|too many') then 'rate_limited' when regexp_matches(lower(t), 'timeout|timed out|abort') then 'timeout' when regexp_matches(lower(t), '401|403|unauthor|forbidden') then 'auth'
-      when regexp_matches(lower(t), '404|not found') then 'not_found' when regexp_matches(lower(t), '\\b5\\d\\d\\b|server error') then 'server' when regexp_matches(lower(t), 'network|fetch|econn') then 'network' else 'other' end as kind from e""",
+    f"""with e as (select ord, {FAILED!r}[ord % 13 + 1] as t, case when ord % 2 = 0 then 'Ticket<b>master' end as provider from concerts), l as (select ord, lower(t) as t, case when provider is null then 'Provider' else 'Ticketbmaster' end as label,
+      try_cast(regexp_extract(lower(t), '(?:http\\s*)?(4\\d\\d|5\\d\\d)\\b', 1) as integer) as st from e),
+    c as (select *, case when st = 429 or regexp_matches(t, 'rate[ _-]?limit|quota[_ -]?exceed|usage[_ -]?cap') then 1 when st >= 500 then 2 when regexp_matches(t, 'timeout|timed out|aborterror|aborted') then 3 when regexp_matches(t, 'invalid[_ -]?(json|response|provider)|unparseable|malformed') then 4
+      when regexp_matches(t, 'show[_ -]?identity[_ -]?conflict|ambiguous[_ -]?show|match[_ -]?conflict') then 5 when regexp_matches(t, 'artist[_ -]?id[_ -]?mismatch|duplicate[_ -]?spotify[_ -]?identity|needs[_ -]?review') then 6 when regexp_matches(t, 'network|fetch failed|failed to fetch|econn|socket|dns') then 7 when st > 0 then 8 else 9 end as k from l)
+    select ord, ['rate_limited', 'provider_unavailable', 'timeout', 'invalid_response', 'match_uncertain', 'match_uncertain', 'network_error', 'provider_error', 'update_failed'][k] as code,
+      ['Rate limit reached; the item will be retried', label || ' temporarily unavailable (HTTP ' || st || ')', 'Request timed out', 'Provider returned an invalid response', 'Show could not be matched safely', 'Artist could not be matched safely', 'Network request failed', label || ' request failed (HTTP ' || st || ')', label || ' update could not be completed safely'][k] as reason from c""",
 )
 def f39(spark, d):
-    said = F.array(*[F.lit(x) for x in ("", "HTTP 429", "Request timed out", "403 Forbidden", "404", "Error 503", "fetch failed", "odd")])
-    return concerts(spark, d).select("ord", N.failure_kind(F.get(said, (F.col("ord") % 8).cast("int"))).alias("kind"))
+    text = F.get(F.array(*[F.lit(x) for x in FAILED]), (F.col("ord") % 13).cast("int"))
+    said = N.failure_summary(text, F.when(F.col("ord") % 2 == 0, "Ticket<b>master"))
+    return concerts(spark, d).select("ord", *[c.alias(k) for k, c in said.items()])
+
+
+@query(
+    "c15_usage_bars",
+    """with u as (select ord, coalesce(price_cents, 0) / 100 as used, case when ord % 5 = 0 then 0 else ord % 2000 end as cap, case when ord % 3 = 0 then 0 else 3000 end as lim from concerts), l as (select *, case when lim <> 0 then lim when cap <> 0 then cap else 1 end as r from u),
+    o as (select *, case when cap <> 0 then cap else r end as c from l)
+    select ord, floor(least(100, greatest(0, c / r * 100)) * 100 + 0.5) / 100 as cap_pct, floor(least(100, greatest(0, used / r * 100)) * 100 + 0.5) / 100 as used_pct, c < r as tick from o""",
+)
+def c15(spark, d):
+    rows = concerts(spark, d).selectExpr("ord", "coalesce(price_cents, 0) / 100 as used", "case when ord % 5 = 0 then 0 else ord % 2000 end as cap", "case when ord % 3 = 0 then 0 else 3000 end as lim")
+    return rows.select("ord", *[c.alias(k) for k, c in N.usage_bar(F.col("used"), F.col("cap"), F.col("lim")).items()])
 
 
 @query("f42_one_distinct", "select provider_id, case when count(distinct brand) = 1 then min(brand) end as brand from (select release_id % 300 as provider_id, case when release_id % 5 = 0 then null else brand end as brand from releases) group by 1")

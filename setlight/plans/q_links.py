@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from setlight.operators import linking as K
 from setlight.operators import planning as P
-from setlight.sources.standins import NOW_MS, bands, concerts, listens, read, releases
+from setlight.sources.standins import NOW_MS, bands, concerts, listens, read, releases, songs
 
 from .registry import query
 
@@ -72,20 +72,6 @@ def siblings(spark, d):
     return K.fill_from_siblings(listens(spark, d).select("ord", "track_id", "recording_id"), "track_id", "recording_id").select("ord", "recording_id")
 
 
-@query(
-    "l17_catalogue_match",
-    """with items as (select p_partkey as item, split_part(p_name, ' ', 1) as title, p_brand as artist, case when p_partkey % 2 = 0 then p_type end as release from part),
-    cat as (select split_part(p_name, ' ', 1) as title, p_brand as artist, p_type as c_release, p_partkey as recording from part where p_partkey % 3 <> 0),
-    j as (select item, count(distinct recording) filter (release is null or release = c_release) as n, min(recording) filter (release is null or release = c_release) as recording, count(recording) as by_title from items left join cat using (title, artist) group by item)
-    select item, case when n = 1 then 'resolved' when n > 1 then 'ambiguous' when by_title > 0 then 'release_mismatch' else 'not_found' end as status, case when n = 1 then recording end as recording from j""",
-)
-def catalogue(spark, d):
-    part = read(spark, d, "part")
-    items = part.selectExpr("p_partkey as item", "split_part(p_name, ' ', 1) as title", "p_brand as artist", "case when p_partkey % 2 = 0 then p_type end as release")
-    cat = part.where("p_partkey % 3 <> 0").selectExpr("split_part(p_name, ' ', 1) as title", "p_brand as artist", "p_type as c_release", "p_partkey as recording")
-    return K.from_catalogue(items, cat)
-
-
 CANDS = "cands as (select ord as candidate, case when ord % 5 = 0 then ord end as provider_id, band_id, d, case when ord % 3 = 0 then venue else 99 end as venue, city from concerts where ord % 2 = 0)"
 
 
@@ -102,9 +88,20 @@ def shows(spark, d):
     return K.match_shows(cands, rows.selectExpr("ord as show", "ord as provider_id", "band_id", "d", "venue", "city"))
 
 
-@query("l19_reconcile")
+@query(
+    "l19_reconcile",
+    f"""with {CANDS}, sh as (select ord as hit, case when ord % 3 <> 1 then ord end as p, band_id, d, venue, city from concerts),
+    f as (select candidate, 1 as how, hit from cands join sh on p = provider_id union all select candidate, 2, hit from cands c join sh s on s.band_id = c.band_id and s.d = c.d and s.venue = c.venue where c.provider_id is not null or p is not null
+      union all select candidate, 3, hit from cands c join sh s on s.band_id = c.band_id and s.d = c.d and s.city = c.city where c.provider_id is not null or p is not null),
+    g as (select candidate, how, count(distinct hit) as n, min(hit) as hit from f group by 1, 2), m2 as (select candidate, min(how) as how from g group by 1), b as (select m2.candidate, n, case when n = 1 then hit end as hit from m2 join g using (candidate, how)),
+    t as (select distinct candidate from cands c join sh s on s.band_id = c.band_id and s.d = c.d and s.city = c.city and s.venue = c.venue where not coalesce(c.provider_id <> s.p, false))
+    select c.candidate, case when hit is not null then case when provider_id is not null then 'upgrade' else 'skip_ticketmaster_duplicate' end when provider_id is not null and n > 1 then 'add' when t.candidate is not null then 'skip_duplicate' else 'add' end as action, hit as "show", provider_id is not null and coalesce(n, 0) > 1 as ambiguous
+    from cands c left join b on b.candidate = c.candidate left join t on t.candidate = c.candidate""",
+)
 def reconcile(spark, d):
-    return K.reconcile(shows(spark, d))
+    rows = concerts(spark, d)
+    cands = rows.where("ord % 2 = 0").selectExpr("ord as candidate", "case when ord % 5 = 0 then ord end as provider_id", "band_id", "d", "case when ord % 3 = 0 then venue else 99 end as venue", "city")
+    return K.reconcile(cands, rows.selectExpr("ord as show", "case when ord % 3 <> 1 then ord end as provider_id", "band_id", "d", "venue", "city"))
 
 
 @query("l21_l24_agreed_values", "select ord % 4000 as k, min(recording_id) as recording_id from listens where recording_id is not null group by 1 having count(distinct recording_id) = 1")
@@ -124,47 +121,35 @@ def identity_audit(spark, d):
     return K.identity_audit(bands(spark, d), listens(spark, d), NOW_MS)
 
 
-INV = "inv as (select track_id, count(*) as events, count(distinct band_id) as bands, count(distinct recording_id) as recordings, count(recording_id) as identified from listens where track_id is not null and band_id in (select band_id from bands) group by 1)"
-STATUS = "case when recordings > 1 then 'conflict' when identified = events then 'complete' when identified > 0 then 'partial' else 'missing' end"
-
-
-@query("a25_w6_inventory", f"with {INV} select *, {STATUS} as status from inv")
-def inventory(spark, d):
-    return K.inventory(listens(spark, d), bands(spark, d))
+ALBUM_LISTENS = "select ord, ms, band_id, concat('Album ', ord % 4) as release_title, case when ord % 499 = 0 then 'sAny' when ord % 97 = 0 then concat('s', band_id) when ord % 5 < 4 then concat('s', band_id, '-', ord % 4, '-', ord % 3) end as track_id from listens"
+KNOWN = "select track_id, case when b % 4 = 0 then concat('al', b % 50) when b % 4 = 1 then concat('al', b, '-', n % 2) end as album_id, case when b % 3 > 0 then concat('http://', b) end as artwork, case when b % 6 = 2 then concat('n', n % 2) end as neutral_artwork from (select track_id, min(band_id) as b, count(*) as n from lt where track_id is not null group by track_id) t"
+GROUPS = f"""lt as ({ALBUM_LISTENS}), kn as ({KNOWN}), tk as (select band_id, lower(trim(release_title)) as release, track_id, count(*) as n, max(ms) as ms from lt where track_id is not null and release_title is not null group by 1, 2, 3), x as (select track_id, count(*) > 1 as crosses from tk group by 1),
+  gr as (select band_id, release, count(*) as tracks, cast(sum(n) as bigint) as listens, max(ms) as latest_ms, bool_or(crosses) as c, count(distinct album_id) > 1 as i, count(distinct neutral_artwork) > 1 as a, min(album_id) as al, min(artwork) filter (album_id is not null) as art, coalesce(min(track_id) filter (album_id is not null), min(track_id)) as rep from tk join x using (track_id) left join kn using (track_id) group by 1, 2),
+  grp as (select band_id, release, tracks, listens, latest_ms, case when c then 'spotify_track_crosses_album_groups' when i then 'conflicting_known_spotify_album_ids' when a then 'conflicting_neutral_artwork' end as ambiguous, case when not c and not i and not a then al end as album_id, case when not c and not i and not a then art end as artwork, case when not c and not i and not a then rep end as representative from gr)"""
 
 
-@query("w8_w9_next_steps", f"with {INV}, s as (select *, {STATUS} as status from inv) select track_id, case when status = 'complete' then 'none' when status = 'conflict' then 'review' when bands > 1 then 'split' when events >= 3 then 'metadata' else 'batch' end as step from s")
-def steps(spark, d):
-    return P.next_steps(K.inventory(listens(spark, d), bands(spark, d)))
-
-
-GROUPS = """r as (select band_id, release_title, track_id, recording_id from listens where release_title is not null and track_id is not null), x as (select track_id, count(distinct (band_id, release_title)) > 1 as crosses from r group by 1),
-  grp as (select band_id, release_title, count(distinct track_id) as tracks, bool_or(crosses) as crosses, count(distinct recording_id) as ids, min(track_id) as first_track, bool_or(crosses) or count(distinct recording_id) > 1 as ambiguous from r join x using (track_id) group by 1, 2)"""
+def album_rows(spark, d):
+    rows = listens(spark, d)
+    rows.createOrReplaceTempView("listens")
+    spark.sql(ALBUM_LISTENS).createOrReplaceTempView("lt")
+    return spark.table("lt"), spark.sql(KNOWN)
 
 
 @query("a26_x7_album_groups", f"with {GROUPS} select * from grp")
 def album_groups(spark, d):
-    return K.album_groups(listens(spark, d))
+    return K.album_groups(*album_rows(spark, d))
 
 
-@query("a27_artwork_plan", f"with {GROUPS} select case when ambiguous then 'suppressed' when ids = 1 then 'reusable' else 'provider' end as action, count(*) as groups, cast(sum(tracks) as bigint) as tracks from grp group by 1")
+@query("a27_artwork_plan", f"with {GROUPS} select band_id, release, representative, case when album_id is not null and artwork is not null then 'reusable' when band_id % 4 = 3 and release like 'album%' then 'suppressed' else 'provider' end as way from grp where ambiguous is null")
 def artwork(spark, d):
-    return K.artwork_plan(K.album_groups(listens(spark, d)))
+    groups = K.album_groups(*album_rows(spark, d))
+    return K.artwork_plan(groups, groups.where("band_id % 4 = 3 and release like 'album%'"))
 
 
-@query("x8_one_track_per_group", f"with {GROUPS} select distinct first_track from grp where ids = 0")
+@query("x8_one_track_per_group", f"with {GROUPS} select distinct representative from grp where ambiguous is null and album_id is null")
 def one_track(spark, d):
-    """One track for each group without ids."""
-    return K.album_groups(listens(spark, d)).where("ids = 0").select("first_track").distinct()
-
-
-@query(
-    "a28_evidence_tiers",
-    """with s as (select track_id, count(*) as n, count(recording_id) as ids, count(distinct recording_id) as k, count(release_title) as rel from listens where track_id is not null group by 1)
-    select case when k = 1 and ids = n then 'A' when k = 1 then 'B' when k > 1 then 'C' when rel > 0 then 'D' else 'E' end as tier, count(*) as tracks, cast(sum(n) as bigint) as events from s group by 1""",
-)
-def tiers(spark, d):
-    return K.evidence_tiers(listens(spark, d))
+    """One track for each safe group without an album id."""
+    return K.album_groups(*album_rows(spark, d)).where("ambiguous is null and album_id is null").select("representative").distinct()
 
 
 @query("x1_artwork_coverage", "with p as (select bool_or(recording_id is not null) as c from listens group by band_id, release_title) select count(*) as albums, count(*) filter (c) as matched, cast(floor(count(*) filter (c) / count(*) * 100 + 0.5) as bigint) as percent from p")
@@ -182,21 +167,37 @@ def unresolved(spark, d):
 
 TODAY = "2024-02-01"
 BAD = r"\b(deluxe|expanded|anniversary|remaster(ed)?|reissue|compilation|greatest hits|remix|live|tribute|karaoke|bootleg)\b"
-ANNOUNCED = "case when release_id % 4 = 0 then date '2024-01-25' when release_id % 4 = 1 then date '2023-12-01' end"
-ST = f"""st as (select release_id, band_id, unnest(list_filter([case when good and long and a is null then 'album_announced' end, case when good and type = 'Single' and provider_id is not null then 'new_single' end,
-  case when good and long and release_date - date '{TODAY}' = 7 and not coalesce(a > date '2024-01-18', false) then 'upcoming_release' end, case when good and long and release_date = date '{TODAY}' then 'out_today' end], lambda x: x is not null)) as stage
-  from (select *, {ANNOUNCED} as a, type in ('Album', 'EP') as long, type in ('Album', 'EP', 'Single') and not regexp_matches(lower(title), '{BAD}') as good from releases))"""
+STAGED = """select release_id, band_id, title, type, release_date, provider_id, case when release_id % 6 <> 0 then concat('http://', release_id) end as url, case when release_id % 2 = 0 then concat('mb', release_id) end as mbid, concat(band_id, '|', title) as dedup, release_id % 10 <> 9 as eligible,
+  case when release_id % 4 = 0 then date '2024-01-25' when release_id % 4 = 1 then date '2023-12-01' end as prior_album_announced, case when release_id % 7 = 0 then date '2024-01-01' end as prior_new_single, case when release_id % 13 = 0 then date '2024-01-01' end as prior_upcoming_release, case when release_id % 29 = 0 then date '2024-01-01' end as prior_out_today from releases"""
+ST = f"""sd as ({STAGED}), st as (select *, unnest(list_filter([case when good and long and prior_album_announced is null then 'album_announced' end, case when good and type = 'Single' and provider_id is not null and url is not null and prior_new_single is null then 'new_single' end,
+  case when good and long and release_date - date '{TODAY}' = 7 and prior_upcoming_release is null and not coalesce(date '{TODAY}' - prior_album_announced < 14, false) then 'upcoming_release' end, case when good and long and release_date = date '{TODAY}' and prior_out_today is null then 'out_today' end], lambda x: x is not null)) as stage
+  from (select *, type in ('Album', 'EP') as long, type in ('Album', 'EP', 'Single') and not regexp_matches(lower(title), '{BAD}') as good from sd))"""
 
 
-@query("r2_release_stages", f"with {ST} select * from st")
+def staged(spark, d):
+    releases(spark, d).createOrReplaceTempView("releases")
+    return spark.sql(STAGED).withColumnRenamed("dedup", "key")
+
+
+@query("r2_release_stages", f"with {ST} select release_id, band_id, stage from st")
 def release_stages(spark, d):
-    return releases(spark, d).select("release_id", "band_id", F.explode(P.stages(TODAY, F.expr(ANNOUNCED))).alias("stage"))
+    return staged(spark, d).select("release_id", "band_id", F.explode(P.stages(TODAY)).alias("stage"))
+
 
+SLUGS = "concat('release-', band_id, '-', replace(stage, '_', '-'), '-', trim(regexp_replace(lower(case when mbid is not null then concat('mbid:', mbid, ':', type) when provider_id is not null then concat('spotify:', provider_id, ':', type) else concat(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), ':', coalesce(cast(release_date as varchar), ''), ':', type) end), '[^a-z0-9]+', '-', 'g'), '-'))"
+ALERTS = "select release_id as ord, band_id, case when release_id % 5 = 0 then concat('release-', band_id, '-new-single-spotify-', provider_id, '-single') else concat('old-', release_id) end as alert_id, case when release_id % 3 = 1 then mbid end as mbid, case when release_id % 8 = 3 then provider_id end as provider_id, case when release_id % 8 = 5 then dedup end as key from sd where release_id % 3 <> 2"
 
-@query("r3_lifecycle_alerts", f"with {ST} select release_id, band_id, stage, case when release_id % 5 = 0 and stage = 'new_single' then 'enrich' else 'create' end as action from st")
+
+@query(
+    "r3_lifecycle_alerts",
+    f"""with {ST}, al as ({ALERTS}), du as (select *, {SLUGS} as new_id from st where eligible), f as (select release_id, stage, ord, alert_id from du join al on al.band_id = du.band_id and (al.alert_id = new_id or (stage = 'album_announced' and (al.mbid = du.mbid or al.provider_id = du.provider_id or al.key = du.dedup)))),
+    o as (select release_id, stage, arg_min(alert_id, ord) as old_id from f group by 1, 2)
+    select du.release_id, band_id, du.stage, case when old_id is not null then 'enrich' else 'create' end as action, coalesce(old_id, new_id) as alert_id from du left join o on o.release_id = du.release_id and o.stage = du.stage union all select release_id, band_id, null, 'skip', null from sd where not eligible""",
+)
 def lifecycle(spark, d):
-    rows = releases(spark, d)
-    return P.lifecycle_alerts(rows, rows.where("release_id % 5 = 0").selectExpr("release_id", "'new_single' as stage"), TODAY, F.expr(ANNOUNCED))
+    rows = staged(spark, d)
+    rows.withColumnRenamed("key", "dedup").createOrReplaceTempView("sd")
+    return P.lifecycle_alerts(rows, spark.sql(ALERTS), TODAY)
 
 
 @query("r1_feed_cleanup", "select type, count(*) filter (ok) as kept, count(*) filter (not ok) as removed from (select type, release_date is not null and type <> 'Broadcast' as ok from releases) group by type")
@@ -213,13 +214,27 @@ def availability(spark, d):
     return P.availability_alerts(rows, rows.where("release_id % 4 = 0"), TODAY, 14)
 
 
-OBS = "select release_id as ord, band_id % 50 as band_id, split_part(title, ' ', 1) as title, type, release_date, brand as source, provider_id from releases"
+OBS = """select release_id as ord, band_id % 40 as band_id, case when release_id % 9 = 0 then concat(upper(title), ' (Deluxe)') else title end as title, type, release_date, case when release_date is not null then 'day' end as precision, case when release_id % 5 < 2 then concat('g', release_id % 300) end as mbid,
+  provider_id, brand as source, cast(release_id % 100 as bigint) as first_seen from (select * replace (split_part(title, ' ', 1) as title) from releases)"""
+FOLD = "trim(regexp_replace(regexp_replace(lower({x}), '\\s*[(\\[][^)\\]]*(edition|version|remaster(ed)?|deluxe|expanded)[^)\\]]*[)\\]]\\s*$', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def together(keys: str, rows: str, sources: str) -> str:
+    last = ", ".join(f"arg_max({c}, ord) filter ({c} is not null) as {c}" for c in ("title", "type", "release_date", "precision", "provider_id"))
+    first = ", ".join(f"arg_min({c}, ord) filter ({c} is not null) as {c}" for c in ("mbid", "first_seen"))
+    return f"select {keys}, {last}, {first}, list_sort(list_distinct({sources})) as sources, max(ord) as o from {rows} group by all"
 
 
-@query("r5_merged_releases", f"select band_id, title, type, release_date, array_to_string(list_sort(list(distinct source)), ',') as sources, arg_min(provider_id, ord) filter (provider_id is not null) as provider_id from ({OBS}) group by 1, 2, 3, 4")
+@query(
+    "r5_merged_releases",
+    f"""with ob as ({OBS}), lo as ({together("band_id, " + FOLD.format(x="title") + " as canonical, type as kt, release_date as kd, precision as kp", "ob", "list(source)")}), lk as (select * rename (o as ord) from lo),
+    mg as ({together("band_id, coalesce('mbid:' || mbid, concat_ws('|', canonical, kt, cast(kd as varchar), kp)) as k", "lk", "flatten(list(sources))")})
+    select band_id, title, type, release_date, precision, provider_id, mbid, first_seen, array_to_string(sources, ',') as sources from mg""",
+)
 def merged(spark, d):
-    rows = releases(spark, d).selectExpr("release_id as ord", "band_id % 50 as band_id", "split_part(title, ' ', 1) as title", "type", "release_date", "brand as source", "provider_id")
-    return P.merged_releases(rows)
+    releases(spark, d).withColumn("title", F.split_part("title", F.lit(" "), F.lit(1))).createOrReplaceTempView("named")
+    rows = spark.sql(OBS.replace("(select * replace (split_part(title, ' ', 1) as title) from releases)", "named"))
+    return P.merged_releases(rows, decompose=False).withColumn("sources", F.array_join("sources", ","))
 
 
 @query("r6_m4_upsert", "select coalesce(a.release_id, b.release_id) as release_id, coalesce(b.provider_id, a.provider_id) as provider_id, coalesce(b.title, a.title) as title from (select * from releases where release_id % 3 <> 1) a full join (select release_id, provider_id, upper(title) as title from releases where release_id % 2 = 0) b on a.release_id = b.release_id")
@@ -241,11 +256,34 @@ def release_list(spark, d):
     return releases(spark, d).where("release_date is not null and type <> 'Broadcast'").join(bands(spark, d).where("not muted").select("band_id"), "band_id", "left_semi").select("release_id", "release_date")
 
 
-@query("r10_x28_recent_news", f"select release_id, title from releases where release_date is not null and release_date <= date '{TODAY}' and date '{TODAY}' - release_date <= 14")
+NEWS = "select release_id, band_id, title, type, case when release_date is not null then case when release_id % 19 = 0 then substr(cast(release_date as varchar), 1, 7) else cast(release_date as varchar) end end as release_day, release_date as d from releases"
+
+
+def news_rows(spark, d):
+    releases(spark, d).createOrReplaceTempView("releases")
+    return spark.sql(NEWS.replace("varchar", "string"))
+
+
+@query("r10_structured_news", f"select release_id, band_id, 'New ' || lower(type) || ': ' || title as headline, try_cast(release_day as date) as d from ({NEWS}) where type in ('Album', 'EP', 'Single') and not regexp_matches(lower(title), '{BAD}') and (release_day is null or (length(release_day) = 10 and date '{TODAY}' - d <= 14))")
 def news(spark, d):
-    """Dated releases of the last fourteen days."""
-    age = F.datediff(F.lit(TODAY).cast("date"), "release_date")
-    return releases(spark, d).where(age.between(0, 14)).select("release_id", "title")
+    return P.structured_news(news_rows(spark, d), TODAY)
+
+
+@query("x28_fresh_news", f"select release_id, title from releases where release_date is null or date '{TODAY}' - release_date <= 14")
+def fresh(spark, d):
+    return P.fresh_news(news_rows(spark, d), TODAY).select("release_id", "title")
+
+
+@query("x29_first_of_key", "with n as (select release_id as ord, concat_ws('|', cast(band_id % 20 as varchar), type, lower(split_part(title, ' ', 1))) as key from releases) select key, min(ord) as ord from n where ord >= 100 and key not in (select key from n where ord < 100) group by key")
+def first_news(spark, d):
+    rows = releases(spark, d).selectExpr("release_id as ord", "band_id % 20 as band_id", "type as category", "split_part(title, ' ', 1) as headline")
+    return P.first_of_key(rows.where("ord >= 100"), rows.where("ord < 100"))
+
+
+@query("l11_news_list", "select release_id, band_id, row_number() over (partition by band_id order by release_date desc nulls last, release_id) as place from (select release_id, band_id % 50 as band_id, release_date from releases)")
+def news_list(spark, d):
+    rows = releases(spark, d).selectExpr("release_id as ord", "band_id % 50 as band_id", "release_date as found")
+    return P.news_list(rows).select(F.col("ord").alias("release_id"), "band_id", "place")
 
 
 # --- planning -----------------------------------------------------------------------------------
@@ -264,20 +302,70 @@ def fair(spark, d):
     return P.fair_pick(tasks, 200)
 
 
-CHECKED = "select band_id, cast(band_id % 4 as bigint) as misses, case when band_id % 6 = 0 then null else date '2024-01-01' - cast(band_id % 90 as integer) end as checked from bands"
+DAYS = "cast(86400000 as bigint)"
+CHECKED = f"select band_id, band_id % 5 as empty, case when band_id % 6 <> 0 then {NOW_MS} - (band_id % 90) * {DAYS} end as checked_ms, case when band_id % 4 <> 0 then {NOW_MS} + (band_id % 60 - 40) * {DAYS} end as next_ms, case when band_id % 3 = 0 then {NOW_MS} - 100 * {DAYS} end as found_ms from bands"
+SHOWN = f"select band_id, {NOW_MS} - (ord % 400) * {DAYS} as at_ms from concerts where ord % 3 = 0"
+STATES = f"""ck as ({CHECKED}), sh as (select band_id, max(at_ms) as t from ({SHOWN}) group by 1), sx as (select band_id, checked_ms, coalesce(found_ms, t) as found_ms, t is not null and (checked_ms is null or t > checked_ms) as reset, empty as e, next_ms as n, t from ck left join sh using (band_id)),
+  sy as (select *, case when reset then 0 else e end as empty, case when reset then t + 28 * {DAYS} else n end as next_ms from sx)"""
+
 
+def checked(spark, d):
+    bands(spark, d).createOrReplaceTempView("bands")
+    concerts(spark, d).createOrReplaceTempView("concerts")
+    return spark.sql(CHECKED), spark.sql(SHOWN)
 
-@query("w3_w4_due_bands", f"with b as ({CHECKED}), s as (select b.band_id, (select max(d) from concerts c where c.band_id = b.band_id) as last_found, cast(checked + case when misses = 0 then 30 when misses = 1 then 60 else 90 end as date) as due, checked from b) select band_id, last_found, due from s where checked is null or due <= date '2024-01-15'")
+
+@query(
+    "w3_w4_due_bands",
+    f"with {STATES} select band_id, case when checked_ms is null then 'first_concert_web_check' when reset then 'ticketmaster_activity_reset' when empty = 0 then 'supplemental_concert_check' else 'inactive_backoff_due' end as reason, case when checked_ms is null then 0 when reset then 1 when empty = 0 then 2 else 3 end as priority, empty from sy where checked_ms is null or next_ms is null or next_ms <= {NOW_MS}",
+)
 def due(spark, d):
-    rows = bands(spark, d).selectExpr("band_id", "band_id % 4 as misses", "case when band_id % 6 = 0 then null else date_sub(date '2024-01-01', cast(band_id % 90 as int)) end as checked")
-    return P.due_bands(rows, concerts(spark, d), "2024-01-15")
+    return P.due_bands(*checked(spark, d), NOW_MS)
+
+
+@query(
+    "w4_next_state",
+    f"""with {STATES}, nx as (select *, band_id % 7 = 0 as hit, least(3, empty + 1) as k from sy)
+    select band_id, case when hit then 0 else k end as empty, {NOW_MS} + case when hit then 28 else 30 * k end * {DAYS} as next_ms, case when hit then {NOW_MS} else found_ms end as found_ms, case when hit then 'concerts_found' else 'no_concerts_found' end as result from nx""",
+)
+def after_look(spark, d):
+    return P.next_state(*checked(spark, d), F.col("band_id") % 7 == 0, NOW_MS)
+
+
+LOOKED = f"""select band_id, case when band_id % 5 = 0 then ' ' when band_id % 5 <> 1 then concat('Band ', band_id) end as artist_name, case when band_id % 4 <> 0 then {NOW_MS} - (band_id % 100) * {DAYS} end as success_ms, case when band_id % 3 = 0 then {NOW_MS} - (band_id % 50) * {DAYS} end as attempt_ms,
+  case when band_id % 7 < 3 then {NOW_MS} + (band_id % 21 - 10) * {DAYS} end as next_ms, band_id % 11 < 4 as failed, case when band_id % 6 = 0 then 'complete' when band_id % 6 = 1 then 'running' when band_id % 6 = 2 then 'not_started' when band_id % 6 < 5 then 'complete' end as status, band_id % 13 = 0 as continues from bands"""
+
+
+@query(
+    "w2_tasks",
+    f"""with lk as ({LOOKED}), m as (select *, coalesce(trim(artist_name), '') <> '' as named from lk),
+    n as (select *, case when not named then coalesce(next_ms, attempt_ms, 0) when next_ms is not null then next_ms when success_ms is null then 0 else success_ms + 30 * {DAYS} end as due_ms from m),
+    u as (select *, coalesce(status, 'not_started') <> 'complete' or continues as open, case when success_ms is null then 0 else success_ms + 14 * {DAYS} end as kept from lk), v as (select *, case when open then coalesce(next_ms, attempt_ms, success_ms, 0) when next_ms is null then kept else greatest(kept, next_ms) end as due_ms from u)
+    select band_id, 'metadata' as kind, case when not named then 0 when next_ms is not null then case when failed then 0 else 1 end when success_ms is null then 0 else 1 end as priority, due_ms,
+      case when not named then case when failed then 'metadata_retry_due' else 'metadata_bootstrap' end when next_ms is not null then case when failed then 'metadata_retry_due' else 'metadata_retained_due' end when success_ms is null then 'metadata_bootstrap' else 'metadata_retained_due' end as reason
+    from n where case when not named then next_ms is null or next_ms <= {NOW_MS} else due_ms <= {NOW_MS} end
+    union all select band_id, 'release', case when open then 0 else 1 end, due_ms, case when not open then 'release_retained_due' when coalesce(status, 'not_started') = 'not_started' then 'release_bootstrap' else 'release_continuation_or_retry' end from v where due_ms <= {NOW_MS}""",
+)
+def tasks(spark, d):
+    bands(spark, d).createOrReplaceTempView("bands")
+    rows = spark.sql(LOOKED)
+    return P.metadata_tasks(rows, NOW_MS, 30).unionByName(P.release_tasks(rows, NOW_MS, 14))
 
 
-@query("w5_image_maintenance", "select band_id, n from (select b.band_id, count(l.ord) as n from bands b left join listens l using (band_id) where not muted group by 1) order by n desc, band_id limit 10")
+IMAGES = f"""select b.band_id, b.band_id % 9 = 0 as has_image, b.band_id % 31 = 0 as duplicate, case when b.band_id % 3 <> 0 then concat('a', b.band_id) end as spotify_id, b.band_id % 2 = 0 as eligible, case when b.band_id % 5 = 0 then concat('a', b.band_id) when b.band_id % 5 = 1 then 'other' end as identity_id,
+  case when b.band_id % 10 = 0 then {NOW_MS} + 1 when b.band_id % 10 = 5 then {NOW_MS} - 1 end as next_ms, case when n is null then 'noHistory' when b.band_id % 4 = 0 then 'threeMonths' when b.band_id % 4 = 1 then 'oneYear' when b.band_id % 4 = 2 then 'allTime' when b.band_id % 8 = 3 then 'fourteenDays' end as bucket,
+  coalesce(n, 0) as listens, case when n is not null then b.band_id % 17 end as rank, {NOW_MS} as now_ms from bands b left join (select band_id, count(*) as n from listens group by band_id) l on l.band_id = b.band_id"""
+
+
+@query(
+    "w5_image_maintenance",
+    f"""with im as ({IMAGES}), k as (select * from im where not has_image and not duplicate and case when spotify_id is null then eligible else identity_id is null or identity_id <> spotify_id or next_ms is null or next_ms <= now_ms end),
+    r as (select band_id, spotify_id, row_number() over (order by coalesce(list_position(['fourteenDays', 'threeMonths', 'oneYear', 'allTime', 'noHistory'], bucket), 5), spotify_id is null, listens desc, rank nulls last, cast(band_id as varchar)) as place from k) select * from r where place <= 10""",
+)
 def images(spark, d):
-    """The ten unmuted bands with most listens."""
-    n = listens(spark, d).groupBy("band_id").agg(F.count("*").alias("n"))
-    return bands(spark, d).where("not muted").select("band_id").join(n, "band_id", "left").na.fill(0, ["n"]).orderBy(F.desc("n"), "band_id").limit(10)
+    bands(spark, d).createOrReplaceTempView("bands")
+    listens(spark, d).createOrReplaceTempView("listens")
+    return P.image_maintenance(spark.sql(IMAGES), 10)
 
 
 @query("w7_m7_page", "select band_id from (select band_id, 0 as w from bands where band_id > 1400 union all select band_id, 1 from bands where band_id <= 1400) order by w, band_id limit 150")
@@ -296,10 +384,30 @@ def trailing(spark, d):
     return P.trailing_sum(rows, "ms", "tokens", DAY, "band_id").select("ord", "used")
 
 
-@query("w12_worst_status", "select band_id, ['ok', 'skipped', 'warning', 'error'][max(ord % 4) + 1] as status, count(*) as n from listens group by band_id")
-def worst(spark, d):
-    status = F.get(F.array(*[F.lit(s) for s in P.SEVERITY]), (F.col("ord") % 4).cast("int"))
-    return P.worst_status(listens(spark, d).select("band_id", status.alias("status")), "band_id")
+@query("x30_remaining_budget", f"select band_id, cast(sum(n) as bigint) as reserved, greatest(0, 40 - sum(n))::bigint as remaining from (select band_id, ms, ord % 25 as n from listens) where ms > {NOW_MS} - {DAYS} and ms <= {NOW_MS} group by band_id")
+def budget(spark, d):
+    rows = listens(spark, d).selectExpr("band_id", "ms as at_ms", "ord % 25 as n")
+    return P.remaining_budget(rows, "band_id", NOW_MS, 40)
+
+
+@query("x15_backfill_plan", "select distinct track_id as id from listens where track_id is not null and track_id not in (select track_id from listens where track_id is not null and ord % 100 = 0) and track_id not in (select track_id from listens where track_id is not null and ord % 100 = 4) order by 1 limit 20")
+def backfill(spark, d):
+    rows = listens(spark, d).where("track_id is not null").selectExpr("ord", "track_id as id")
+    return P.backfill_plan(rows, rows.where("ord % 100 = 0"), rows.where("ord % 100 = 4"), 20)
+
+
+REPORTS = """select cast(floor(ord / 3) as bigint) as run, ord, case ord % 9 when 0 then 'Partial' when 1 then 'FAILED' when 2 then null when 3 then 'odd' else ' healthy ' end as status, case when ord % 4 <> 0 then (ord % 50 - 2) / 2.0 end as work, case when ord % 5 = 0 then ord % 7 end as changes, case when ord % 6 = 0 then concat(' line', chr(10), 'two ', ord) end as reason from listens"""
+
+
+@query(
+    "w12_merged_activity",
+    f"""with rp as ({REPORTS}), s as (select *, lower(trim(coalesce(status, ''))) as l from rp)
+    select run, case when bool_or(l in ('error', 'failed', 'failure')) then 'error' when bool_or(l in ('attention', 'partial', 'deferred', 'warning', 'needs_attention')) then 'attention' else 'ok' end as status, cast(floor(arg_max(work, ord) filter (work >= 0)) as bigint) as work,
+      cast(arg_max(changes, ord) filter (changes >= 0) as bigint) as changes, trim(regexp_replace(arg_max(reason, ord) filter (reason is not null), '[\r\n\t]+', ' ', 'g')) as reason from s group by run""",
+)
+def activity(spark, d):
+    listens(spark, d).createOrReplaceTempView("listens")
+    return P.merged_activity(spark.sql(REPORTS), "run")
 
 
 @query("w13_top_candidates", "select venue, band_id from (select venue, band_id, row_number() over (partition by venue order by max(price_cents) desc nulls last, count(*) desc, band_id) as rn from concerts group by venue, band_id) where rn <= 5")
@@ -327,9 +435,9 @@ V = "base as (select release_id as id, title as a, brand as b from releases), mi
 
 @query(
     "m1_m2_s3_three_way_merge",
-    f"""with {V}, f as (select base.id, base.a as ba, base.b as bb, mine.id is not null as m, mine.a as ma, mine.b as mb, theirs.id is not null as t, theirs.a as ta, theirs.b as tb from base left join mine using (id) left join theirs using (id))
+    f"""with {V}, f as (select coalesce(base.id, mine.id, theirs.id) as id, base.id is not null as o, base.a as ba, base.b as bb, mine.id is not null as m, mine.a as ma, mine.b as mb, theirs.id is not null as t, theirs.a as ta, theirs.b as tb from base full join mine using (id) full join theirs using (id))
     select id, case when not m then ta when not t then ma when ma is not distinct from ba then ta else ma end as a, case when not m then tb when not t then mb when mb is not distinct from bb then tb else mb end as b
-    from f where (m and t) or (m and not t and (ma is distinct from ba or mb is distinct from bb)) or (not m and t and (ta is distinct from ba or tb is distinct from bb))""",
+    from f where m or (t and (ta is distinct from ba or tb is distinct from bb))""",
 )
 def three_way(spark, d):
     return P.three_way(*versions(spark, d), "id", ["a", "b"])
@@ -365,9 +473,83 @@ def newest(spark, d):
     return P.newest(releases(spark, d).selectExpr("release_id % 300 as k", "release_id as fetched", "title"), "k", "fetched", ["title"])
 
 
-@query("m9_x13_x18_union_pages", "select p_partkey % 200 as recording, count(distinct p_brand) as releases, min(p_name) as title, count(distinct p_name) > 1 as conflict from part group by 1")
+RECS = "select p_partkey % 400 as recording, case when p_partkey % 97 = 0 then 'Other' else concat('Title ', p_partkey % 400) end as title, case when p_partkey % 89 = 0 then 'x' else 'y' end as artist, p_brand as release, case when p_partkey % 83 = 0 then 'Odd' else p_brand end as release_title, case when p_partkey % 3 = 0 then p_brand when p_partkey % 79 = 0 then 'z' end as release_group from part"
+
+
+@query(
+    "x18_united_recordings",
+    f"""with r as ({RECS}), p as (select recording, release, count(distinct release_title) > 1 or count(distinct release_group) > 1 as bad from r group by 1, 2), q as (select recording, count(*) as releases, bool_or(bad) as bad from p group by 1),
+    t as (select recording, count(distinct title) > 1 as ti, count(distinct artist) > 1 as ar, min(lower(title)) as title from r group by 1)
+    select recording, releases, case when ti then 'recording' when ar then 'artist' when bad then 'release' end as problem, case when not ti and not ar and not bad then title end as title from q join t using (recording)""",
+)
+def recordings(spark, d):
+    read(spark, d, "part").createOrReplaceTempView("part")
+    return P.united_recordings(spark.sql(RECS))
+
+
+PAGES = "select artist, pos + case when artist % 11 = 0 and pos > 0 then 1 else 0 end as pos, case when artist % 7 = 0 and pos = 2 then 3 else 2 end as n, case when artist % 5 = 0 and pos = 4 then 7 else 6 end as total from (select distinct p_partkey % 60 as artist, (p_partkey div 60 % 3) * 2 as pos from part) t"
+LISTED = "select artist, pos + case when artist % 11 = 0 and pos > 0 then 1 else 0 end as pos, concat('r', artist, '-', case when artist % 13 = 0 and pos = 4 and i = 1 then 0 else pos + i end) as release from (select distinct p_partkey % 60 as artist, (p_partkey div 60 % 3) * 2 as pos, p_partkey div 180 % 2 as i from part) t"
+
+
+@query(
+    "m9_page_problems",
+    f"""with pg as ({PAGES.replace(" div ", " // ")}), ls as ({LISTED.replace(" div ", " // ")}), e as (select *, min(pos) over (partition by artist, release) as first from ls), c as (select artist, pos, count(*) as listed, bool_or(first < pos) as again from e group by 1, 2),
+    x as (select *, coalesce(lag(pos + n) over (partition by artist order by pos), 0) as expected, first_value(total) over (partition by artist order by pos) as t from pg)
+    select x.artist, x.pos as "offset", case when coalesce(listed, 0) <> n then 'releases_do_not_match' when x.pos <> expected then 'not_sequential' when total <> t then 'total_changed' when again then 'release_repeated' end as problem from x left join c on c.artist = x.artist and c.pos = x.pos""",
+)
+def page_problems(spark, d):
+    read(spark, d, "part").createOrReplaceTempView("part")
+    named = lambda sql: spark.sql(sql).withColumnRenamed("pos", "offset")
+    return P.page_problems(named(PAGES), named(LISTED))
+
+
+@query("m9_union_pages", "select p_partkey % 200 as recording, count(distinct p_brand) as releases from part group by 1")
 def pages(spark, d):
-    return P.union_pages(read(spark, d, "part").selectExpr("p_partkey % 200 as recording", "p_brand as release", "p_name as title"))
+    return P.united_recordings(read(spark, d, "part").selectExpr("p_partkey % 200 as recording", "'t' as title", "'a' as artist", "p_brand as release", "p_brand as release_title", "p_brand as release_group")).select("recording", "releases")
+
+
+SCOPES = "select artist, scope, (artist + k) % 5 <> 0 as complete from (select distinct p_partkey % 300 as artist, k, scope from part, (select 0 as k, 'release_artist' as scope union all select 1, 'release_track_artist') v) t where (artist + k) % 7 <> 0"
+ARTS = f"select distinct p_partkey % 300 as artist, case when p_partkey % 300 % 4 <> 0 then {NOW_MS} + (p_partkey % 300 % 9 - 4) * {DAYS} end as fresh_until_ms from part"
+
+
+@query("x13_assembled", f"with sc as ({SCOPES}), a as (select artist, coalesce(string_agg(scope, ',' order by scope) filter (complete), '') as scopes, count(*) filter (complete) = 2 as complete from sc group by 1) select *, case when complete then {NOW_MS} + 30 * {DAYS} end as fresh_until_ms from a")
+def assembled(spark, d):
+    read(spark, d, "part").createOrReplaceTempView("part")
+    return P.assembled(spark.sql(SCOPES), NOW_MS)
+
+
+@query("x14_artist_due", f"with sc as ({SCOPES}), ar as ({ARTS}), a as (select artist, count(*) filter (complete) = 2 as w from sc group by 1) select ar.artist, not coalesce(w, false) or fresh_until_ms is null or fresh_until_ms <= {NOW_MS} as due from ar left join a using (artist)")
+def artist_due(spark, d):
+    read(spark, d, "part").createOrReplaceTempView("part")
+    return P.artist_due(spark.sql(SCOPES), spark.sql(ARTS), NOW_MS)
+
+
+@query(
+    "m11_merged_shows",
+    """with l as (select ord as id, case when ord % 3 <> 0 then d end as checked, case when ord % 5 = 0 then 'old' end as setlist from concerts where ord % 10 <> 7), c as (select ord as id, case when ord % 4 <> 0 then d + 3 end as checked, case when ord % 2 = 0 then 'found' end as setlist from concerts where ord % 6 < 2), n as (select ord as id, d as checked, null as setlist from concerts where ord % 5 = 2)
+    select l.id, case when l.checked is null then c.checked when c.checked is null then l.checked else greatest(l.checked, c.checked) end as checked, coalesce(l.setlist, c.setlist) as setlist from l left join c using (id) union all select * from n where id not in (select id from l)""",
+)
+def merged_shows(spark, d):
+    rows = concerts(spark, d)
+    latest = rows.where("ord % 10 <> 7").selectExpr("ord as id", "case when ord % 3 <> 0 then d end as checked", "case when ord % 5 = 0 then 'old' end as setlist")
+    current = rows.where("ord % 6 < 2").selectExpr("ord as id", "case when ord % 4 <> 0 then date_add(d, 3) end as checked", "case when ord % 2 = 0 then 'found' end as setlist")
+    return P.merged_shows(latest, current, rows.where("ord % 5 = 2").selectExpr("ord as id", "d as checked", "cast(null as string) as setlist"))
+
+
+OWNERS = "select band_id, case when band_id % 10 = 0 then 'nSame' else concat('n', band_id) end as name, case when band_id % 3 > 0 then concat('p', band_id % 500) end as provider_id, band_id % 5 < 2 as confirmed from bands"
+APPROVED = "select distinct concat('n', band_id) as name, concat('p', band_id % 500 + case when band_id % 16 = 1 then 1 else 0 end) as provider_id from bands where band_id % 4 = 1 union select 'nSame', 'p1'"
+
+
+@query(
+    "x20_approved_identities",
+    f"""with ow as ({OWNERS}), ap as ({APPROVED}), t as (select ap.name, ap.provider_id as new, count(band_id) as n, min(band_id) as band_id, min(ow.provider_id) as own, bool_or(confirmed) as sure from ap left join ow using (name) group by 1, 2),
+    x as (select t.*, exists (select 1 from ow where confirmed and ow.provider_id = t.new and ow.band_id not in (select band_id from t where band_id is not null)) as taken from t),
+    p as (select *, case when n <> 1 then 'not_one_band' when coalesce(sure, false) and own is distinct from new then 'other_confirmed_identity' when taken then 'confirmed_on_another_band' end as problem from x)
+    select name, case when n = 1 then band_id end as band_id, new as provider_id, problem, problem is null and not (coalesce(sure, false) and own is not distinct from new) as changed from p""",
+)
+def approved(spark, d):
+    bands(spark, d).createOrReplaceTempView("bands")
+    return P.approved_identities(spark.sql(OWNERS), spark.sql(APPROVED))
 
 
 @query("m10_two_projections", "select ord, band_id, 'identity' as kind from listens where band_id in (select band_id from bands) union all select ord, band_id, 'canonical' from listens where band_id in (select band_id from bands)")
@@ -387,11 +569,43 @@ def operations(spark, d):
     return P.counts_by(listens(spark, d).selectExpr("source", "release_title as outcome"), "source", "outcome")
 
 
-@query("x24_x27_x31_due_checks", "select ord, d < date '1999-06-24' as prediction_due, attending and d < date '1999-07-01' and ord % 3 <> 0 as setlist_due, ord % 4 = 0 or d < date '1998-07-01' as spotify_due from concerts")
+STATE = f"""select ord, attending, d, case ord % 5 when 0 then 'ready' when 1 then 'ready' when 2 then 'ready' when 3 then 'unavailable' end as status, case when ord % 7 <> 0 then {NOW_MS} - (ord % 14) * {DAYS} end as generated_ms, ord % 4 as songs, case when ord % 11 <> 0 then 2 else 1 end as version, case when ord % 6 < 4 then 'a' else 'b' end as artist,
+  case when ord % 9 < 6 then 'a' end as identity, case ord % 8 when 0 then null when 1 then 'error' when 2 then 'quota_blocked' else 'ok' end as match_status, case when ord % 3 > 0 then {NOW_MS} + (ord % 3 * 2 - 3) end as next_ms, ord % 10 < 4 as has_setlist, case when ord % 3 = 0 then date '1999-06-20' + cast(ord % 10 as int) end as checked, case when ord % 5 > 0 then {NOW_MS} - (ord % 30) * 3600000 end as last_ms from concerts"""
+
+
+@query(
+    "x24_x27_x31_due_checks",
+    f"""with s as ({STATE}) select ord, status is null or status <> 'ready' or generated_ms is null or generated_ms + 7 * {DAYS} <= {NOW_MS} as prediction_due, coalesce(status = 'ready', false) and songs > 0 and case when version <> 2 then true when identity is not null and artist <> identity then true when match_status is null then true when match_status in ('error', 'quota_blocked') then next_ms is null or next_ms <= {NOW_MS} else false end as links_due,
+      attending and d < date '1999-07-01' and not has_setlist and not coalesce(date '1999-07-01' - checked < 7, false) as setlist_due, last_ms is null or last_ms + 12 * 3600000 <= {NOW_MS} as run_due from s""",
+)
 def due_checks(spark, d):
-    """What is due: a prediction after seven days, a setlist of an attended past show, songs not yet looked up."""
-    day = lambda x: F.lit(x).cast("date")
-    return concerts(spark, d).select("ord", (F.col("d") < day("1999-06-24")).alias("prediction_due"), (F.col("attending") & (F.col("d") < day("1999-07-01")) & (F.col("ord") % 3 != 0)).alias("setlist_due"), ((F.col("ord") % 4 == 0) | (F.col("d") < day("1998-07-01"))).alias("spotify_due"))
+    concerts(spark, d).createOrReplaceTempView("concerts")
+    c = F.col
+    return spark.sql(STATE).select(
+        "ord",
+        P.prediction_due(c("status"), c("generated_ms"), NOW_MS).alias("prediction_due"),
+        P.links_due(c("status"), c("songs"), c("version"), c("artist"), c("identity"), c("match_status"), c("next_ms"), NOW_MS).alias("links_due"),
+        P.setlist_check_due(c("attending"), c("d"), c("has_setlist"), c("checked"), "1999-07-01").alias("setlist_due"),
+        P.run_due(c("last_ms"), NOW_MS, 12).alias("run_due"),
+    )
+
+
+@query("x27_songs_unchecked", "select distinct setlist from songs where not is_cover and idx % 3 = 1")
+def unchecked(spark, d):
+    return P.songs_unchecked(songs(spark, d).withColumn("checked", F.col("idx") % 3 != 1))
+
+
+@query(
+    "x19_track_evidence",
+    """with e as (select ord, band_id, concat('Band ', band_id % 90) as artist, case when ord % 50 = 0 then '!' else recording_title end as title, track_id, case when track_id is not null and ord % 8 <> 0 then 'https://open.spotify.com/track/' || track_id end as url from listens),
+    b as (select band_id, case when band_id % 2 = 0 then concat('Band ', band_id % 500) else name end as name, concat('a', band_id) as artist_id from bands), n as (select band_id, artist_id, name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) as k from b), o as (select k from n group by k having count(*) = 1),
+    r as (select e.*, n.artist_id, coalesce(name, artist) as who, coalesce(k, trim(regexp_replace(lower(artist), '[^a-z0-9]+', ' ', 'g'))) as k from e left join n using (band_id) where url is not null and title <> '!')
+    select band_id, artist_id, who as artist, title, track_id, url from r union all select null, null, who, title, track_id, url from r where k in (select k from o)""",
+)
+def track_evidence(spark, d):
+    events = listens(spark, d).selectExpr("band_id", "concat('Band ', band_id % 90) as artist", "case when ord % 50 = 0 then '!' else recording_title end as title", "track_id", "case when track_id is not null and ord % 8 <> 0 then 'https://open.spotify.com/track/' || track_id end as url")
+    owners = bands(spark, d).selectExpr("band_id", "case when band_id % 2 = 0 then concat('Band ', band_id % 500) else name end as name", "concat('a', band_id) as artist_id")
+    return K.track_evidence(events, owners, decompose=False)
 
 
 @query("c14_ticket_labels", "select ord, typ || ' ' || row_number() over (partition by band_id, typ order by ord) as label from concerts")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from setlight.operators.rounds import scratch
 from setlight.sources import documents as S
-from setlight.sources.standins import NOW_MS, concerts, listens, read
+from setlight.sources.standins import NOW_MS, bands, concerts, listens, read
 from setlight.streaming import ingest
 
 from .registry import query
@@ -32,6 +32,20 @@ def archive(spark, d):
     return S.restore_months(spark, folder, listed, rows.columns)
 
 
+@query("s1_s2_s4_s5_documents", "select band_id, name, version from (select band_id, upper(name) as name, 2 as version from bands where band_id % 2 = 0 union all select band_id, name, 2 from bands where band_id % 2 = 1) t")
+def documents(spark, d):
+    """Bands as gzipped JSON and a missing file are read, then written twice under compare and swap, and read with their version."""
+    folder, schema = folder_of(spark, "documents"), "band_id long, name string"
+    bands(spark, d).select("band_id", "name").write.option("compression", "gzip").json(f"{folder}/bands")
+    rows = S.read_json(spark, f"{folder}/bands", schema).unionByName(S.read_json(spark, f"{folder}/missing.json", schema))
+    table = S.VersionedTable(spark, f"{folder}/table", schema)
+    first = table.write_if_current(rows, None)
+    changed = table.read(first).withColumn("name", F.when(F.col("band_id") % 2 == 0, F.upper("name")).otherwise(F.col("name")))
+    table.write_if_current(changed, first)
+    latest, _ = table.document()
+    return latest.withColumn("version", F.lit(table.head()[0]))
+
+
 @query(
     "s15_s16_csv_lines",
     "select ord || ',' || band_id || ',' || case when regexp_matches(typ, '[\",]') then '\"' || replace(typ, '\"', '\"\"') || '\"' else typ end || ',' || coalesce(cast(price_cents as varchar), '') || ',' || '\"[' || venue || ',' || city || ']\"' as line from (select ord, band_id, case when ord % 2 = 0 then typ || ', \"x\"' else typ end as typ, price_cents, venue, city from concerts)",
@@ -61,15 +75,16 @@ def flat(spark, d):
 
 @query("s19_catalogue_recordings", "select p_size as recording, min(p_name) as title, count(distinct p_brand || p_type) as releases from part group by p_size")
 def catalogue_recordings(spark, d):
-    media = read(spark, d, "part").groupBy("p_brand", "p_type").agg(F.collect_list(F.struct(F.col("p_size").alias("recording"), F.col("p_name").alias("title"))).alias("tracks"))
-    releases = media.groupBy("p_brand").agg(F.collect_list(F.struct(F.concat("p_brand", "p_type").alias("id"), F.array(F.struct("tracks")).alias("media"))).alias("releases"))
+    page = F.expr("p_partkey div 1000").alias("page")
+    media = read(spark, d, "part").groupBy("p_brand", "p_type", page).agg(F.collect_list(F.struct(F.col("p_size").alias("recording"), F.col("p_name").alias("title"))).alias("tracks"))
+    releases = media.groupBy("p_brand", "page").agg(F.collect_list(F.struct(F.concat("p_brand", "p_type").alias("id"), F.array(F.struct("tracks")).alias("media"))).alias("releases"))
     return S.catalogue_recordings(releases)
 
 
 @query("s20_upcoming_events", "select band_id, cast(ord as varchar) as event, d, 'v' || venue as venue, 'c' || city as city from concerts where ord % 6 <> 0 and d >= date '2000-01-01'")
 def upcoming(spark, d):
     event = F.struct(F.col("ord").cast("string").alias("id"), F.col("d").cast("string").alias("date"), F.when(F.col("ord") % 6 == 0, "cancelled").otherwise("onsale").alias("status"), F.struct(F.concat(F.lit("v"), "venue").alias("name"), F.concat(F.lit("c"), "city").alias("city")).alias("venue"))
-    bodies = concerts(spark, d).groupBy("band_id").agg(F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("body"))
+    bodies = concerts(spark, d).groupBy("band_id", F.expr("ord div 1000")).agg(F.to_json(F.struct(F.collect_list(event).alias("events"))).alias("body"))
     return S.upcoming_events(bodies, "2000-01-01")
 
 

@@ -1,6 +1,7 @@
 """The driver's tables read as listens, bands, concerts, setlist songs and releases.
 
-Every adapter has a twin in ``SQL`` with the same columns.
+Every adapter has a twin in ``SQL`` with the same columns. Listens of every tenth user point to a band that
+does not exist; no table is cut.
 """
 
 from __future__ import annotations
@@ -16,17 +17,22 @@ GENRES = "case c_custkey % 8 when 0 then 'Rock, alternative rock' when 1 then 'S
 
 SQL = {
     "listens": """
-      select event_id as ord, cast(epoch_us(cast(ts as timestamp)) // 1000 as bigint) as ms, user_id as band_id, event_type as release_title,
+      select event_id as ord, cast(epoch_us(cast(ts as timestamp)) // 1000 as bigint) as ms, case when user_id % 10 = 0 then -user_id else user_id end as band_id, event_type as release_title,
         case when event_type = 'error' then null else cast(floor(value * 1000 + 0.5) as bigint) end as duration_ms,
         concat('Track ', json_extract_string(props, '$.k')) as recording_title,
         case when event_id % 2 = 0 then 'spotify_import' else 'listenbrainz' end as source,
         case when event_id % 3 = 0 then concat('r', json_extract_string(props, '$.k')) end as recording_id,
         case when event_id % 4 = 0 then concat('s', json_extract_string(props, '$.k')) end as track_id
       from events""",
+    "relistens": """
+      select * from listens
+      union all select ord + 1000000, ms + (ord % 5) * 1000 - 2000, band_id, release_title, duration_ms, recording_title, case when source = 'listenbrainz' then 'spotify_import' else 'listenbrainz' end,
+        case when ord % 3 = 0 then recording_id end, case when ord % 48 > 0 then track_id end from listens where ord % 16 = 0
+      union all select ord + 2000000, ms + 1500, band_id, release_title, duration_ms + 10, recording_title, source, recording_id, track_id from listens where ord % 32 = 0""",
     "bands": f"""
       select c_custkey as band_id, c_name as name, {GENRES} as genre_raw, c_acctbal > 5000 as favorite, c_custkey % 11 = 0 as muted,
         case c_custkey % 5 when 0 then '1999' when 1 then '2001-06-15' end as last_known
-      from customer where c_custkey % 10 <> 0""",
+      from customer""",
     "concerts": """
       select o_orderkey as ord, o_custkey as band_id, cast(o_orderdate as date) as d, cast(o_custkey % 12 as bigint) as venue, cast(o_custkey % 5 as bigint) as city,
         case cast(o_custkey % 6 as bigint) when 0 then 'Sweden' when 1 then ' denmark' when 2 then 'USA' when 3 then 'Germany' when 4 then 'UK' end as country,
@@ -57,7 +63,7 @@ def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("ord"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"),
-        F.col("user_id").alias("band_id"),
+        F.when(F.col("user_id") % 10 == 0, -F.col("user_id")).otherwise(F.col("user_id")).alias("band_id"),
         F.col("event_type").alias("release_title"),
         F.when(F.col("event_type") != "error", F.floor(F.col("value") * 1000 + 0.5)).alias("duration_ms"),
         F.concat(F.lit("Track "), k).alias("recording_title"),
@@ -67,18 +73,29 @@ def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def relistens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listens, of which some came a second time from the other source and a third time from their own."""
+    rows = listens(spark, sf_dir)
+    other = rows.where("ord % 16 = 0").withColumns(
+        {
+            "ms": F.expr("ms + (ord % 5) * 1000 - 2000"),
+            "source": F.when(F.col("source") == "listenbrainz", "spotify_import").otherwise("listenbrainz"),
+            "recording_id": F.expr("case when ord % 3 = 0 then recording_id end"),
+            "track_id": F.expr("case when ord % 48 > 0 then track_id end"),
+        }
+    )
+    again = rows.where("ord % 32 = 0").withColumns({"ms": F.expr("ms + 1500"), "duration_ms": F.expr("duration_ms + 10")})
+    return rows.unionByName(other.withColumn("ord", F.col("ord") + 1000000)).unionByName(again.withColumn("ord", F.col("ord") + 2000000))
+
+
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        read(spark, sf_dir, "customer")
-        .where("c_custkey % 10 <> 0")
-        .selectExpr(
-            "c_custkey as band_id",
-            "c_name as name",
-            f"{GENRES} as genre_raw",
-            "c_acctbal > 5000 as favorite",
-            "c_custkey % 11 = 0 as muted",
-            "case c_custkey % 5 when 0 then '1999' when 1 then '2001-06-15' end as last_known",
-        )
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as band_id",
+        "c_name as name",
+        f"{GENRES} as genre_raw",
+        "c_acctbal > 5000 as favorite",
+        "c_custkey % 11 = 0 as muted",
+        "case c_custkey % 5 when 0 then '1999' when 1 then '2001-06-15' end as last_known",
     )
 
 

@@ -41,7 +41,7 @@ def merge_batches(stream: DataFrame, checkpoint: str, merge) -> StreamingQuery:
 
 
 class Backoff(StatefulProcessor):
-    """Misses in a row per band: a find resets them, an empty check adds one, up to two."""
+    """Empty checks in a row per band: a find resets them, an empty check adds one, up to three."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.misses = handle.getValueState("misses", "misses long")
@@ -50,7 +50,7 @@ class Backoff(StatefulProcessor):
         misses = self.misses.get()[0] if self.misses.exists() else 0
         checks = pd.concat(list(rows)).sort_values("ms")
         for found in checks["found"]:
-            misses = 0 if found else min(2, misses + 1)
+            misses = 0 if found else min(3, misses + 1)
         self.misses.update((misses,))
         yield pd.DataFrame({"band_id": [key[0]], "misses": [misses], "last_ms": [int(checks["ms"].max())]})
 
