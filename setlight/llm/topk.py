@@ -1,16 +1,21 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are packed into blocks. Beside each block lies its pivot table: the distances of its vectors
-to the same few dozen pivots, computed once. For a query and a candidate the triangle inequality
-gives |d(q, p) - d(c, p)| <= d(q, c) for every pivot p; the largest of these lower bounds, with the
-norms, bounds the inner product from above. Candidates are evaluated in the order of their bounds
-until the k-th best score exceeds the next bound, so the answer is exact. Blocks of queries meet
-blocks of candidates in parallel, and each query's best rows of all blocks are merged.
+Vectors are packed into blocks of neighbours: rows of a batch are ordered by their nearest pivot.
+Beside each block lies its pivot table: the distances of its vectors to the same few dozen pivots,
+computed once. For a query and a candidate the triangle inequality gives
+|d(q, p) - d(c, p)| <= d(q, c) for every pivot p; the largest of these lower bounds, with the norms,
+bounds the inner product from above. The least and largest distance of a block to each pivot bound all
+its candidates at once. Every query carries a floor, its k-th best score in a bounded sample of
+candidates, so blocks and candidates whose bound is below the floor go unseen, whichever task holds
+them. The others are evaluated in the order of their bounds until the k-th best score exceeds the next
+bound, so the answer is exact. Blocks of queries meet blocks of candidates in parallel, and each
+query's best rows of all blocks are merged.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, and rows with a
 null id, take no part; only vectors of equal length are compared; a repeated id is a candidate each
 time (never for itself) and one query for each distinct vector; ties go to the smaller id. Scaled
-components must stay below 2**20 in size for scores to be exact.
+components of 2**20 and more are multiplied as integers of any size, and scores beyond 64 bits become
+the largest or smallest of them.
 """
 
 from __future__ import annotations
@@ -25,8 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, per_batch
 
-BLOCK_BYTES = 1 << 20
-PACKED = "dim int, ids binary, vectors binary, pivots binary"
+BLOCK_BYTES = 1 << 18
+#: Candidates whose scores give the queries' floors.
+SAMPLE = 1024
+WIDE = 1 << 20
+LONG = (1 << 63) - 1
+PACKED = "dim int, ids binary, vectors binary, pivots binary, floors binary"
 
 
 def scaled(batch: pa.RecordBatch, scale: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -51,72 +60,98 @@ def distances(x: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def choose_pivots(vectors: DataFrame, scale: float, count: int) -> dict[int, np.ndarray]:
-    """``count`` vectors by hash order; a constant number of rows reaches the driver."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(count).toArrow()
-    out: dict[int, np.ndarray] = {}
+def draw_sample(vectors: DataFrame, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """dim -> (ids, vectors) of ``SAMPLE`` rows by hash order; a constant number of rows reaches the driver."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in rows.combine_chunks().to_batches():
-        for dim, _, x in scaled(batch, scale):
-            out[dim] = x
+        for dim, ids, x in scaled(batch, scale):
+            out[dim] = ids, x
     return out
 
 
-def pack(vectors: DataFrame, pivots: dict[int, np.ndarray], scale: float) -> DataFrame:
-    """Blocks of ids, integer vectors and pivot distances."""
+def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products: as floats while all sums stay below 2**53, else as integers of any size."""
+    if max(np.abs(q).max(), np.abs(vectors).max(initial=0)) < WIDE and len(q) < 1 << 13:
+        return vectors @ q
+    whole = [int(a) for a in q]
+    return np.array([sum(int(a) * b for a, b in zip(v, whole, strict=True)) for v in vectors], object)
+
+
+def floor_of(q_id: int, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray] | None, k: int) -> float:
+    """The k-th best score in the sample, or less than any score if it has fewer candidates."""
+    if sample is None:
+        return -np.inf
+    scores = products(sample[1][sample[0] != q_id], q).astype(np.float64)
+    return float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf
+
+
+def pack(vectors: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], pivots: int, scale: float, k: int | None) -> DataFrame:
+    """Blocks of ids, integer vectors and pivot distances; with ``k`` also floors, for queries."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, x in scaled(batch, scale):
+                far = distances(x, sample[dim][1][:pivots] if dim in sample else None)
+                order = np.lexsort((far.min(axis=1), far.argmin(axis=1)))
                 step = max(1, BLOCK_BYTES // (8 * dim))
                 for at in range(0, len(ids), step):
-                    part = x[at : at + step]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.array([ids[at : at + step].tobytes()], pa.binary()), pa.array([part.astype(np.float64).tobytes()], pa.binary()), pa.array([distances(part, pivots.get(dim)).tobytes()], pa.binary())],
-                        ["dim", "ids", "vectors", "pivots"],
-                    )
+                    pick = order[at : at + step]
+                    floors = np.array([floor_of(ids[i], x[i], sample.get(dim), k) for i in pick]) if k else np.empty(0)
+                    columns = [ids[pick].tobytes(), np.ascontiguousarray(x[pick]).tobytes(), np.ascontiguousarray(far[pick]).tobytes(), floors.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([c], pa.binary()) for c in columns)], ["dim", "ids", "vectors", "pivots", "floors"])
 
     return vectors.mapInArrow(blocks, PACKED)
 
 
-def best_of_block(query: tuple, block: tuple, k: int, chunk: int = 64) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of the k best candidates of one block for each query of another."""
-    (q_ids, q_vecs, q_piv), (ids, vecs, piv) = query, block
-    norms, out = (vecs**2).sum(axis=1), []
-    for q_id, q, d in zip(q_ids, q_vecs, q_piv, strict=True):
-        lower = np.abs(piv - d).max(axis=1)
-        upper = ((q @ q) + norms - lower**2) / 2
-        upper += 1e-9 * (abs(q @ q) + norms) + 1e-6  # rounding of the distances
-        order = np.argsort(-upper, kind="stable")
-        top_s, top_i = np.empty(0), np.empty(0, np.int64)
-        for at in range(0, len(order), chunk):
-            if len(top_s) >= k and top_s[-1] > upper[order[at]]:
-                break
-            pick = order[at : at + chunk]
-            pick = pick[ids[pick] != q_id]
-            s, i = np.concatenate([top_s, vecs[pick] @ q]), np.concatenate([top_i, ids[pick]])
-            keep = np.lexsort((i, -s))[:k]
-            top_s, top_i = s[keep], i[keep]
-        out += [(int(q_id), int(i), int(s)) for i, s in zip(top_i, top_s, strict=True)]
-    return out
+def most_possible(q: np.ndarray, squares: np.ndarray | float, lower: np.ndarray | float) -> np.ndarray | float:
+    """The largest inner product of q with vectors of these squared norms at these distances or farther."""
+    own = q @ q
+    return (own + squares - lower**2) / 2 + 1e-9 * (own + squares) + 1e-6  # rounding of the distances
+
+
+def best_of_block(query: tuple, block: tuple, k: int, chunk: int = 64) -> tuple[list[tuple[int, int, int]], int]:
+    """(query id, id, score) of the k best candidates of one block that reach the query's floor, for each
+    query of another block, and how many candidates were evaluated."""
+    (q_ids, q_vecs, q_piv, floors), (ids, vecs, piv) = query, block
+    squares = (vecs**2).sum(axis=1)
+    most, near, far = squares.max(), piv.min(axis=0), piv.max(axis=0)
+    out, evaluated = [], 0
+    for q_id, q, d, floor in zip(q_ids, q_vecs, q_piv, floors, strict=True):
+        if most_possible(q, most, max(0.0, (near - d).max(), (d - far).max())) < floor:
+            continue
+        upper = most_possible(q, squares, np.abs(piv - d).max(axis=1))
+        some = np.flatnonzero((upper >= floor) & (ids != q_id))
+        order = some[np.argsort(-upper[some], kind="stable")]
+        best: list[tuple] = []
+        at, size = 0, chunk
+        while at < len(order) and not (len(best) >= k and -best[-1][0] > upper[order[at]]):
+            pick = order[at : at + size]
+            scores = products(vecs[pick], q)
+            good = np.flatnonzero(scores >= (floor if len(best) < k else max(floor, -best[-1][0])))
+            best = sorted(best + [(-scores[j], int(ids[pick[j]])) for j in good])[:k]
+            at, size, evaluated = at + size, 2 * size, evaluated + len(pick)
+        out += [(int(q_id), i, max(-LONG - 1, min(LONG, int(-s)))) for s, i in best]
+    return out, evaluated
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, pivots: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of (id, vector) that ``queries`` selects, against all others."""
     spark = vectors.sparkSession
-    chosen = choose_pivots(vectors.where("id is not null and vector is not null"), scale, pivots)
-    blocks = cut(pack(vectors, chosen, scale), "pivot-table")
-    asked = pack(vectors.where(queries).dropDuplicates(["id", "vector"]), chosen, scale)
-    salts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sample = draw_sample(vectors.where("id is not null and vector is not null"), scale)
+    blocks = cut(pack(vectors, sample, pivots, scale, None).drop("floors"), "pivot-table")
+    asked = pack(vectors.where(queries).dropDuplicates(["id", "vector"]), sample, pivots, scale, k)
+    shares = max(1, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
     # every query block meets every candidate block: candidates are dealt out, queries are copied to each share
-    dealt = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    copied = asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("pivots").alias("q_pivots"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("q_share"))
-    pairs = dealt.join(copied, (F.col("share") == F.col("q_share")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_vectors", "q_pivots", "ids", "vectors", "pivots")
+    dealt = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+    copied = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("q_share"))
+    pairs = dealt.join(copied, (F.col("share") == F.col("q_share")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_vectors", "q_pivots", "ids", "vectors", "pivots", "q_floors")
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple[int, int, int]] = []
-        for dim, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            unpacked = [(np.frombuffer(i, np.int64), np.frombuffer(v).reshape(-1, dim), np.frombuffer(p).reshape(len(i) // 8, -1)) for i, v, p in (parts[:3], parts[3:])]
-            rows += best_of_block(*unpacked, k)
+        for dim, *parts, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            query, block = ((np.frombuffer(i, np.int64), np.frombuffer(v).reshape(-1, dim), np.frombuffer(p).reshape(len(i) // 8, -1)) for i, v, p in (parts[:3], parts[3:]))
+            rows += best_of_block((*query, np.frombuffer(floors)), block, k)[0]
         columns = zip(*rows, strict=True) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 

@@ -31,6 +31,36 @@ def test_topk(spark):
     assert topk.top_k(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_prunes_blocks_and_stays_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (6, 16))
+    rows = [(i, [float(x) for x in centres[i % 6] * (1 + i % 3) + rng.normal(0, 0.02, 16)]) for i in range(1200)]
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 16 * 8 * 40)
+    scaled = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    got = topk.top_k(spark.createDataFrame(rows, "id long, vector array<double>"), F.col("id") % 60 == 0, k=5).collect()
+    for q in range(0, 1200, 60):
+        best = sorted((-sum(a * b for a, b in zip(scaled[q], v, strict=True)), i) for i, v in scaled.items() if i != q)[:5]
+        assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(-s, i) for s, i in best]
+    ids, x = np.arange(1200), np.array([scaled[i] for i in range(1200)], float)
+    far = topk.distances(x, x[:32])
+    blocks = [np.arange(k, 1200, 6) for k in range(6)]  # neighbours together, as pack() orders them
+    seen = 0
+    for q in range(0, 1200, 60):
+        query = (ids[q : q + 1], x[q : q + 1], far[q : q + 1], np.array([topk.floor_of(q, x[q], (ids, x), 5)]))
+        seen += sum(topk.best_of_block(query, (ids[b], x[b], far[b]), 5)[1] for b in blocks)
+    assert seen < 0.25 * 20 * 1200
+
+
+def test_topk_of_wide_components(spark):
+    rows = [(1, [1e6, 3.0]), (2, [1e6, 1.0]), (3, [-1e6, 2.0]), (4, [1e15, 1e15]), (100, [1e6, 2.5]), (200, [1e15, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "id long, vector array<double>"), F.col("id") % 100 == 0).collect()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for q in (100, 200):
+        best = sorted((-limit(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)
+        assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == best
+
+
 def pages():
     big = "x" * 300_000
     return [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", big), (0, "u", big), (7, "z", "one"), (7, "z", "one"), (None, "n", "one"), (8, "q", "one")]
@@ -112,6 +142,11 @@ def test_quotation_linking(spark):
     assert quotes.link_quotations(frame.where("false")).count() == 0
 
 
+def test_clashing_columns_do_not_matter(spark):
+    frame = spark.createDataFrame([(1, 0, "a", "Hello", 7, 7, 7), (1, 1, "b", "> Hello\nYes", 7, 7, 7)], "conv_id long, turn long, role string, text string, row_id long, own long, lines long")
+    assert {r.turn: r.parent_turn for r in quotes.link_quotations(frame).collect()} == {0: None, 1: 0}
+
+
 def test_short_messages_are_linked(spark):
     rows = [(1, 0, "a", "Lunch?"), (1, 1, "b", "> Lunch?\nYes."), (1, 2, "c", "An unrelated thread starts here."), (1, 3, "a", "> Yes.\nok"), (1, 4, "b", "> ok\n好"), (1, 5, "c", ">好\nHm"), (1, 6, "d", ">\n> \nNothing quoted"), (2, 0, "x", ""), (2, 1, "y", ">\nEmpty")]
     got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth) for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
