@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, one_label, per_batch, unused
+from .common import cut, held_out, one_label, unused
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
@@ -251,7 +251,7 @@ class Model:
         spark = docs.sparkSession
         self.grams = spark.sparkContext.broadcast(log_model(count_grams(docs)))
         grams = self.grams
-        rows = training_rows(docs, labels, sample)
+        rows = cut(training_rows(docs, labels, sample), "toxicity-sample")
         restorer_of = lambda: Restorer(grams.value)
         self.lexicon = spark.sparkContext.broadcast(learn_lexicon(rows.where("not tuning"), restorer_of))
         lexicon = self.lexicon

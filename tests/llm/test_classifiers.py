@@ -1,7 +1,9 @@
+import itertools
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from setlight.llm import quality, toxicity
 
@@ -97,6 +99,32 @@ def test_every_disguise_reaches_the_lattice(written, meant):
     assert "stood" in restorer.words("it (stood!!!)")
 
 
+def test_viterbi_equals_enumeration():
+    counts = np.zeros(toxicity.CELLS)
+    np.add.at(counts, toxicity.gram_codes("the cargo was gross and an icon of glass stood there; bottle, balloon and coffee " * 50), 1)
+    model = toxicity.log_model(counts)
+
+    def score(path):
+        state, total = 0, sum(channel for _, channel in path)
+        for ch in "".join(text for text, _ in path) + " ":
+            code = state << toxicity.BITS | toxicity.fold(ch)
+            total += model[code]
+            state = code & toxicity.STATE
+        return total
+
+    for token in ("gr055", "c.a.r.g.o", "gla$$", "b0tttle", "c0ff33", "ba11oon", "!c0n", "a11", "1i1i"):
+        paths = list(itertools.product(*toxicity.lattice(token)))
+        best = max(map(score, paths))
+        found = toxicity.restore(token, model)
+        assert found in {"".join(t for t, _ in p).strip() for p in paths if score(p) > best - 1e-4}
+
+
+def test_columns_of_the_same_names(spark):
+    docs, labels = corpus(spark, 40)
+    rows = toxicity.score_toxicity(docs.withColumn("fold", F.lit("mine")).withColumn("Score", F.lit(-5.0)), labels).collect()
+    assert all(r.fold == "mine" and 0 <= r.score <= 1 for r in rows)
+
+
 def test_long_tokens_take_linear_time():
     token = "ab0" * 100_000
     assert len(toxicity.restore(token, toxicity.log_model(np.ones(toxicity.CELLS)))) == len(token)
