@@ -54,6 +54,11 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over conversations whose messages quote earlier ones: those of the table do not."""
+    return quotes.link_quotations(quotes.quoting_earlier_turns(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +72,7 @@ QUERIES = {
         op8_decontamination,
         op9_jaccard_join,
         op10_quotation_linking,
+        quoted_threads,
     )
 }
 
@@ -85,6 +91,8 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 ) where rank <= 10
 """,
     "op6_license_scan": licenses.oracle_sql(),
+    "op10_quotation_linking": quotes.oracle_sql(),
+    "quoted_threads": quotes.oracle_sql(quotes.QUOTING_SQL),
     "op7_warc_packages": r"""
 with hashed as (
   select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages

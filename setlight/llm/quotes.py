@@ -91,6 +91,22 @@ def roots(links: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
+def quoting_earlier_turns(messages: DataFrame) -> DataFrame:
+    """The messages, of which every one but the first of a conversation quotes an earlier turn before its own text, and that turn's earlier one.
+
+    Turn t quotes turn conv_id mod t. A source of conversations with known threads.
+    """
+    said = messages.select("conv_id", "turn", "role", "text")
+    picked = lambda t: F.when(t > 0, F.pmod("conv_id", t))
+    other = lambda n: said.select(F.col("conv_id").alias(f"c{n}"), F.col("turn").alias(f"t{n}"), F.col("role").alias(f"r{n}"), F.col("text").alias(f"x{n}"))
+    first = said.join(other(1), (F.col("conv_id") == F.col("c1")) & (picked(F.col("turn")) == F.col("t1")), "left")
+    both = first.join(other(2), (F.col("conv_id") == F.col("c2")) & (picked(F.col("t1")) == F.col("t2")), "left")
+    marked = lambda mark, text: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+    deeper = F.when(F.col("t2").isNotNull(), marked(">> ", F.col("x2"))).otherwise("")
+    quoted = F.when(F.col("t1").isNotNull(), F.concat(F.lit("On Monday "), "r1", F.lit(" wrote:\n"), marked("> ", F.col("x1")), deeper)).otherwise("")
+    return both.select("conv_id", "turn", "role", F.concat(quoted, "text").alias("text"))
+
+
 def link_quotations(messages: DataFrame, least: int = 1) -> DataFrame:
     """(conv_id, turn, role, parent_turn, root_turn, depth, reply_order, n_quotes, text), a row for each message."""
     rows = cut(parsed(messages), "messages")
@@ -112,3 +128,38 @@ def link_quotations(messages: DataFrame, least: int = 1) -> DataFrame:
         .join(before, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("part").eqNullSafe(F.col("b_part")))
         .select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", (F.col("before") + F.col("within")).alias("reply_order"), "n_quotes", F.col("own").alias("text"))
     )
+
+
+def oracle_sql(messages: str = "select conv_id, turn, role, text from conversations") -> str:
+    """The same for DuckDB, over the texts themselves in place of hashes."""
+    normal = "trim(regexp_replace(lower({x}), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+    return rf"""
+with recursive messages as ({messages}), said as (select *, row_number() over (order by conv_id, turn, role, text) as rn from messages),
+raw as (select rn, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from said),
+marked as (select rn, pos, line, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)[ \t]?', 1), '[^>]', '', 'g')) as level, regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') as body from raw),
+kept as (select * from (select *, lead(level) over (partition by rn order by pos) as next from marked) where not (level = 0 and regexp_matches(line, 'wrote:[ \t\r]*$') and coalesce(next, 0) > 0)),
+changes as (select *, case when level is distinct from lag(level) over (partition by rn order by pos) then 1 else 0 end as begins from kept),
+numbered as (select *, sum(begins) over (partition by rn order by pos) as block from changes),
+blocks as (select rn, block, level, string_agg(body, chr(10) order by pos) as body from numbered group by rn, block, level),
+own as (select rn, trim(coalesce(string_agg(body, chr(10) order by pos) filter (level = 0), '')) as own from kept group by rn),
+full_rows as (select s.rn, conv_id, turn, role, coalesce(own, '') as own, (select count(*) from blocks b where b.rn = s.rn and level > 0) as n_quotes from said s left join own using (rn)),
+units as (
+  select distinct conv_id, turn, rn, level, u from (
+    select rn, 0 as level, {normal.format(x="own")} as u from own union all select rn, level, {normal.format(x="body")} from blocks union all select rn, level, {normal.format(x="body")} from kept
+  ) join full_rows using (rn) where u <> '' and conv_id is not null and turn is not null
+),
+found as (select q.rn, q.conv_id, q.turn, q.level, q.u, max(o.turn) as origin from units q join units o on o.conv_id = q.conv_id and o.u = q.u and o.level = 0 and o.turn < q.turn where q.level > 0 group by all),
+votes as (select rn, conv_id, turn, level, origin, sum(length(u)) as size from found group by all),
+links as (select rn, conv_id, turn, arg_min(origin, (level, -size, -origin)) as parent_turn from votes group by all),
+steps as (select conv_id, turn, min(parent_turn) as up from links group by all),
+climb as (select conv_id, turn, up as root, 1 as depth from steps union all select c.conv_id, c.turn, s.up, c.depth + 1 from climb c join steps s on s.conv_id = c.conv_id and s.turn = c.root),
+threads as (select conv_id, turn, arg_max(root, depth) as root_turn, max(depth) as depth from climb group by all)
+select f.conv_id, f.turn, role, parent_turn, coalesce(root_turn, f.turn) as root_turn, cast(coalesce(depth, 0) as integer) as depth,
+  row_number() over (partition by f.conv_id order by coalesce(root_turn, f.turn), f.turn, role, own) as reply_order, cast(n_quotes as integer) as n_quotes, own as text
+from full_rows f left join links l on l.rn = f.rn left join threads t on t.conv_id = f.conv_id and t.turn = f.turn
+"""
+
+
+#: ``quoting_earlier_turns`` in SQL.
+QUOTING_SQL = r"""select a.conv_id, a.turn, a.role, case when b.turn is null then '' else 'On Monday ' || b.role || ' wrote:' || chr(10) || '> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10) || case when c.turn is null then '' else '>> ' || replace(c.text, chr(10), chr(10) || '>> ') || chr(10) end end || a.text as text
+  from conversations a left join conversations b on b.conv_id = a.conv_id and a.turn > 0 and b.turn = a.conv_id % nullif(a.turn, 0) left join conversations c on c.conv_id = b.conv_id and b.turn > 0 and c.turn = b.conv_id % nullif(b.turn, 0)"""

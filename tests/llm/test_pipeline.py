@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from setlight.llm import toxicity
+from setlight.llm.common import cut
 from tests.llm.test_text_operators import LONG, plain_components, plain_line_dedup
 
 
@@ -47,10 +49,29 @@ def test_pipeline_equals_the_plain_version(spark, tmp_path):
     assert all(r.tokens == tokens[str(r.doc_id)] for r in got)
 
 
-def test_stages_keep_the_columns(spark, tmp_path):
+def test_stages_keep_the_columns_and_what_is_in_them(spark, tmp_path):
     folder = f"file://{tmp_path}"
     write(spark, folder)
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    own = ["score", "predicted", "held_out", "kept", "n_lines", "N_dropped", "_id", "row_id", "fold", "dedup_drop", "h1", "label", "own_score"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(f"{c}!") for c in own})
+    columns = docs.columns
     for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, folder), "stage")
+        assert docs.columns == columns
+        assert docs.where(" or ".join(f"{c} <> '{c}!' or {c} is null" for c in own)).count() == 0
+    assert docs.count() > 100
+
+
+def test_null_and_unchanged_texts_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None, 7), (2, "a b", 9)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    assert got == {1: (None, 7), 2: ("a b", 9)}
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    write(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.count() == 0
