@@ -215,6 +215,41 @@ def totals(listens: DataFrame) -> DataFrame:
     )
 
 
+def selected_stats(listens: DataFrame, bands: DataFrame, timeframe: str, now_ms: int) -> DataFrame:
+    """All that a window's page shows, as (section, place, key, duration_ms, listen_count, movement).
+
+    Sections: total, unknown (listens without a duration), first and last (key is the listen), distinct_bands,
+    band (with movement), track, album, bucket (key is its day) and most_active.
+    """
+    span = resolve_window(timeframe, now_ms)
+    source = linked(listens, bands)
+    selected = in_window(source, span.start, span.end)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+
+    def rows(df: DataFrame, section: str, place: Column, key: Column, duration: Column, count: Column, moved: Column = none) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), place.cast("long").alias("place"), key.cast("string").alias("key"), duration.cast("long").alias("duration_ms"), count.cast("long").alias("listen_count"), moved.alias("movement"))
+
+    sums = totals(selected)
+    buckets = time_buckets(source, span)
+    named = [F.col(c) for c in ("duration_ms", "listen_count")]
+    parts = [
+        rows(sums, "total", zero, none, *named),
+        rows(sums, "unknown", zero, none, zero, F.col("unknown_count")),
+        rows(sums, "first", zero, F.col("first_listen"), zero, zero),
+        rows(sums, "last", zero, F.col("last_listen"), zero, zero),
+        rows(selected.agg(F.countDistinct("band_id").alias("n")), "distinct_bands", zero, none, zero, F.col("n")),
+        rows(top_bands_moving(listens, bands, timeframe, now_ms), "band", F.col("rank"), F.col("band_id"), *named, F.col("movement")),
+        rows(top_items(selected, "track"), "track", F.col("rank"), F.col("key"), *named),
+        rows(top_items(selected, "album"), "album", F.col("rank"), F.col("key"), *named),
+        rows(buckets, "bucket", zero, F.col("start_at"), *named),
+        rows(most_active(buckets), "most_active", zero, F.col("start_at"), *named),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def band_activity(listens: DataFrame, bands: DataFrame, now_ms: int) -> DataFrame:
     """Exclusive recency buckets per band with counts and recency ranks; future listens are left out."""
     now = datetime.fromtimestamp(now_ms / 1000, UTC)
@@ -244,6 +279,12 @@ def concert_listening(concerts: DataFrame, listens: DataFrame, today: str, now_m
     timeline = listens.where(valid()).select("band_id", "ms", F.lit(1).alias("order"), known_duration().cast("long").alias("dur"), F.lit(1).cast("long").alias("one"), F.lit(None).cast("long").alias("concert"), F.lit(None).cast("int").alias("sign")).unionByName(
         points.select("band_id", "p.ms", F.lit(0).alias("order"), zero.alias("dur"), zero.alias("one"), "concert", "p.sign")
     )
-    before = W.partitionBy("band_id").orderBy("ms", "order").rowsBetween(W.unboundedPreceding, 0)
-    running = timeline.withColumns({"dur": F.sum("dur").over(before), "one": F.sum("one").over(before)}).where("concert is not null")
+    # sums run inside blocks of a month and over each band's blocks, so a band's listens are not sorted in one task
+    blocked = timeline.withColumn("block", F.floor(F.col("ms") / (30 * DAY)))
+    sums = blocked.groupBy("band_id", "block").agg(F.sum("dur").alias("b_dur"), F.sum("one").alias("b_one"))
+    earlier = W.partitionBy("band_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("band_id", "block", *[F.coalesce(F.sum(c).over(earlier), zero).alias(c) for c in ("b_dur", "b_one")])
+    before = W.partitionBy("band_id", "block").orderBy("ms", "order").rowsBetween(W.unboundedPreceding, 0)
+    inside = blocked.withColumns({"dur": F.sum("dur").over(before), "one": F.sum("one").over(before)}).where("concert is not null")
+    running = inside.join(starts, ["band_id", "block"]).withColumns({"dur": F.col("dur") + F.col("b_dur"), "one": F.col("one") + F.col("b_one")})
     return running.groupBy("concert").agg(F.sum(F.col("sign") * F.col("dur")).alias("duration_ms"), F.sum(F.col("sign") * F.col("one")).alias("listen_count"))

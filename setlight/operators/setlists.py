@@ -118,18 +118,23 @@ def fitting_tracks(tracks: DataFrame, songs: DataFrame, decompose: bool = True)
 
 
 def insights(sets: DataFrame, songs: DataFrame, compare: int = 50, least_prior: int = 20, rare: float = 0.05, least_tour: int = 3, gap_years: int = 2, most: int = 2) -> DataFrame:
-    """For each set up to two remarkable songs against the band's earlier sets: long gap, tour debut, rare."""
-    own = own_songs(sets, songs)
-    known = own.select("setlist").distinct()
-    useful = sets.join(known, "setlist", "left_semi")
-    prior = useful.select(F.col("setlist").alias("p_set"), "band_id", F.col("d").alias("p_d"), F.col("tour").alias("p_tour"))
-    pairs = sets.select("setlist", "band_id", "d", "tour").join(prior, "band_id").where("p_d < d")
-    ranked = pairs.withColumn("nth", F.row_number().over(W.partitionBy("setlist").orderBy(F.desc("p_d"), "p_set")))
-    context = ranked.groupBy("setlist").agg(F.count_if(F.col("nth") <= compare).alias("n_prior"), F.count_if(F.col("p_tour") == F.col("tour")).alias("n_tour"))
-    target = own.select("setlist", "song").distinct()
-    played = own.select(F.col("setlist").alias("p_set"), "song").distinct()
-    seen = ranked.join(target, "setlist").join(played, ["p_set", "song"]).groupBy("setlist", "song").agg(F.count_if(F.col("nth") <= compare).alias("in_prior"), F.count("*").alias("in_all"), F.max("p_d").alias("last_d"), F.count_if(F.col("p_tour") == F.col("tour")).alias("in_tour"))
-    full = target.join(sets.select("setlist", "d"), "setlist").join(context, "setlist").join(seen, ["setlist", "song"], "left").na.fill(0, ["in_prior", "in_all", "in_tour"])
+    """For each set up to two remarkable songs against the band's earlier sets: long gap, tour debut, rare.
+
+    Everything is counted by windows over each band's sets and each song's plays, so no set meets another.
+    """
+    own = own_songs(sets.where("d is not null"), songs)
+    useful = sets.join(own.select("setlist").distinct(), "setlist", "left_semi").withColumn("day", F.unix_date("d"))
+    before = lambda *keys: W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
+    on_tour = lambda *keys: F.when(F.col("tour").isNotNull(), F.count("*").over(before(*keys, "tour"))).otherwise(0)
+    order = F.row_number().over(W.partitionBy("band_id").orderBy("day", F.desc("setlist")))
+    placed = useful.select("setlist", "band_id", "d", "day", "tour", order.alias("nth"), F.count("*").over(before("band_id")).alias("n_all"), on_tour("band_id").alias("n_tour"))
+    plays = own.select("setlist", "song").distinct().join(placed, "setlist")
+    counted = plays.withColumns({"in_all": F.count("*").over(before("band_id", "song")), "last_d": F.max("d").over(before("band_id", "song")), "in_tour": on_tour("band_id", "song")})
+    # a set asks at the place behind its n_all earlier sets; plays of the last ``compare`` of them lie in reach
+    asked = plays.select("band_id", "song", (2 * F.col("n_all") + 1).alias("place"), F.lit(0).alias("one"), "setlist")
+    marks = plays.select("band_id", "song", (2 * F.col("nth")).cast("long").alias("place"), F.lit(1).alias("one"), F.lit(None).cast(plays.schema["setlist"].dataType).alias("setlist")).unionByName(asked)
+    lately = marks.withColumn("in_prior", F.sum("one").over(W.partitionBy("band_id", "song").orderBy("place").rangeBetween(-2 * compare, 0))).where("one = 0").select("setlist", "song", "in_prior")
+    full = counted.where("n_all > 0").join(lately, ["setlist", "song"]).withColumn("n_prior", F.least("n_all", F.lit(compare)))
     years = F.floor(F.datediff("d", "last_d") / 365.25)
     kinds = F.array(
         F.when((F.col("in_all") > 0) & (years >= gap_years), F.struct(F.lit(1).alias("priority"), (-years).cast("double").alias("score"), F.lit("long_gap").alias("kind"))),

@@ -194,6 +194,24 @@ def selected_totals(spark, d):
     return L.totals(L.in_window(L.linked(listens(spark, d), bands(spark, d)), _span.start, _span.end))
 
 
+LINKED = f"ms >= {_span.start} and ms < {_span.end} and band_id in (select band_id from bands)"
+_buckets_linked = buckets_sql("day", _span.start, _span.end).replace(f"from listens where {VALID}", f"from listens where band_id in (select band_id from bands) and {VALID}")
+
+
+@query(
+    "a16_selected_stats",
+    f"""with tt as ({TOTALS} and {LINKED}), bc as ({RANKED} ({ranking(NOW_MS - TWO_WEEKS, NOW_MS + 1)})), bp as ({RANKED} ({ranking(NOW_MS - 2 * TWO_WEEKS, NOW_MS - TWO_WEEKS)})), bu as ({_buckets_linked})
+    select 'total' as section, 0 as place, cast(null as varchar) as key, duration_ms, listen_count, cast(null as varchar) as movement from tt union all select 'unknown', 0, null, 0, unknown_count, null from tt union all select 'first', 0, cast(first_listen as varchar), 0, 0, null from tt union all select 'last', 0, cast(last_listen as varchar), 0, 0, null from tt
+    union all select 'distinct_bands', 0, null, 0, count(distinct band_id), null from listens where {VALID} and {LINKED}
+    union all select 'band', bc.rank, cast(bc.band_id as varchar), bc.duration_ms, bc.listen_count, case when bp.rank is null then 'new' when bp.rank > bc.rank then 'up' when bp.rank < bc.rank then 'down' end from bc left join bp using (band_id)
+    union all select 'track', rank, key, duration_ms, listen_count, null from ({items_sql(f"coalesce('stable:' || recording_id, {TRACK_TEXT})", "trim(recording_title)", f"trim(recording_title) <> '' and {LINKED}", 10)})
+    union all select 'album', rank, key, duration_ms, listen_count, null from ({items_sql("concat_ws('|', cast(band_id as varchar), lower(trim(release_title)))", "trim(release_title)", f"trim(release_title) <> '' and {LINKED}", 10)})
+    union all select 'bucket', 0, cast(start_at as varchar), duration_ms, listen_count, null from bu union all select * from (select 'most_active', 0, cast(start_at as varchar), duration_ms, listen_count, null from bu order by duration_ms desc, listen_count desc, start_at limit 1)""",
+)
+def selected_stats(spark, d):
+    return L.selected_stats(listens(spark, d), bands(spark, d), "twoWeeks", NOW_MS)
+
+
 NAMES = ["fourteen_days", "three_months", "one_year", "all_time"]
 
 
