@@ -12,8 +12,8 @@ The budget ``None`` is the smallest with which every source is seen whole at lea
 is dropped; a number of tokens may cut large sources short.
 
 Defined cases: null and empty sources are one source; a null or empty text has no tokens and comes
-once with each epoch; sources without tokens come once; repeated rows are rows of their own; an
-empty table gives an empty result.
+once with each epoch; sources without tokens come once; repeated rows are rows of their own, and rows
+with null or repeated ids are dealt by id and text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
 
     Reading order within a source is epoch, block_order, doc_order.
     """
-    rows = cut(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), count_tokens().alias("tokens"), F.xxhash64("doc_id", F.lit(seed)).alias("doc_order")), "mixing-rows")
+    rows = cut(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), count_tokens().alias("tokens"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("doc_order")), "mixing-rows")
     shares = source_shares(rows)
     e = exponent(shares, target_entropy, max_repeat, budget)
     rate = F.when(F.col("share") > 0, F.pow("share", F.lit(e - 1)))
