@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from setlight.operators.rounds import scratch as cut
 from setlight.operators.rounds import scratch_dir
 
-__all__ = ["cut", "held_out", "one_label", "per_batch", "scratch_dir", "table", "unused"]
+__all__ = ["cut", "held_out", "join_counted", "one_label", "per_batch", "scratch_dir", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,22 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Fewer keys than this can each have more than so large a part of all rows.
+HEAVY = 10_000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: str | list[str] = "h", n: str = "df") -> DataFrame:
+    """``rows`` joined with ``keys`` on ``on``, where the column ``n`` of ``keys`` counts the rows of a key, or more.
+
+    Fewer than ``HEAVY`` keys can have more than that part of all rows: these are broadcast, and their
+    rows stay where they are. No other key is large enough to matter in a shuffle.
+    """
+    names = [on] if isinstance(on, str) else on
+    most = (keys.agg(F.sum(n)).first()[0] or 0) // HEAVY
+    heavy = F.broadcast(keys.where(F.col(n) > most))
+    return rows.join(heavy, names).unionByName(rows.join(heavy.select(*names), names, "left_anti").join(keys.where(F.col(n) <= most), names))
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]):
     """A mapInArrow function from one that maps a record batch."""
 

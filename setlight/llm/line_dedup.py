@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, unused
+from .common import cut, join_counted, per_batch, unused
 
 #: Stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
 RUN = "h1 long, h2 long, n long, holder long"
+#: Repeated keys that are broadcast: 32 MB of data at most.
+MOST_KEYS = 1_000_000
 PAIR = np.dtype([("h1", "<i8"), ("h2", "<i8")])
 
 
@@ -106,8 +108,8 @@ class LineRuns:
             self._place(self.merged(together), level + 1)
 
     def repeated(self, at_least: int) -> DataFrame:
-        """(h1, h2, holder) of the keys that ``at_least`` documents hold."""
-        return self.merged().where(F.col("n") >= at_least).select("h1", "h2", "holder")
+        """(h1, h2, n, holder) of the keys that ``at_least`` documents hold."""
+        return self.merged().where(F.col("n") >= at_least).select("h1", "h2", "n", "holder")
 
 
 def id_ranges(docs: DataFrame, batches: int) -> list:
@@ -144,11 +146,11 @@ def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: in
         )
 
     marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_fp: F.xxhash64("text")})
+    lines = marked.select(own_id, "text", own_fp).mapInArrow(per_batch(places), "id long, fp long, line int, h1 long, h2 long")
+    # few keys can be frequent; the rows of the others are shuffled only where the keys do not fit a broadcast
+    found = lines.join(F.broadcast(repeated), ["h1", "h2"]) if repeated.count() <= MOST_KEYS else join_counted(lines, repeated, ["h1", "h2"], "n")
     drops = (
-        marked.select(own_id, "text", own_fp)
-        .mapInArrow(per_batch(places), "id long, fp long, line int, h1 long, h2 long")
-        .join(repeated, ["h1", "h2"])
-        .where("id is null or holder is null or id <> holder")
+        found.where("id is null or holder is null or id <> holder")
         .groupBy("id", "fp")
         .agg(F.collect_set("line").alias(own_drop))
     )

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from setlight.llm import decontam, jaccard, licenses, line_dedup, mixing
+from setlight.llm import common, decontam, jaccard, licenses, line_dedup, mixing
 
 LONG = [f"This repeated line number {i} is long enough to be a key." for i in range(4)]
 
@@ -101,7 +101,7 @@ def near_docs(seed, families=6, copies=12, words=60):
 
 @pytest.mark.parametrize(("seed", "leaf", "rare", "most_keys"), [(1, 12, 24, 10**6), (2, 4, 3, 10**6), (3, 8, 1, 0), (4, 3, 100, 10**6), (6, 4, 2, 40)])
 def test_jaccard_components(spark, monkeypatch, seed, leaf, rare, most_keys):
-    monkeypatch.setattr(jaccard, "HEAVY", 50)
+    monkeypatch.setattr(common, "HEAVY", 50)
     docs = near_docs(seed)
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, dg int")
     got = jaccard.jaccard_components(frame, leaf=leaf, block=2 * leaf, pivots=2, levels=1, rare=rare, most_keys=most_keys).collect()
