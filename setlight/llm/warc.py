@@ -31,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, scratch_dir
+from .common import cut, join_counted, scratch_dir
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -185,22 +185,16 @@ def package_records(f: BinaryIO, size: int) -> Iterator[tuple[int | None, dict[s
 
 
 def with_origin(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(page_id, url, html, payload_digest, refers_to). Only ids and digests are grouped; html moves once, by page_id."""
+    """(page_id, url, html, sha1, refers_to). Only ids and digests are grouped; html moves once, by page_id.
 
-    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        payloads = [(x or "").encode() for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(digest32, payloads)), pa.string()), pa.array(list(map(len, payloads)), pa.int64())], ["_page", "_digest", "_bytes"])
-
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    marks = rows.select("page_id", "html").mapInArrow(per_batch(digests), "_page long, _digest string, _bytes long").where(f"_page is not null and _bytes >= {least_bytes}")
-    first = marks.groupBy("_digest").agg(F.min("_page").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = marks.join(first, "_digest").where("_page > refers_to").select("_page", "_digest", "refers_to").distinct()
-
-    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest32((x or "").encode()) for x in batch.column(2).to_pylist()], pa.string())], ["page_id", "url", "html", "payload_digest"])
-
-    full = rows.mapInArrow(per_batch(named), "page_id long, url string, html string, payload_digest string")
-    return full.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left").drop("_page", "_digest")
+    A digest that very many pages share is joined by a broadcast, see ``join_counted``.
+    """
+    payload = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumns({"sha1": F.sha1(payload.cast("binary")), "n_bytes": F.octet_length(payload)})
+    marks = rows.where(F.col("page_id").isNotNull() & (F.col("n_bytes") >= least_bytes)).select("page_id", "sha1")
+    first = cut(marks.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "warc-origins")
+    revisits = join_counted(marks, first, "sha1", "n").where("page_id > refers_to").select(F.col("page_id").alias("r_page"), F.col("sha1").alias("r_sha1"), "refers_to").distinct()
+    return rows.join(revisits, (F.col("page_id") == F.col("r_page")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "html", "sha1", "refers_to")
 
 
 def write_packages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, member_bytes: int = 4 << 20, package_bytes: int = 24 << 20) -> DataFrame:
@@ -219,16 +213,15 @@ def write_packages(pages: DataFrame, folder: str | None = None, least_bytes: int
 
         package = Package(member_bytes)
         for batch in batches:
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                package.add(page_id, warc_record(page_id, url, (html or "").encode(), digest, refers_to))
+            for page_id, url, html, sha1, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                package.add(page_id, warc_record(page_id, url, (html or "").encode(), base64.b32encode(bytes.fromhex(sha1)).decode(), refers_to))
                 if package.size >= package_bytes:
                     yield store(package)
                     package = Package(member_bytes)
         if package.index:
             yield store(package)
 
-    rows = with_origin(pages, least_bytes).select("page_id", "url", "html", "payload_digest", "refers_to")
-    return cut(rows.mapInArrow(write, "path string, bytes long, records long"), "warc-manifest")
+    return cut(with_origin(pages, least_bytes).mapInArrow(write, "path string, bytes long, records long"), "warc-manifest")
 
 
 def read_packages(manifest: DataFrame) -> DataFrame:
