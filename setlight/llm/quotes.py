@@ -11,7 +11,7 @@ stands together behind its first message: by the thread's first turn, then by tu
 
 Defined cases: a message without a resolvable quotation begins a thread of its own; attribution
 lines ("... wrote:") just before a quotation go with it; null texts are empty; rows with a null
-conversation or turn link with nothing; repeated rows are kept, each with its own place; rows with
+conversation or turn link with nothing and have no place; repeated rows are kept, each with its own place; rows with
 equal turns are ordered by role and text; an empty table gives an empty result.
 """
 
@@ -118,16 +118,20 @@ def link_quotations(messages: DataFrame, least: int = 1) -> DataFrame:
         .join(threads.select(F.col("conv_id").alias("t_conv"), F.col("turn").alias("t_turn"), "root_turn", "depth"), (F.col("conv_id") == F.col("t_conv")) & (F.col("turn") == F.col("t_turn")), "left")
         .select("conv_id", "turn", "role", "own", "n_quotes", "row_id", "parent_turn", F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
     )
-    # places: a conversation is counted in blocks of threads, so a huge one is not sorted in one task
-    full = cut(full.withColumn("part", F.floor(F.col("root_turn") / PLACES)), "placed")
-    counts = full.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("conv_id").alias("b_conv"), F.col("part").alias("b_part"), (F.sum("n").over(W.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("before"))
-    within = F.row_number().over(W.partitionBy("conv_id", "part").orderBy("root_turn", "turn", "role", "row_id"))
-    return (
-        full.withColumn("within", within)
-        .join(before, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("part").eqNullSafe(F.col("b_part")))
-        .select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", (F.col("before") + F.col("within")).alias("reply_order"), "n_quotes", F.col("own").alias("text"))
-    )
+    # places: parts of a conversation by first turn, blocks of a part by thread and turn, so that no window holds a
+    # whole hot conversation or one huge thread; rows without a conversation or turn have no place
+    full = cut(full, "placed")
+    placed = full.where("conv_id is not null and turn is not null").withColumns({"part": F.floor(F.col("root_turn") / PLACES), "block": F.floor(F.col("turn") / PLACES)})
+    counts = placed.groupBy("conv_id", "part", "root_turn", "block").agg(F.count("*").alias("n"))
+    of_parts = counts.groupBy("conv_id", "part").agg(F.sum("n").alias("n"))
+    earlier = lambda keys, *order: F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = of_parts.select("conv_id", "part", earlier(["conv_id"], "part").alias("before_part"))
+    starts = counts.withColumn("before", earlier(["conv_id", "part"], "root_turn", "block")).join(parts, ["conv_id", "part"]).select("conv_id", "part", "root_turn", "block", (F.col("before") + F.col("before_part")).alias("start"))
+    within = F.row_number().over(W.partitionBy("conv_id", "part", "root_turn", "block").orderBy("turn", "role", "row_id"))
+    columns = ["conv_id", "turn", "role", "parent_turn", "root_turn", "depth"]
+    inside = placed.withColumn("within", within).join(starts, ["conv_id", "part", "root_turn", "block"]).select(*columns, (F.col("start") + F.col("within")).alias("reply_order"), "n_quotes", F.col("own").alias("text"))
+    outside = full.where("conv_id is null or turn is null").select(*columns, F.lit(None).cast("long").alias("reply_order"), "n_quotes", F.col("own").alias("text"))
+    return inside.unionByName(outside)
 
 
 def oracle_sql(messages: str = "select conv_id, turn, role, text from conversations") -> str:

@@ -139,6 +139,7 @@ def test_quotation_linking(spark):
     texts = {(r.conv_id, r.turn): r.text for r in rows}
     assert texts[(1, 1)] == "Yes, Monday is good." and texts[(1, 3)] == "Then it is settled." and texts[(2, 1)] == ""
     assert sorted(r.reply_order for r in rows if r.conv_id == 2) == [1, 2, 3]
+    assert [r.reply_order for r in rows if r.conv_id is None or r.turn is None] == [None, None]
     assert quotes.link_quotations(frame.where("false")).count() == 0
 
 
@@ -165,3 +166,10 @@ def test_reply_order_over_many_threads(spark):
         root[i], depth[i] = (i, 0) if p is None else (root[p], depth[p] + 1)
     assert all((got[i].parent_turn, got[i].root_turn, got[i].depth) == (parent[i], root[i], depth[i]) for i in range(1500))
     assert [t for t, _ in sorted(got.items(), key=lambda x: x[1].reply_order)] == sorted(range(1500), key=lambda i: (root[i], i))
+
+
+def test_reply_order_in_one_huge_thread(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "PLACES", 16)
+    rows = [(9, i, "r", "> Start\nreply" if i else "Start") for i in range(200)] + [(9, 300, "x", "Other"), (9, 301, "y", "> Other\nok")]
+    got = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [r.turn for r in sorted(got, key=lambda r: r.reply_order)] == [*range(200), 300, 301] and {r.reply_order for r in got} == set(range(1, 203))
