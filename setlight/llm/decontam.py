@@ -224,3 +224,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
             kept = cut(kept, "decontaminated")
         kept = kept.mapInArrow(per_batch(clean), docs.schema)
     return kept
+
+
+def oracle_sql(threshold: float = 0.5, question: float = 0.5, answer: float = 0.5, gram: int = 3) -> str:
+    """``contaminated`` without an index, for DuckDB: every item against every passage; doubles with six decimals."""
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+    grams = lambda x, n: f"list_distinct(list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n} - 1], ' ')))"
+    return rf"""
+with item as (select item_id, w, len(w) as n, greatest(1, 2 * len(w) // 3) as split from (select item_id, {words} as w from benchmark) where len(w) > 0),
+whole as (select count(*) as items, avg(n) as average, max(n) as longest from item),
+tf as (select item_id, any_value(n) as n, term, count(*) as tf from (select item_id, n, unnest(w) as term from item) group by item_id, term),
+df as (select term, count(*) as df from tf group by term),
+weight as (select item_id, term, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average)) as x from tf join df using (term), whole),
+share as (select item_id, term, x / sum(x) over (partition by item_id) as x from weight),
+parts as (select item_id, {grams("q", "gq")} as q, gq, case when len(a) > 0 then {grams("a", "ga")} else [] end as a, ga from (select *, least({gram}, len(q)) as gq, least({gram}, len(a)) as ga from (select item_id, w[1:split] as q, w[split + 1:] as a from item))),
+doc as (select row_number() over () as rn, doc_id, {words} as w from documents),
+passage as (select rn, doc_id, start, w[start + 1:start + 2 * longest] as w from (select rn, doc_id, w, longest, unnest(range(0, greatest(1, len(w) - longest), longest)) as start from doc, whole where len(w) > 0)),
+scored as (select rn, doc_id, start, item_id, sum(x) as score from (select distinct rn, doc_id, start, unnest(w) as term from passage) join share using (term) group by all having sum(x) >= {threshold} - 1e-9),
+seen as (
+  select s.rn, s.doc_id, s.item_id, score, len(list_intersect(q, {grams("w", "gq")})) / len(q) as asked,
+    case when len(a) = 0 then 1.0 else len(list_intersect(a, {grams("w", "ga")})) / len(a) end as answered
+  from scored s join passage p on p.rn = s.rn and p.start = s.start join parts using (item_id)
+)
+select doc_id, item_id, round(max(score), 6) as bm25, round(max(asked), 6) as question_overlap, round(max(answered), 6) as answer_overlap, count(*) as passages
+from seen where asked >= {question} and answered >= {answer} group by rn, doc_id, item_id
+"""

@@ -43,7 +43,8 @@ def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: F.round(c, 6) for c in ("bm25", "question_overlap", "answer_overlap")})
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 ) where rank <= 10
 """,
     "op6_license_scan": licenses.oracle_sql(),
+    "op8_decontamination": decontam.oracle_sql(),
     "op10_quotation_linking": quotes.oracle_sql(),
     "quoted_threads": quotes.oracle_sql(quotes.QUOTING_SQL),
     "op7_warc_packages": r"""
