@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, line_dedup, mixing, quality, quotes, topk, toxicity, warc
+from . import decontam, extraction, jaccard, licenses, line_dedup, mixing, quality, quotes, resampling, spelling, topk, toxicity, warc
 from .common import table
 
 
@@ -55,6 +55,18 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 over conversations whose messages quote earlier ones: those of the table do not."""
     return quotes.link_quotations(quotes.quoting_earlier_turns(table(spark, sf_dir, "conversations")))
@@ -73,6 +85,9 @@ QUERIES = {
         op8_decontamination,
         op9_jaccard_join,
         op10_quotation_linking,
+        op11_importance_resampling,
+        op12_spelling_variants,
+        op13_main_text,
         quoted_threads,
     )
 }
@@ -94,6 +109,8 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
     "op6_license_scan": licenses.oracle_sql(),
     "op8_decontamination": decontam.oracle_sql(),
     "op10_quotation_linking": quotes.oracle_sql(),
+    "op11_importance_resampling": resampling.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(),
     "quoted_threads": quotes.oracle_sql(quotes.QUOTING_SQL),
     "op7_warc_packages": r"""
 with hashed as (
