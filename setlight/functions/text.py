@@ -80,11 +80,18 @@ def names_match(band: Column, act: Column, event: Column) -> Column:
     return (band != "") & (act != "") & ~F.lower(event).rlike(IMPERSONATORS) & ((band == act) | whole_word_in(band, act) | whole_word_in(act, band))
 
 
-def venues_match(a: Column, b: Column, least: int = 5) -> Column:
-    """equal, or all distinctive words (of ``least`` letters or more) of one are in the other."""
-    words = lambda x: F.filter(F.split(x, " "), lambda w: F.length(w) >= least)
-    inside = lambda x, y: (F.size(words(x)) > 0) & F.forall(words(x), lambda w: F.array_contains(F.split(y, " "), w))
-    return (a == b) | inside(a, b) | inside(b, a)
+#: Words that many venues have in their names, and names that say no venue.
+GENERIC_VENUE_WORDS = ["arena", "hall", "club", "stadium", "festival", "venue", "theatre", "theater", "centre", "center", "music", "live"]
+UNKNOWN_VENUES = ["unknown venue", "unknown", "venue unknown", "tba", "tbd", "venue tba", "venue tbd", "to be announced", "to be determined"]
+
+
+def venues_match(a: Column, b: Column) -> Column:
+    """normalised names that are equal, or one whole inside the other as words, if not all of its words are generic."""
+    words = lambda x: F.split(x, " ")
+    a_first = F.size(words(a)) <= F.size(words(b))
+    inner, outer = F.when(a_first, a).otherwise(b), F.when(a_first, b).otherwise(a)
+    own = F.exists(words(inner), lambda w: ~w.isin(GENERIC_VENUE_WORDS))
+    return (a != "") & (b != "") & ((a == b) | (own & whole_word_in(inner, outer)))
 
 
 def contained_either_way(a: Column, b: Column, missing: bool) -> Column:
@@ -112,27 +119,32 @@ def provider_url(kind: str, ident: Column) -> Column:
     return F.when(ident.rlike("^[A-Za-z0-9]{22}$"), F.concat(F.lit(f"https://open.spotify.com/{kind}/"), ident))
 
 
-EDITIONS = r"\s*[(\[][^)\]]*(edition|version|remaster(ed)?|deluxe|expanded)[^)\]]*[)\]]\s*$"
+#: Fixed value: the note of an edition at the end of a title.
+EDITIONS = r"(?i)\s*[\[(](?:deluxe|expanded|anniversary|remaster(?:ed)?|reissue|clean|explicit|\d{4}\s+edition)[^\])]*[\])]\s*$"
 
 
 def canonical_title(text: Column, decompose: bool = True) -> Column:
     """F4 without an edition suffix."""
-    return norm_artist(F.regexp_replace(F.lower(text), EDITIONS, ""), decompose)
+    return norm_artist(F.regexp_replace(F.coalesce(text, F.lit("")), EDITIONS, ""), decompose)
 
 
-#: Release types that count, and titles and secondary types that don't.
+#: Release types that count; words of titles and secondary types that don't; words of titles that have no lifecycle.
 RELEASE_TYPES = ["Album", "EP", "Single"]
+NOT_ALLOWED = r"(?i)\b(compilation|live|remix|dj-mix|mixtape|audiobook|interview|spoken word|bootleg|promotion|promotional|reissue|remaster(?:ed)?|deluxe|expanded|anniversary|tribute|karaoke|appears on)\b"
 EXCLUDED = r"\b(deluxe|expanded|anniversary|remaster(ed)?|reissue|compilation|greatest hits|remix|live|tribute|karaoke|bootleg)\b"
 
 
-def allowed_release(kind: Column, title: Column) -> Column:
-    """F34."""
-    return kind.isin(RELEASE_TYPES) & ~F.lower(title).rlike(EXCLUDED)
+def allowed_release(kind: Column, title: Column, secondary: Column | None = None) -> Column:
+    """a type that counts, and no excluded word in the title or the array of secondary types."""
+    text = title if secondary is None else F.concat_ws(" ", title, F.array_join(secondary, " "))
+    return F.coalesce(kind.isin(RELEASE_TYPES), F.lit(False)) & ~F.coalesce(text, F.lit("")).rlike(NOT_ALLOWED)
 
 
-def truncate(text: Column, n: int) -> Column:
-    """F40."""
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+def truncate(text: Column, n: int = 350) -> Column:
+    """the trimmed text, or its first ``n`` characters, trimmed again, and an ellipsis; null counts as empty."""
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    whole = trimmed(F.coalesce(text, F.lit("")))
+    return F.when(F.length(whole) <= n, whole).otherwise(F.concat(trimmed(F.substring(whole, 1, n)), F.lit("…")))
 
 
 def one_distinct(values: Column) -> Column:

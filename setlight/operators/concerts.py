@@ -5,10 +5,14 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from setlight.operators.folds import global_rank
+
 #: Countries of the Europe filter and the radius of each nearby country.
 EUROPE = [
     "sweden", "norway", "denmark", "finland", "iceland", "uk", "united kingdom", "ireland", "germany", "france", "belgium",
@@ -178,6 +182,12 @@ def alert_batches(concerts: DataFrame, bands: DataFrame, since: str) -> DataFram
     return new.groupBy("band_id", "found").agg(F.count("*").alias("n"), F.min("d").alias("first_date"), F.max("d").alias("last_date"), F.when(F.count("*") == 1, F.min("ord")).alias("concert"), F.count_if("attending").alias("attending")).withColumn("kind", F.when(F.col("n") == 1, "concert").otherwise("summary"))
 
 
+def alert_list(concerts: DataFrame, bands: DataFrame, today: str, days: int = 90) -> DataFrame:
+    """The alerts tab: the batches found in the last ``days``, with their place in one list, newest first."""
+    since = str(date.fromisoformat(today) - timedelta(days=days))
+    return global_rank(alert_batches(concerts, bands, since), [F.desc("found"), F.asc("band_id")])
+
+
 def year_sections(concerts: DataFrame) -> DataFrame:
     """Rows with the size of their year's section."""
     sizes = concerts.groupBy(F.year("d").alias("year")).agg(F.count("*").alias("in_year"))

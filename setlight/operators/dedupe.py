@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .linking import sanitized
 from .rounds import components, first_come
 
 DURATION_TOLERANCE_MS = 2000
@@ -115,12 +116,17 @@ def canonicalize(listens: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def merge_new(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows whose id and fingerprint are new; among the new ones the earlier row claims both."""
+    """Rows whose id and fingerprint are new; among the new ones the earlier row claims both."""
     fresh = incoming.join(existing.select("id").distinct(), "id", "left_anti").join(existing.where("fp is not null").select("fp").distinct(), "fp", "left_anti")
     keyed = fresh.withColumn("claims", F.array(F.concat(F.lit("i"), F.col("id").cast("string")), F.concat(F.lit("f"), F.col("fp"))))
     return keyed.join(first_come(keyed, "ord", "ord", "claims"), "ord").drop("claims")
 
 
+def new_listens(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+    """The same for an incremental pull, of which only valid listens of the provider count."""
+    return merge_new(sanitized(incoming).where("source = 'listenbrainz'"), existing)
+
+
 def audit(assigned: DataFrame) -> DataFrame:
     """Pairs by tier and outcome."""
     return assigned.groupBy("tier", "outcome").agg(F.count("*").alias("n"))

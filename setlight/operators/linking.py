@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from setlight.functions.text import norm_title
+from setlight.functions.text import GENERIC_VENUE_WORDS, UNKNOWN_VENUES, norm_title
+from setlight.operators.folds import Row, ordered_fold
 
 
 def unique_names(bands: DataFrame) -> DataFrame:
@@ -68,22 +69,101 @@ def match_shows(candidates: DataFrame, shows: DataFrame) -> DataFrame:
     return candidates.select("candidate").join(best, "candidate", "left").select("candidate", F.col("m.how").cast("long").alias("how"), F.when(F.col("m.n") == 1, F.col("m.s")).alias("show"), (F.coalesce("m.n", F.lit(0)) > 1).alias("ambiguous"))
 
 
-def reconcile(candidates: DataFrame, shows: DataFrame) -> DataFrame:
-    """What becomes of each candidate: it upgrades a show, is added, or is skipped as a duplicate.
-
-    A candidate with a provider id upgrades the one show it matches; where several match it is added and
-    flagged. One without only looks for shows that have a provider id. Otherwise the same band, day, city
-    and venue is a duplicate, unless both have provider ids that differ.
+def _same_place(a: Row, b: Row) -> bool:
+    return a["n_city"] != "" and a["n_city"] == b["n_city"] and not (a["n_country"] and b["n_country"] and a["n_country"] != b["n_country"])
+
+
+def _same_venue(a: str, b: str) -> bool:
+    """F29, for two values."""
+    inner, outer = sorted((a.split(" "), b.split(" ")), key=len)
+    own = any(w not in GENERIC_VENUE_WORDS for w in inner)
+    return a != "" and b != "" and (a == b or (own and f" {' '.join(inner)} " in f" {' '.join(outer)} "))
+
+
+def _unknown(venue: str) -> bool:
+    return venue == "" or venue in UNKNOWN_VENUES
+
+
+class _Records:
+    """The shows known so far of one band and day, found by event id and by city."""
+
+    def __init__(self) -> None:
+        self.by_event: dict[str, list[Row]] = {}
+        self.by_city: dict[str, list[Row]] = {}
+
+    def add(self, record: Row) -> None:
+        if record["event_id"]:
+            self.by_event.setdefault(record["event_id"], []).append(record)
+        if record["n_city"]:
+            self.by_city.setdefault(record["n_city"], []).append(record)
+
+    def patch(self, record: Row, values: Row) -> None:
+        for index, key in ((self.by_event, record["event_id"]), (self.by_city, record["n_city"])):
+            if key:
+                index[key].remove(record)
+        record.update(values)
+        self.add(record)
+
+    def match(self, candidate: Row, ticketmaster_only: bool) -> tuple[list[Row], str]:
+        """The matching records by the first way that finds any."""
+        event = candidate["event_id"]
+        if event and (found := self.by_event.get(event)):
+            return found, "provider_event_id"
+        near = [r for r in self.by_city.get(candidate["n_city"], ()) if _same_place(r, candidate) and not (ticketmaster_only and not r["ticketmaster"])]
+        if candidate["ticketmaster"] and not _unknown(candidate["n_venue"]):
+            evidence = lambda r: any(r[c] and r[c] == candidate[c] for c in ("n_address", "url"))
+            recovered = [r for r in near if _unknown(r["n_venue"]) and not (event and r["event_id"]) and evidence(r)]
+            if recovered:
+                return recovered, "trusted_venue_evidence"
+        return [r for r in near if not (event and r["event_id"]) and _same_venue(r["n_venue"], candidate["n_venue"])], "same_show"
+
+    def twin(self, candidate: Row) -> bool:
+        others = self.by_city.get(candidate["n_city"], ())
+        differ = lambda r: r["event_id"] and candidate["event_id"] and r["event_id"] != candidate["event_id"]
+        return candidate["n_venue"] != "" and any(r["n_venue"] == candidate["n_venue"] and not differ(r) and _same_place(r, candidate) for r in others)
+
+
+def _reconciled(records: _Records, row: Row) -> list[Row]:
+    if row["candidate"] is None:
+        records.add(row)
+        return []
+    decided = lambda action, show=None, how=None, ambiguous=False: [{"candidate": row["candidate"], "action": action, "show": show, "how": how, "ambiguous": ambiguous}]
+    ours = row["ticketmaster"]
+    found, how = records.match(row, not ours)
+    if len(found) == 1:
+        if not ours:
+            return decided("skip_ticketmaster_duplicate", found[0]["id"], how)
+        keep = {"n_venue"} if _unknown(row["n_venue"]) and not _unknown(found[0]["n_venue"]) else set()
+        only = {"n_venue"} if how == "trusted_venue_evidence" else {"n_venue", "n_city", "n_country", "n_address", "url", "event_id"}
+        values = {c: row[c] for c in only - keep if row[c]}
+        records.patch(found[0], values if how == "trusted_venue_evidence" else values | {"ticketmaster": True})
+        return decided("upgrade", found[0]["id"], how)
+    if not (ours and len(found) > 1) and records.twin(row):
+        return decided("skip_duplicate")
+    records.add(row)
+    return decided("add", ambiguous=ours and len(found) > 1)
+
+
+def reconcile(candidates: DataFrame, shows: DataFrame, decompose: bool = True) -> DataFrame:
+    """(candidate, action, show, how, ambiguous): what becomes of each candidate, taken in the order of ``ord``.
+
+    Both sides: (id, ord, band_id, d, city, country, venue, address, url, event_id, ticketmaster). An
+    accepted candidate is a record for those after it, and a Ticketmaster candidate that upgrades a
+    record changes what later ones find; so each band's day is passed over in order, with the records of
+    that day as the state. Several matches make a Ticketmaster candidate an ambiguous addition. Rows without
+    band or day match nothing; ids are unique over both sides.
     """
-    by_provider = match_shows(candidates.where("provider_id is not null"), shows)
-    others = match_shows(candidates.where("provider_id is null"), shows.where("provider_id is not null"))
-    found = by_provider.unionByName(others).select(F.col("candidate").alias("m"), "show", "ambiguous")
-    same = shows.select("band_id", "d", "city", "venue", F.col("provider_id").alias("p"))
-    twins = candidates.join(same, ["band_id", "d", "city", "venue"]).where(~F.coalesce(F.col("provider_id") != F.col("p"), F.lit(False))).select(F.col("candidate").alias("twin")).distinct()
-    rows = candidates.join(found, candidates.candidate == found.m, "left").join(twins, candidates.candidate == twins.twin, "left")
-    ours, again = F.col("provider_id").isNotNull(), F.col("twin").isNotNull()
-    action = F.when(F.col("show").isNotNull(), F.when(ours, "upgrade").otherwise("skip_ticketmaster_duplicate")).when(ours & F.col("ambiguous"), "add").when(again, "skip_duplicate").otherwise("add")
-    return rows.select("candidate", action.alias("action"), F.col("show"), (ours & F.coalesce("ambiguous", F.lit(False))).alias("ambiguous"))
+    plain = lambda c: F.coalesce(norm_title(F.col(c), decompose), F.lit(""))
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+
+    def side(rows: DataFrame, candidate: Column, rank: int) -> DataFrame:
+        return rows.select("band_id", "d", F.lit(rank).alias("side"), "ord", "id", candidate.alias("candidate"), *[plain(c).alias(f"n_{c}") for c in ("city", "country", "venue", "address")], text("url").alias("url"), text("event_id").alias("event_id"), F.coalesce("ticketmaster", F.lit(False)).alias("ticketmaster"))
+
+    known = F.col("band_id").isNotNull() & F.col("d").isNotNull()
+    rows = side(shows.where(known), F.lit(None).cast("string"), 0).unionByName(side(candidates.where(known), F.col("id"), 1))
+    folded = ordered_fold(rows, ["band_id", "d"], ["side", "ord"], _Records, _reconciled, "candidate string, action string, show string, how string, ambiguous boolean")
+    none = F.lit(None).cast("string")
+    return folded.unionByName(candidates.where(~known).select(F.col("id").alias("candidate"), F.lit("add").alias("action"), none.alias("show"), none.alias("how"), F.lit(False).alias("ambiguous")))
 
 
 def track_evidence(events: DataFrame, bands: DataFrame, decompose: bool = True) -> DataFrame:

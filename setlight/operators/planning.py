@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from setlight.functions.numbers import full_date
-from setlight.functions.text import EXCLUDED, allowed_release, canonical_title, slug
+from setlight.functions.text import EXCLUDED, allowed_release, canonical_title, norm_artist, slug
+from setlight.operators.folds import Row, global_rank, ordered_fold
 
 # --- releases ---------------------------------------------------------------------------------
 
@@ -61,8 +62,8 @@ def lifecycle_alerts(releases: DataFrame, alerts: DataFrame, now: str) -> DataFr
     for k in ("mbid", "provider_id", "key"):
         same = due.where((F.col("stage") == STAGES[0]) & F.col(k).isNotNull()).select("release_id", "stage", "band_id", k).join(ids.select("band_id", k, "ord", "old_id"), ["band_id", k])
         found = found.unionByName(same.select("release_id", "stage", "ord", "old_id"))
-    first = found.groupBy("release_id", "stage").agg(F.min_by("old_id", "ord").alias("old_id"))
-    planned = due.join(first, ["release_id", "stage"], "left").select("release_id", "band_id", "stage", F.when(F.col("old_id").isNotNull(), "enrich").otherwise("create").alias("action"), F.coalesce("old_id", "new_id").alias("alert_id"))
+    first = found.groupBy("release_id", "stage").agg(F.min_by("old_id", "ord").alias("old_id"), F.lit(True).alias("found"))
+    planned = due.join(first, ["release_id", "stage"], "left").select("release_id", "band_id", "stage", F.when(F.col("found"), "enrich").otherwise("create").alias("action"), F.coalesce("old_id", "new_id").alias("alert_id"))
     return planned.unionByName(skipped)
 
 
@@ -78,23 +79,59 @@ def availability_alerts(releases: DataFrame, seen: DataFrame, today: str, recent
     return releases.join(seen.select(F.col("release_id").alias("s")), releases.release_id == F.col("s"), "left").select("release_id", decision.alias("decision"))
 
 
+class _Releases:
+    """The merged releases of one band, by key and by what their fields say now."""
+
+    def __init__(self) -> None:
+        self.by_key: dict[str, Row] = {}  # in the order of first observations
+        self.by_fields: dict[tuple, dict[int, str]] = {}  # place of first observation -> key
+
+    @staticmethod
+    def fields(release: Row) -> tuple:
+        return (release["canonical"], release["type"], release["release_date"], release["precision"])
+
+    def take(self, seen: Row) -> None:
+        same = self.by_fields.get(self.fields(seen))
+        key = same[min(same)] if same else seen["key"]
+        prior = self.by_key.get(key)
+        if prior is None:
+            merged = seen | {"place": len(self.by_key), "sources": [seen["source"]]}
+        else:
+            self.by_fields[self.fields(prior)].pop(prior["place"])
+            later = {c: seen[c] for c in ("canonical", "title", "type", "release_date", "precision")}
+            spotify = {c: seen[c] for c in ("provider_id", "url")} if seen["source"] == "Spotify" else {}
+            merged = prior | later | spotify | {"mbid": prior["mbid"] or seen["mbid"], "first_seen": prior["first_seen"] or seen["first_seen"]}
+            merged["sources"] = prior["sources"] + [seen["source"]] * (seen["source"] not in prior["sources"])
+        self.by_key[key] = merged
+        self.by_fields.setdefault(self.fields(merged), {})[merged["place"]] = key
+
+
 def merged_releases(rows: DataFrame, decompose: bool = True) -> DataFrame:
-    """Observations (band_id, ord, title, type, release_date, precision, mbid, provider_id, source, first_seen) as one row for each release.
+    """Observations (band_id, ord, source, title, type, release_date, precision, mbid, provider_id, url, artists, first_seen) as one row for each release.
 
-    Equal canonical title, type, day and precision are one release whichever the provider; what is left is
-    united by mbid. Later observations win, the first mbid and first_seen stay, sources are collected.
+    Each observation, in the order of ``ord``, joins the first release whose fields as merged so far say
+    the same title, type, day and precision, else the one of its own key, else it starts one. Later
+    titles, types and days win, even unknown ones; a Spotify observation sets id and url; the first mbid and
+    first_seen stay; sources are collected in order.
     """
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
+    lower = lambda c: norm_artist(F.col(c), decompose)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    canonical = canonical_title(F.col("title"), decompose)
+    credited = F.array_join(F.array_sort(F.coalesce("artists", F.array().cast("array<string>"))), ",")
+    own = F.concat(F.lit("spotify:"), F.concat_ws("|", text("band_id"), canonical, lower("type"), text("release_date"), text("precision"), credited))
+    key = F.when(F.coalesce(F.col("mbid"), F.lit("")) != "", F.concat(F.lit("mbid:"), "mbid")).otherwise(own)
+    seen = rows.withColumns({"canonical": canonical, "key": key})
+    out = ["title", "type", "release_date", "precision", "provider_id", "url", "mbid", "first_seen", "sources"]
+    schema = "band_id long, place long, title string, type string, release_date string, precision string, provider_id string, url string, mbid string, first_seen long, sources array<string>"
+
+    def step(releases: _Releases, row: Row) -> list[Row]:
+        releases.take(row)
+        return []
 
-    def together(df: DataFrame, *keys: Column | str) -> DataFrame:
-        fields = [last(c).alias(c) for c in ("title", "type", "release_date", "precision", "provider_id")]
-        return df.groupBy(*keys).agg(*fields, first("mbid").alias("mbid"), first("first_seen").alias("first_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.max("ord").alias("ord"))
+    def finish(releases: _Releases) -> list[Row]:
+        return [{c: r[c] for c in ("band_id", "place", *out)} for r in releases.by_key.values()]
 
-    named = rows.withColumns({"canonical": canonical_title(F.col("title"), decompose), "sources": F.array("source")})
-    loose = together(named, "band_id", "canonical", F.col("type").alias("k_type"), F.col("release_date").alias("k_date"), F.col("precision").alias("k_precision"))
-    key = F.coalesce(F.concat(F.lit("mbid:"), "mbid"), F.concat_ws("|", "canonical", "k_type", F.col("k_date").cast("string"), "k_precision"))
-    return together(loose, "band_id", key.alias("key")).drop("key", "ord")
+    return ordered_fold(seen.withColumn("release_date", F.col("release_date").cast("string")), ["band_id"], ["ord"], _Releases, step, schema, finish)
 
 
 def structured_news(releases: DataFrame, today: str, recent_days: int = 14) -> DataFrame:
@@ -118,8 +155,8 @@ def first_of_key(items: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def news_list(items: DataFrame) -> DataFrame:
-    """Items with their place, newest first; undated ones come last."""
-    return items.withColumn("place", F.row_number().over(W.partitionBy("band_id").orderBy(F.desc_nulls_last("found"), "ord")).cast("long"))
+    """All items with their place in one list, newest first; undated ones come last, equal ones as given."""
+    return global_rank(items, [F.desc_nulls_last("found"), F.asc("ord")])
 
 
 def upsert(existing: DataFrame, observed: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -279,9 +316,11 @@ def run_due(last_ms: Column, now_ms: int, hours: int) -> Column:
 
 
 def remaining_budget(reservations: DataFrame, key: str, now_ms: int, cap: int) -> DataFrame:
-    """(key, reserved, remaining) of the last 24 hours."""
-    some = reservations.where((F.col("at_ms") > now_ms - DAY_MS) & (F.col("at_ms") <= now_ms))
-    return some.groupBy(key).agg(F.sum("n").alias("reserved")).withColumn("remaining", F.greatest(F.lit(0), cap - F.col("reserved")))
+    """(key, reserved, remaining) of the last 24 hours. A reservation in the future fails the query: it is no quota to forget."""
+    at = F.when(F.col("at_ms") > now_ms, F.raise_error(F.concat(F.lit("reservation in the future: "), F.col("at_ms").cast("string"))).cast("long")).otherwise(F.col("at_ms"))
+    active = at > now_ms - DAY_MS
+    sums = reservations.groupBy(key).agg(F.sum(F.when(active, F.col("n"))).alias("reserved")).where("reserved is not null")
+    return sums.withColumn("remaining", F.greatest(F.lit(0), cap - F.col("reserved")))
 
 
 def backfill_plan(source: DataFrame, existing: DataFrame, not_found: DataFrame, cap: int) -> DataFrame:

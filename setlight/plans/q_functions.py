@@ -192,9 +192,18 @@ def f28(spark, d):
     return rows.select("p_partkey", T.names_match(F.col("a"), F.col("b"), F.col("e")).alias("names"), T.contained_either_way(F.col("a"), F.col("c"), False).alias("strict"))
 
 
-@query("f29_venue_words", f"select p_partkey, a = b or (len(wa) > 0 and len(list_filter(wa, lambda w: not list_contains(string_split(b, ' '), w))) = 0) or (len(wb) > 0 and len(list_filter(wb, lambda w: not list_contains(string_split(a, ' '), w))) = 0) as m from (select *, list_filter(string_split(a, ' '), lambda w: length(w) >= 5) as wa, list_filter(string_split(b, ' '), lambda w: length(w) >= 5) as wb from ({NAMED}))")
+VENUES = "select p_partkey, lower(p_name) as a, case p_partkey % 6 when 0 then lower(p_name) || ' arena' when 1 then 'royal ' || lower(p_name) || ' hall' when 2 then split_part(lower(p_name), ' ', 2) when 3 then 'arena' when 4 then '' else lower(p_brand) end as b from part"
+GENERIC = "['" + "', '".join(T.GENERIC_VENUE_WORDS) + "']"
+
+
+def inside_sql(x: str, y: str) -> str:
+    return f"(len(list_filter(string_split({x}, ' '), lambda w: not list_contains({GENERIC}, w))) > 0 and contains(' ' || {y} || ' ', ' ' || {x} || ' '))"
+
+
+@query("f29_venue_words", f"select p_partkey, a <> '' and b <> '' and (a = b or case when len(string_split(a, ' ')) <= len(string_split(b, ' ')) then {inside_sql('a', 'b')} else {inside_sql('b', 'a')} end) as m from (select p_partkey, a || case when p_partkey % 12 = 3 then ' arena' else '' end as a, b from ({VENUES}))")
 def f29(spark, d):
-    rows = read(spark, d, "part").selectExpr("p_partkey", "lower(p_name) as a", "lower(p_brand || ' ' || p_name) as b")
+    read(spark, d, "part").createOrReplaceTempView("part")
+    rows = spark.sql(VENUES).withColumn("a", F.when(F.col("p_partkey") % 12 == 3, F.concat("a", F.lit(" arena"))).otherwise(F.col("a")))
     return rows.select("p_partkey", T.venues_match(F.col("a"), F.col("b")).alias("m"))
 
 
@@ -211,17 +220,22 @@ def f31(spark, d):
     return rows.select("event_id", T.safe_uuid(F.col("h")).alias("uuid"), T.safe_https(F.col("u")).alias("url"), T.provider_url("track", F.col("s")).alias("link"))
 
 
-TITLES = "select p_partkey, p_name || case p_partkey % 4 when 0 then ' (Deluxe Edition)' when 1 then ' [2010 Remaster]' when 2 then ' live' else '' end as title, type from (select p_partkey, p_name, case p_size % 4 when 0 then 'Album' when 1 then 'EP' when 2 then 'Single' else 'Broadcast' end as type from part)"
+TITLES = "select p_partkey, p_name || case p_partkey % 8 when 0 then ' (Deluxe Edition)' when 1 then ' [2010 Remaster]' when 2 then ' live' when 3 then ' [2010 Edition] ' when 4 then ' (remastered)' when 5 then ' dj-mix' when 6 then ' (clean)' else '' end as title, case when p_partkey % 9 = 4 then 'Remix' else 'none' end as secondary, type from (select p_partkey, p_name, case p_size % 4 when 0 then 'Album' when 1 then 'EP' when 2 then 'Single' else 'Broadcast' end as type from part)"
 
 
 @query(
     "f33_f34_release_titles",
-    rf"select p_partkey, trim(regexp_replace(regexp_replace(lower(title), '\s*[(\[][^)\]]*(edition|version|remaster(ed)?|deluxe|expanded)[^)\]]*[)\]]\s*$', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as canonical, type in ('Album', 'EP', 'Single') and not regexp_matches(lower(title), '\b(deluxe|expanded|anniversary|remaster(ed)?|reissue|compilation|greatest hits|remix|live|tribute|karaoke|bootleg)\b') as allowed, case when length(title) > 20 then substr(title, 1, 19) || '…' else title end as short from ({TITLES})",
+    rf"select p_partkey, trim(regexp_replace(lower(regexp_replace(title, '{T.EDITIONS[4:]}', '', 'i')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as canonical, type in ('Album', 'EP', 'Single') and not regexp_matches(title || ' ' || secondary, '{T.NOT_ALLOWED[4:]}', 'i') as allowed from ({TITLES})",
 )
 def f33(spark, d):
     read(spark, d, "part").createOrReplaceTempView("part")
-    rows = spark.sql(TITLES)
-    return rows.select("p_partkey", T.canonical_title(F.col("title")).alias("canonical"), T.allowed_release(F.col("type"), F.col("title")).alias("allowed"), T.truncate(F.col("title"), 20).alias("short"))
+    allowed = T.allowed_release(F.col("type"), F.col("title"), F.array("secondary"))
+    return spark.sql(TITLES).select("p_partkey", T.canonical_title(F.col("title")).alias("canonical"), allowed.alias("allowed"))
+
+
+@query("f40_truncated", r"select doc_id, case when length(t) <= 40 then t else regexp_replace(substr(t, 1, 40), '^\s+|\s+$', '', 'g') || '…' end as short from (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as t from documents)")
+def f40(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 40).alias("short"))
 
 
 @query(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from setlight.functions.text import EXCLUDED, GENERIC_VENUE_WORDS, NOT_ALLOWED, UNKNOWN_VENUES
+from setlight.operators import concerts as C
 from setlight.operators import linking as K
 from setlight.operators import planning as P
 from setlight.sources.standins import NOW_MS, bands, concerts, listens, read, releases, songs
@@ -88,20 +90,54 @@ def shows(spark, d):
     return K.match_shows(cands, rows.selectExpr("ord as show", "ord as provider_id", "band_id", "d", "venue", "city"))
 
 
+PLACED = """select ord, band_id % 40 as band_id, year(d) as d, ord % 16 < 6 as is_show, concat('City ', k % 2) as city, case when k % 3 > 0 then country end as country,
+  case k % 7 when 0 then 'Royal Arena' when 1 then 'royal  arena, Copenhagen' when 2 then 'Forum' when 3 then 'Arena' when 4 then 'TBA' when 5 then 'Forum Hall' else 'Parken' end as venue,
+  case when k % 4 = 0 then concat('Street ', k % 3) end as address, case when k % 6 = 1 then concat('https://t/', k % 5) end as url, case when k % 5 < 2 then concat('tm', k % 30) end as event_id, k % 5 < 3 as ticketmaster
+  from (select *, cast(floor(ord * 37 / 11) as bigint) as k from concerts)"""
+
+
+def plain_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def same_venue_sql(a: str, b: str) -> str:
+    """F29 of two normalised names; the one with fewer words, or the first of equals, has to be inside the other."""
+    generic = "['" + "', '".join(GENERIC_VENUE_WORDS) + "']"
+    words = lambda x: f"len(string_split({x}, ' '))"
+    inside = lambda x, y: f"(len(list_filter(string_split({x}, ' '), lambda w: not list_contains({generic}, w))) > 0 and contains(' ' || {y} || ' ', ' ' || {x} || ' '))"
+    return f"({a} <> '' and {b} <> '' and ({a} = {b} or case when {words(a)} <= {words(b)} then {inside(a, b)} else {inside(b, a)} end))"
+
+
+PLACE = "r.n_city <> '' and r.n_city = c.n_city and not (r.n_country <> '' and c.n_country <> '' and r.n_country <> c.n_country)"
+UNKNOWN = "('', '" + "', '".join(UNKNOWN_VENUES) + "')"
+
+
 @query(
     "l19_reconcile",
-    f"""with {CANDS}, sh as (select ord as hit, case when ord % 3 <> 1 then ord end as p, band_id, d, venue, city from concerts),
-    f as (select candidate, 1 as how, hit from cands join sh on p = provider_id union all select candidate, 2, hit from cands c join sh s on s.band_id = c.band_id and s.d = c.d and s.venue = c.venue where c.provider_id is not null or p is not null
-      union all select candidate, 3, hit from cands c join sh s on s.band_id = c.band_id and s.d = c.d and s.city = c.city where c.provider_id is not null or p is not null),
-    g as (select candidate, how, count(distinct hit) as n, min(hit) as hit from f group by 1, 2), m2 as (select candidate, min(how) as how from g group by 1), b as (select m2.candidate, n, case when n = 1 then hit end as hit from m2 join g using (candidate, how)),
-    t as (select distinct candidate from cands c join sh s on s.band_id = c.band_id and s.d = c.d and s.city = c.city and s.venue = c.venue where not coalesce(c.provider_id <> s.p, false))
-    select c.candidate, case when hit is not null then case when provider_id is not null then 'upgrade' else 'skip_ticketmaster_duplicate' end when provider_id is not null and n > 1 then 'add' when t.candidate is not null then 'skip_duplicate' else 'add' end as action, hit as "show", provider_id is not null and coalesce(n, 0) > 1 as ambiguous
-    from cands c left join b on b.candidate = c.candidate left join t on t.candidate = c.candidate""",
+    f"""with recursive pl as ({PLACED}), cs as (select ord, band_id, d, is_show, {{'id': case when is_show then 's' else 'c' end || ord, 'n_city': {plain_sql("city")}, 'n_country': {plain_sql("country")}, 'n_venue': {plain_sql("venue")}, 'n_address': {plain_sql("address")}, 'url': coalesce(url, ''), 'event': coalesce(event_id, ''), 'tm': ticketmaster}} as c from pl),
+    todo as (select *, row_number() over (partition by band_id, d order by ord) as rn from cs where not is_show),
+    st as (
+      select band_id, d, 0 as k, list(c order by ord) filter (is_show) as recs, null::varchar as candidate, null::varchar as action, null::varchar as "show", null::varchar as how, false as ambiguous from cs group by band_id, d
+      union all
+      select band_id, d, k, case action when 'add' then list_append(recs, c) when 'upgrade' then list_transform(recs, lambda r: case when r.id <> found[1].id then r
+          when how = 'trusted_venue_evidence' then struct_update(r, n_venue := c.n_venue)
+          else {{'id': r.id, 'n_city': case when c.n_city <> '' then c.n_city else r.n_city end, 'n_country': case when c.n_country <> '' then c.n_country else r.n_country end, 'n_venue': case when c.n_venue = '' or (c.n_venue in {UNKNOWN} and r.n_venue not in {UNKNOWN}) then r.n_venue else c.n_venue end,
+            'n_address': case when c.n_address <> '' then c.n_address else r.n_address end, 'url': case when c.url <> '' then c.url else r.url end, 'event': case when c.event <> '' then c.event else r.event end, 'tm': true}} end) else recs end,
+        c.id, action, case when action in ('upgrade', 'skip_ticketmaster_duplicate') then found[1].id end, case when action in ('upgrade', 'skip_ticketmaster_duplicate') then how end, c.tm and len(found) > 1
+      from (select *, case when len(found) = 1 then case when c.tm then 'upgrade' else 'skip_ticketmaster_duplicate' end when c.tm and len(found) > 1 then 'add'
+          when len(list_filter(recs, lambda r: {PLACE} and r.n_venue <> '' and r.n_venue = c.n_venue and not (r.event <> '' and c.event <> '' and r.event <> c.event))) > 0 then 'skip_duplicate' else 'add' end as action
+        from (select *, case when len(exact) > 0 then exact when len(recovered) > 0 then recovered else located end as found, case when len(exact) > 0 then 'provider_event_id' when len(recovered) > 0 then 'trusted_venue_evidence' else 'same_show' end as how
+          from (select st.band_id, st.d, st.k + 1 as k, coalesce(recs, []) as recs, todo.c,
+              list_filter(coalesce(recs, []), lambda r: c.event <> '' and r.event = c.event) as exact,
+              list_filter(coalesce(recs, []), lambda r: c.tm and {PLACE} and r.n_venue in {UNKNOWN} and c.n_venue not in {UNKNOWN} and not (r.event <> '' and c.event <> '' and r.event <> c.event) and ((c.n_address <> '' and c.n_address = r.n_address) or (c.url <> '' and c.url = r.url))) as recovered,
+              list_filter(coalesce(recs, []), lambda r: (c.tm or r.tm) and not (c.event <> '' and r.event <> '') and {PLACE} and {same_venue_sql("r.n_venue", "c.n_venue")}) as located
+            from st join todo on todo.band_id = st.band_id and todo.d = st.d and todo.rn = st.k + 1))))
+    select candidate, action, "show", how, ambiguous from st where candidate is not null""",
 )
 def reconcile(spark, d):
-    rows = concerts(spark, d)
-    cands = rows.where("ord % 2 = 0").selectExpr("ord as candidate", "case when ord % 5 = 0 then ord end as provider_id", "band_id", "d", "case when ord % 3 = 0 then venue else 99 end as venue", "city")
-    return K.reconcile(cands, rows.selectExpr("ord as show", "case when ord % 3 <> 1 then ord end as provider_id", "band_id", "d", "venue", "city"))
+    concerts(spark, d).createOrReplaceTempView("concerts")
+    rows = spark.sql(PLACED).withColumn("id", F.concat(F.when(F.col("is_show"), "s").otherwise("c"), F.col("ord").cast("string")))
+    return K.reconcile(rows.where("not is_show"), rows.where("is_show"), decompose=False)
 
 
 @query("l21_l24_agreed_values", "select ord % 4000 as k, min(recording_id) as recording_id from listens where recording_id is not null group by 1 having count(distinct recording_id) = 1")
@@ -166,7 +202,7 @@ def unresolved(spark, d):
 # --- releases -----------------------------------------------------------------------------------
 
 TODAY = "2024-02-01"
-BAD = r"\b(deluxe|expanded|anniversary|remaster(ed)?|reissue|compilation|greatest hits|remix|live|tribute|karaoke|bootleg)\b"
+BAD = EXCLUDED
 STAGED = """select release_id, band_id, title, type, release_date, provider_id, case when release_id % 6 <> 0 then concat('http://', release_id) end as url, case when release_id % 2 = 0 then concat('mb', release_id) end as mbid, concat(band_id, '|', title) as dedup, release_id % 10 <> 9 as eligible,
   case when release_id % 4 = 0 then date '2024-01-25' when release_id % 4 = 1 then date '2023-12-01' end as prior_album_announced, case when release_id % 7 = 0 then date '2024-01-01' end as prior_new_single, case when release_id % 13 = 0 then date '2024-01-01' end as prior_upcoming_release, case when release_id % 29 = 0 then date '2024-01-01' end as prior_out_today from releases"""
 ST = f"""sd as ({STAGED}), st as (select *, unnest(list_filter([case when good and long and prior_album_announced is null then 'album_announced' end, case when good and type = 'Single' and provider_id is not null and url is not null and prior_new_single is null then 'new_single' end,
@@ -185,7 +221,7 @@ def release_stages(spark, d):
 
 
 SLUGS = "concat('release-', band_id, '-', replace(stage, '_', '-'), '-', trim(regexp_replace(lower(case when mbid is not null then concat('mbid:', mbid, ':', type) when provider_id is not null then concat('spotify:', provider_id, ':', type) else concat(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), ':', coalesce(cast(release_date as varchar), ''), ':', type) end), '[^a-z0-9]+', '-', 'g'), '-'))"
-ALERTS = "select release_id as ord, band_id, case when release_id % 5 = 0 then concat('release-', band_id, '-new-single-spotify-', provider_id, '-single') else concat('old-', release_id) end as alert_id, case when release_id % 3 = 1 then mbid end as mbid, case when release_id % 8 = 3 then provider_id end as provider_id, case when release_id % 8 = 5 then dedup end as key from sd where release_id % 3 <> 2"
+ALERTS = "select release_id as ord, band_id, case when release_id % 5 = 0 then concat('release-', band_id, '-new-single-spotify-', coalesce(provider_id, ''), '-single') else concat('old-', release_id) end as alert_id, case when release_id % 3 = 1 then mbid end as mbid, case when release_id % 8 = 3 then provider_id end as provider_id, case when release_id % 8 = 5 then dedup end as key from sd where release_id % 3 <> 2"
 
 
 @query(
@@ -214,26 +250,33 @@ def availability(spark, d):
     return P.availability_alerts(rows, rows.where("release_id % 4 = 0"), TODAY, 14)
 
 
-OBS = """select release_id as ord, band_id % 40 as band_id, case when release_id % 9 = 0 then concat(upper(title), ' (Deluxe)') else title end as title, type, release_date, case when release_date is not null then 'day' end as precision, case when release_id % 5 < 2 then concat('g', release_id % 300) end as mbid,
-  provider_id, brand as source, cast(release_id % 100 as bigint) as first_seen from (select * replace (split_part(title, ' ', 1) as title) from releases)"""
-FOLD = "trim(regexp_replace(regexp_replace(lower({x}), '\\s*[(\\[][^)\\]]*(edition|version|remaster(ed)?|deluxe|expanded)[^)\\]]*[)\\]]\\s*$', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-
-
-def together(keys: str, rows: str, sources: str) -> str:
-    last = ", ".join(f"arg_max({c}, ord) filter ({c} is not null) as {c}" for c in ("title", "type", "release_date", "precision", "provider_id"))
-    first = ", ".join(f"arg_min({c}, ord) filter ({c} is not null) as {c}" for c in ("mbid", "first_seen"))
-    return f"select {keys}, {last}, {first}, list_sort(list_distinct({sources})) as sources, max(ord) as o from {rows} group by all"
+OBS = """select release_id as ord, release_id % 40 as band_id, case when release_id % 5 < 2 then 'MusicBrainz' else 'Spotify' end as source,
+  concat(case k % 3 when 0 then 'Blue' when 1 then 'blue!' else 'Red' end, case k % 7 when 0 then ' (Deluxe Edition)' when 1 then ' [2010 Edition]' else '' end) as title, case k % 2 when 0 then 'Album' else 'Single' end as type,
+  case k % 4 when 0 then '2024-01-05' when 1 then '2024-01' when 2 then '2024-01-05' end as release_date, case k % 4 when 0 then 'day' when 1 then 'month' when 2 then 'day' end as precision,
+  case when release_id % 5 < 2 then concat('g', k % 9) end as mbid, case when release_id % 5 >= 2 then concat('sp', release_id) end as provider_id, case when release_id % 10 >= 4 and release_id % 5 >= 2 then concat('http://', release_id) end as url,
+  case when k % 11 = 0 then 'b,a' else 'a' end as artists, cast(release_id % 100 as bigint) as first_seen from (select *, cast(floor(release_id * 13 / 7) as bigint) as k from releases)"""
+FOLD = "trim(regexp_replace(lower(regexp_replace(title, '\\s*[\\[(](?:deluxe|expanded|anniversary|remaster(?:ed)?|reissue|clean|explicit|\\d{{4}}\\s+edition)[^\\])]*[\\])]\\s*$', '', 'i')), '[^a-z0-9]+', ' ', 'g'))".replace("{{4}}", "{4}")
+SAME = "r.canonical = o.canonical and r.type = o.type and r.release_date is not distinct from o.release_date and r.precision is not distinct from o.precision"
 
 
 @query(
     "r5_merged_releases",
-    f"""with ob as ({OBS}), lo as ({together("band_id, " + FOLD.format(x="title") + " as canonical, type as kt, release_date as kd, precision as kp", "ob", "list(source)")}), lk as (select * rename (o as ord) from lo),
-    mg as ({together("band_id, coalesce('mbid:' || mbid, concat_ws('|', canonical, kt, cast(kd as varchar), kp)) as k", "lk", "flatten(list(sources))")})
-    select band_id, title, type, release_date, precision, provider_id, mbid, first_seen, array_to_string(sources, ',') as sources from mg""",
+    f"""with recursive ob as ({OBS}), fo as (select *, {FOLD} as canonical, array_to_string(list_sort(string_split(artists, ',')), ',') as credited from ob),
+    todo as (select band_id, row_number() over (partition by band_id order by ord) as rn, source, {{'key': coalesce('mbid:' || mbid, 'spotify:' || band_id || '|' || canonical || '|' || lower(type) || '|' || coalesce(release_date, '') || '|' || coalesce(precision, '') || '|' || credited), 'canonical': canonical, 'title': title, 'type': type, 'release_date': release_date, 'precision': precision,
+      'provider_id': provider_id, 'url': url, 'mbid': mbid, 'first_seen': first_seen, 'sources': [source]}} as o from fo),
+    st as (
+      select distinct band_id, 0 as k, [] :: struct(key varchar, canonical varchar, title varchar, type varchar, release_date varchar, precision varchar, provider_id varchar, url varchar, mbid varchar, first_seen bigint, sources varchar[])[] as rels from todo
+      union all
+      select band_id, k, case when hit is null then list_append(rels, o) else list_transform(rels, lambda r: case when r.key <> hit then r else {{'key': r.key, 'canonical': o.canonical, 'title': o.title, 'type': o.type, 'release_date': o.release_date, 'precision': o.precision,
+        'provider_id': case when source = 'Spotify' then o.provider_id else r.provider_id end, 'url': case when source = 'Spotify' then o.url else r.url end, 'mbid': coalesce(r.mbid, o.mbid), 'first_seen': case when r.first_seen <> 0 then r.first_seen else o.first_seen end,
+        'sources': case when list_contains(r.sources, source) then r.sources else list_append(r.sources, source) end}} end) end
+      from (select *, coalesce(list_filter(rels, lambda r: {SAME})[1].key, list_filter(rels, lambda r: r.key = o.key)[1].key) as hit from (select st.band_id, st.k + 1 as k, rels, o, source from st join todo on todo.band_id = st.band_id and todo.rn = st.k + 1))),
+    fin as (select band_id, arg_max(rels, k) as rels from st group by band_id), fl as (select band_id, unnest(rels) as r, generate_subscripts(rels, 1) - 1 as place from fin)
+    select band_id, cast(place as bigint) as place, r.title, r.type, r.release_date, r.precision, r.provider_id, r.url, r.mbid, r.first_seen, array_to_string(r.sources, ',') as sources from fl""",
 )
 def merged(spark, d):
-    releases(spark, d).withColumn("title", F.split_part("title", F.lit(" "), F.lit(1))).createOrReplaceTempView("named")
-    rows = spark.sql(OBS.replace("(select * replace (split_part(title, ' ', 1) as title) from releases)", "named"))
+    releases(spark, d).createOrReplaceTempView("releases")
+    rows = spark.sql(OBS).withColumn("artists", F.split("artists", ","))
     return P.merged_releases(rows, decompose=False).withColumn("sources", F.array_join("sources", ","))
 
 
@@ -264,7 +307,7 @@ def news_rows(spark, d):
     return spark.sql(NEWS.replace("varchar", "string"))
 
 
-@query("r10_structured_news", f"select release_id, band_id, 'New ' || lower(type) || ': ' || title as headline, try_cast(release_day as date) as d from ({NEWS}) where type in ('Album', 'EP', 'Single') and not regexp_matches(lower(title), '{BAD}') and (release_day is null or (length(release_day) = 10 and date '{TODAY}' - d <= 14))")
+@query("r10_structured_news", f"select release_id, band_id, 'New ' || lower(type) || ': ' || title as headline, try_cast(release_day as date) as d from ({NEWS}) where type in ('Album', 'EP', 'Single') and not regexp_matches(title, '{NOT_ALLOWED[4:]}', 'i') and (release_day is null or (length(release_day) = 10 and date '{TODAY}' - d <= 14))")
 def news(spark, d):
     return P.structured_news(news_rows(spark, d), TODAY)
 
@@ -280,12 +323,21 @@ def first_news(spark, d):
     return P.first_of_key(rows.where("ord >= 100"), rows.where("ord < 100"))
 
 
-@query("l11_news_list", "select release_id, band_id, row_number() over (partition by band_id order by release_date desc nulls last, release_id) as place from (select release_id, band_id % 50 as band_id, release_date from releases)")
+@query("l11_news_list", "select release_id, band_id % 50 as band_id, row_number() over (order by release_date desc nulls last, release_id) as place from releases")
 def news_list(spark, d):
     rows = releases(spark, d).selectExpr("release_id as ord", "band_id % 50 as band_id", "release_date as found")
     return P.news_list(rows).select(F.col("ord").alias("release_id"), "band_id", "place")
 
 
+@query(
+    "l11_alert_list",
+    """with n as (select band_id, d as found, count(*) as n, case when count(*) = 1 then 'concert' else 'summary' end as kind from concerts where d >= date '2001-07-01' - 90 and band_id in (select band_id from bands where not muted) group by 1, 2)
+    select *, row_number() over (order by found desc, band_id) as place from n""",
+)
+def alert_list(spark, d):
+    return C.alert_list(concerts(spark, d).withColumn("found", F.col("d")), bands(spark, d), "2001-07-01").select("band_id", "found", "n", "kind", "place")
+
+
 # --- planning -----------------------------------------------------------------------------------
 
 TASKS = "select band_id, kind, cast((band_id + k) % 3 as bigint) as priority, date '2024-01-01' + cast((band_id * 7 + k) % 30 as integer) as due, cast(band_id % 13 as bigint) as activity from bands, (values (0, 'metadata'), (1, 'release')) v(k, kind) where (band_id + k) % 4 <> 0"

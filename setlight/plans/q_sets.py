@@ -147,15 +147,22 @@ def stale(spark, d):
     return D.stale_groups(stored, stored.where("group_id % 2 = 0"))
 
 
-@query(
-    "d1_merge_new",
-    """with recursive r as (select ord, ord % 4000 as id, concat_ws('|', cast(ms // 600000 as varchar), cast(band_id % 300 as varchar)) as fp from listens), e as (select * from r where ord < 1000), n as (select * from r where ord >= 1000 and id not in (select id from e) and fp not in (select fp from e)),
+def merge_sql(incoming: str) -> str:
+    return f"""with recursive r as (select ord, ord % 4000 as id, concat_ws('|', cast(ms // 600000 as varchar), cast(band_id % 300 as varchar)) as fp, source, duration_ms, track_id from listens), e as (select * from r where ord < 1000), n as (select * from r where ord >= 1000 and id not in (select id from e) and fp not in (select fp from e) and {incoming}),
     ln as (select a.ord, b.ord as rival from n a join n b on b.ord < a.ord and (a.id = b.id or a.fp = b.fp)), sz as (select count(*) as n from n),
     st as (select 0 as step, (select list(ord) from n where ord not in (select ord from ln)) as ok, cast([] as bigint[]) as bad
       union all select step + 1, list_distinct(list_concat(ok, coalesce((select list(n.ord) from n where not list_contains(st.ok, n.ord) and not list_contains(st.bad, n.ord) and not exists (select 1 from ln where ln.ord = n.ord and not list_contains(st.bad, ln.rival))), cast([] as bigint[])))),
         list_distinct(list_concat(bad, coalesce((select list(distinct ln.ord) from ln where list_contains(st.ok, ln.rival)), cast([] as bigint[])))) from st where step < 40 and len(ok) + len(bad) < (select n from sz))
-    select ord, id, fp from n where ord in (select unnest(ok) from (select ok from st order by step desc limit 1))""",
-)
+    select ord, id, fp from n where ord in (select unnest(ok) from (select ok from st order by step desc limit 1))"""
+
+
+@query("d1b_new_listens", merge_sql("source = 'listenbrainz'"))
+def new_listens(spark, d):
+    rows = listens(spark, d).selectExpr("ord", "ord % 4000 as id", "concat_ws('|', ms div 600000, band_id % 300) as fp", "ms", "recording_title as title", "cast(band_id as string) as artist", "source", "track_id", "duration_ms")
+    return D.new_listens(rows.where("ord >= 1000"), rows.where("ord < 1000")).select("ord", "id", "fp")
+
+
+@query("d1_merge_new", merge_sql("true"))
 def merge_new(spark, d):
     rows = listens(spark, d).selectExpr("ord", "ord % 4000 as id", "concat_ws('|', ms div 600000, band_id % 300) as fp")
     return D.merge_new(rows.where("ord >= 1000"), rows.where("ord < 1000"))

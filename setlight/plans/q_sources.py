@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from setlight.operators.rounds import scratch
 from setlight.sources import documents as S
+from setlight.sources import pages as P
 from setlight.sources.standins import NOW_MS, bands, concerts, listens, read
 from setlight.streaming import ingest
 
@@ -73,6 +75,39 @@ def flat(spark, d):
     return S.flat_listens(nested)
 
 
+CUTOFF = NOW_MS - 20 * 86_400_000
+
+
+def page_files(spark, d, size=20):
+    """The listens as pages of ``size`` for each account, newest first; a page begins with the last listen of the one before."""
+    latest = Window.partitionBy("band_id").orderBy(F.desc("ms"), "ord")
+    rows = listens(spark, d).withColumn("r", F.row_number().over(latest) - 1)
+    served = F.when((F.col("r") % size == size - 1), F.array(F.floor(F.col("r") / size), F.floor(F.col("r") / size) + 1)).otherwise(F.array(F.floor(F.col("r") / size)))
+    raw = F.struct(F.expr("ms div 1000").alias("listened_at"), F.concat(F.lit("m"), F.col("ord").cast("string")).alias("recording_msid"), F.struct(F.col("band_id").cast("string").alias("artist_name"), F.col("recording_title").alias("track_name"), F.struct("duration_ms").alias("additional_info")).alias("track_metadata"))
+    pages = rows.select("band_id", F.explode(served).alias("page"), "r", raw.alias("raw")).groupBy("band_id", "page").agg(F.array_sort(F.collect_list(F.struct("r", "raw"))).alias("x"))  # at most size + 1 listens
+    folder = folder_of(spark, "pages")
+    line = F.struct(F.col("band_id").cast("string").alias("account"), "page", F.transform("x", lambda x: x["raw"]).alias("listens"))
+    pages.repartition("band_id").sortWithinPartitions("band_id", "page").select(F.to_json(line).alias("value")).write.text(folder)
+    return folder
+
+
+@query("s9_paged_pull", f"select cast(band_id as varchar) as account, 'm' || ord as id, ms // 1000 * 1000 as ms, recording_title as title, duration_ms from listens where ms // 1000 * 1000 > {CUTOFF}")
+def paged_pull(spark, d):
+    return P.pull(spark, page_files(spark, d), CUTOFF, page_size=20).select("account", "id", "ms", "title", "duration_ms")
+
+
+@query("s9_paged_stream", f"select cast(band_id as varchar) as account, 'm' || ord as id, ms // 1000 * 1000 as ms from listens where ms // 1000 * 1000 > {CUTOFF}")
+def paged_stream(spark, d):
+    """The same pages as a stream, de-duplicated within the watermark and appended to a table."""
+    out, marks = folder_of(spark, "paged-out"), folder_of(spark, "paged-marks")
+    stream = P.pull_stream(spark, page_files(spark, d), CUTOFF)
+    fresh = ingest.fresh(stream.withColumn("key", F.concat_ws("|", "account", "id")), "key", "40 days").select("account", "id", "ms")
+    running = fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).start()
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.parquet(out)
+
+
 @query("s19_catalogue_recordings", "select p_size as recording, min(p_name) as title, count(distinct p_brand || p_type) as releases from part group by p_size")
 def catalogue_recordings(spark, d):
     page = F.expr("p_partkey div 1000").alias("page")

@@ -150,11 +150,12 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_cell(F.col(f.name), f.dataType) for f in df.schema]).alias("line"))
 
 
-def flat_listens(payloads: DataFrame) -> DataFrame:
+def flat_listens(payloads: DataFrame, *keep: str) -> DataFrame:
     """Nested provider records (listened_at seconds, track_metadata) to listens; ids fall back to a hash."""
     m, info = F.col("track_metadata"), F.col("track_metadata.additional_info")
     key = F.concat_ws("|", F.col("listened_at").cast("string"), m["artist_name"], m["track_name"])
     return payloads.select(
+        *keep,
         F.coalesce("recording_msid", F.concat(F.lit("lb-"), F.sha2(key, 256))).alias("id"),
         (F.col("listened_at") * 1000).alias("ms"),
         m["artist_name"].alias("artist"),

@@ -62,11 +62,57 @@ def test_activity_takes_the_worst_state_and_the_last_counts(spark):
     assert got == {1: ("attention", 5, 2, "a b"), 2: ("ok", None, None, None), 3: ("error", 0, 0, None)}
 
 
-def test_reconcile(spark):
-    shows = spark.createDataFrame([(10, "p1", 1, 5, "hall", "oslo"), (11, None, 2, 5, "hall", "oslo"), (12, "p3", 3, 5, "hall", "oslo"), (13, "p4", 3, 5, "barn", "oslo")], "show long, provider_id string, band_id long, d long, venue string, city string")
-    candidates = [(1, "p1", 1, 5, "hall", "oslo"), (2, None, 2, 5, "hall", "oslo"), (3, "p9", 3, 5, "tent", "oslo"), (4, None, 1, 5, "hall", "oslo"), (5, "p5", 9, 5, "hall", "oslo")]
-    got = {r.candidate: (r.action, r.ambiguous) for r in K.reconcile(spark.createDataFrame(candidates, "candidate long, provider_id string, band_id long, d long, venue string, city string"), shows).collect()}
-    assert got == {1: ("upgrade", False), 2: ("skip_duplicate", False), 3: ("add", True), 4: ("skip_ticketmaster_duplicate", False), 5: ("add", False)}
+RECORD = "id string, ord long, band_id long, d long, city string, country string, venue string, address string, url string, event_id string, ticketmaster boolean"
+
+
+def show(ident, event=None, ours=False, band=1, d=5, city="Copenhagen", country="Denmark", venue="Royal Arena", address=None, url=None, ord=None):
+    return (ident, ord if ord is not None else int(ident[1:]), band, d, city, country, venue, address, url, event, ours)
+
+
+def reconciled(spark, candidates, shows=()):
+    frame = lambda rows: spark.createDataFrame(list(rows), RECORD)
+    return {r.candidate: (r.action, r.show, r.how, r.ambiguous) for r in K.reconcile(frame(candidates), frame(shows)).collect()}
+
+
+def test_reconcile_takes_earlier_candidates_as_records(spark):
+    twice = [show("c1"), show("c2", venue="royal aréna"), show("c3", venue="Royal Arena Copenhagen")]
+    assert {k: v[0] for k, v in reconciled(spark, twice).items()} == {"c1": "add", "c2": "skip_duplicate", "c3": "add"}
+    # The second one stands back for the first only because that one came from Ticketmaster.
+    ours = [show("c1", "tm1", True, venue="Royal Arena Copenhagen"), show("c2")]
+    assert reconciled(spark, ours) == {"c1": ("add", None, None, False), "c2": ("skip_ticketmaster_duplicate", "c1", "same_show", False)}
+    # In the other order it is upgraded, takes the event id, and is then found by it.
+    other = [show("c1"), show("c2", "tm1", True), show("c3", "tm1", True, city="Malmö"), show("c4", "tm2", True)]
+    assert reconciled(spark, other) == {"c1": ("add", None, None, False), "c2": ("upgrade", "c1", "same_show", False), "c3": ("upgrade", "c1", "provider_event_id", False), "c4": ("add", None, None, False)}
+
+
+def test_reconcile_with_shows(spark):
+    tm = lambda **k: show("c1", "tm1", True, **k)
+    first = lambda *a: reconciled(spark, [a[0]], a[1:])["c1"]
+    assert first(tm(), show("s1", "tm1", city="Elsewhere")) == ("upgrade", "s1", "provider_event_id", False)
+    assert first(tm(), show("s1", "tm1", d=6)) == first(tm(), show("s1", band=2)) == first(tm(), show("s1", "other", True)) == ("add", None, None, False)
+    assert first(tm(), show("s1"), show("s2")) == ("add", None, None, True)
+    assert first(tm(venue="Royal Arena Copenhagen"), show("s1")) == ("upgrade", "s1", "same_show", False)
+    assert first(tm(country="Sweden"), show("s1"))[0] == first(tm(venue="Arena"), show("s1"))[0] == "add"
+    assert first(tm(address="Street 1"), show("s1", venue="TBA", address="street 1")) == ("upgrade", "s1", "trusted_venue_evidence", False)
+    assert first(tm(), show("s1", venue="TBA", address="street 1"))[0] == "add"
+    assert first(show("c1"), show("s1")) == ("skip_duplicate", None, None, False)
+    assert first(show("c1", band=None), show("s1", band=None)) == ("add", None, None, False)
+    assert reconciled(spark, []) == {}
+
+
+def test_merged_releases_depend_on_their_order(spark):
+    schema = "band_id long, ord long, source string, title string, type string, release_date date, precision string, mbid string, provider_id string, url string, artists array<string>, first_seen long"
+    day = __import__("datetime").date
+    mb = lambda n, title, d, mbid: (1, n, "MusicBrainz", title, "Album", d, "day" if d else None, mbid, None, None, None, None)
+    sp = lambda n, title, d, ident: (1, n, "Spotify", title, "Album", d, "day" if d else None, None, ident, f"http://{ident}", ["a"], n)
+    a, b = day(2024, 1, 5), day(2024, 1, 6)
+    run = lambda *rows: [(r.title, str(r.release_date), r.mbid, r.provider_id, r.first_seen, list(r.sources)) for r in P.merged_releases(spark.createDataFrame(list(rows), schema)).orderBy("place").collect()]
+    # Found by fields, then moved to another day by its mbid: a later row of the first day starts anew.
+    moved = run(sp(1, "Blue (Deluxe)", a, "s1"), mb(2, "Blue", a, "m1"), sp(3, "BLUE!", a, "s2"))
+    assert moved == [("BLUE!", "2024-01-05", "m1", "s2", 1, ["Spotify", "MusicBrainz"])]
+    chain = run(mb(1, "Blue", a, "m1"), mb(2, "Blue", b, "m1"), sp(3, "Blue", a, "s1"), mb(4, "Red", a, "m2"))
+    assert chain == [("Blue", "2024-01-06", "m1", None, None, ["MusicBrainz"]), ("Blue", "2024-01-05", None, "s1", 3, ["Spotify"]), ("Red", "2024-01-05", "m2", None, None, ["MusicBrainz"])]
+    assert len(run(sp(3, "Blue", a, "s1"), mb(4, "Blue", b, "m1"), mb(5, "Blue", a, "m1"))) == 2
 
 
 def test_lifecycle(spark):
