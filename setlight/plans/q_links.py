@@ -8,6 +8,7 @@ from setlight.functions.text import EXCLUDED, GENERIC_VENUE_WORDS, NOT_ALLOWED,
 from setlight.operators import concerts as C
 from setlight.operators import linking as K
 from setlight.operators import planning as P
+from setlight.operators import variants as V
 from setlight.sources.standins import NOW_MS, bands, concerts, listens, read, releases, songs
 
 from .registry import query
@@ -482,12 +483,12 @@ def versions(spark, d):
     return base, mine, theirs
 
 
-V = "base as (select release_id as id, title as a, brand as b from releases), mine as (select id, case when id % 3 = 0 then concat(a, '!') else a end as a, case when id % 5 = 0 then null else b end as b from base where id % 7 <> 0), theirs as (select id, case when id % 2 = 0 then upper(a) else a end as a, b from base where id % 11 <> 0)"
+VERSIONS = "base as (select release_id as id, title as a, brand as b from releases), mine as (select id, case when id % 3 = 0 then concat(a, '!') else a end as a, case when id % 5 = 0 then null else b end as b from base where id % 7 <> 0), theirs as (select id, case when id % 2 = 0 then upper(a) else a end as a, b from base where id % 11 <> 0)"
 
 
 @query(
     "m1_m2_s3_three_way_merge",
-    f"""with {V}, f as (select coalesce(base.id, mine.id, theirs.id) as id, base.id is not null as o, base.a as ba, base.b as bb, mine.id is not null as m, mine.a as ma, mine.b as mb, theirs.id is not null as t, theirs.a as ta, theirs.b as tb from base full join mine using (id) full join theirs using (id))
+    f"""with {VERSIONS}, f as (select coalesce(base.id, mine.id, theirs.id) as id, base.id is not null as o, base.a as ba, base.b as bb, mine.id is not null as m, mine.a as ma, mine.b as mb, theirs.id is not null as t, theirs.a as ta, theirs.b as tb from base full join mine using (id) full join theirs using (id))
     select id, case when not m then ta when not t then ma when ma is not distinct from ba then ta else ma end as a, case when not m then tb when not t then mb when mb is not distinct from bb then tb else mb end as b
     from f where m or (t and (ta is distinct from ba or tb is distinct from bb))""",
 )
@@ -495,7 +496,43 @@ def three_way(spark, d):
     return P.three_way(*versions(spark, d), "id", ["a", "b"])
 
 
-@query("m3_x20_x32_keep_reviewed", f"with {V} select base.id, case when base.id % 4 = 0 then base.a else coalesce(theirs.a, base.a) end as a, base.id % 4 = 0 as reviewed from base left join theirs using (id)")
+#: Three versions of documents as columns; what is null a document does not have.
+DOCS = """select release_id as id, title as ba, cast(release_id % 5 as bigint) as bn, cast(release_id % 2 as bigint) as bs, release_id % 7 <> 0 as m, case when release_id % 3 = 0 then concat(title, '!') else title end as ma, cast(case when release_id % 4 = 0 then release_id % 5 + 1 else release_id % 5 end as bigint) as mn,
+  cast(case when release_id % 5 <> 0 then release_id % 2 end as bigint) as ms, case when release_id % 6 = 0 then 'mine' end as mx, release_id % 13 <> 0 as t, case when release_id % 2 = 0 then upper(title) else title end as ta, cast(case when release_id % 8 = 0 then 7 else release_id % 5 end as bigint) as tn,
+  cast(case when release_id % 10 = 0 then 9 else release_id % 2 end as bigint) as ts, case when release_id % 3 = 0 then 'y' else 'x' end as tw, case when release_id % 4 = 1 then release_id end as tx from releases"""
+
+
+def text_sql(a: str, n: str, s: str, w: str, x: str, y: str) -> str:
+    """A document's JSON with sorted keys."""
+    inner = f"'\"keep\":{{\"n\":' || {n} || ',\"who\":\"' || {w} || '\"}}' || coalesce(',\"seen\":' || {s}, '')"
+    return f"'{{\"a\":' || to_json({a}) || ',\"future\":{{' || {inner} || '}}' || coalesce(',\"mine\":\"' || {x} || '\"', '') || coalesce(',\"theirs\":[' || {y} || ',null]', '') || '}}'"
+
+
+@query(
+    "m1_unknown_fields",
+    f"""with v as (select *, {text_sql("ba", "bn", "bs", "'x'", "null", "null")} as b, {text_sql("ma", "mn", "ms", "'x'", "mx", "null")} as mine, {text_sql("ta", "tn", "ts", "tw", "null", "tx")} as theirs,
+      {text_sql("case when ma = ba then ta else ma end", "case when mn = bn then tn else mn end", "case when ms is null and ts = bs then null else ts end", "tw", "mx", "tx")} as merged from ({DOCS}))
+    select id, case when not m then theirs when not t then mine else merged end as doc, case when not m then ta when not t then ma when ma = ba then ta else ma end as a from v where m or (t and theirs <> b)""",
+)
+def unknown_fields(spark, d):
+    """M1, S3: an object that no schema knows is merged field by field in a VARIANT column."""
+    releases(spark, d).createOrReplaceTempView("releases")
+    rows = spark.sql(DOCS)
+
+    def version(a, n, s, w, x, y):
+        future = F.struct(F.struct(F.col(n).alias("n"), w.alias("who")).alias("keep"), F.col(s).alias("seen"))
+        theirs = F.when(y.isNotNull(), F.array(y, F.lit(None).cast("long")))
+        return F.to_json(F.struct(F.col(a).alias("a"), future.alias("future"), x.alias("mine"), theirs.alias("theirs"))).alias("doc")
+
+    none = F.lit(None)
+    base = rows.select("id", version("ba", "bn", "bs", F.lit("x"), none.cast("string"), none.cast("long")))
+    mine = rows.where("m").select("id", version("ma", "mn", "ms", F.lit("x"), F.col("mx"), none.cast("long")))
+    theirs = rows.where("t").select("id", version("ta", "tn", "ts", F.col("tw"), none.cast("string"), F.col("tx")))
+    merged = V.known_fields(V.three_way_documents(base, mine, theirs, "id", "doc"), "doc", {"a": "string"})
+    return merged.select("id", F.to_json("doc").alias("doc"), "a")
+
+
+@query("m3_x20_x32_keep_reviewed", f"with {VERSIONS} select base.id, case when base.id % 4 = 0 then base.a else coalesce(theirs.a, base.a) end as a, base.id % 4 = 0 as reviewed from base left join theirs using (id)")
 def reviewed(spark, d):
     base, _, theirs = versions(spark, d)
     return P.keep_reviewed(base.select("id", "a", (F.col("id") % 4 == 0).alias("reviewed")), theirs, "id", ["a"])

@@ -28,6 +28,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines:
         raise
 
 
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Parquet with a given schema, partition columns included; a missing path is an empty table."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
 class StaleVersion(Exception):
     """The table has moved on since it was read."""
 
