@@ -77,9 +77,11 @@ def merge_component(groups: DataFrame, pairs: DataFrame, earlier: DataFrame, dec
     return members, moved.groupBy("group_id", "a", "b").agg(F.min_by("tier", "was").alias("tier"))
 
 
-def candidates(listens: DataFrame, tolerance_ms: int) -> DataFrame:
-    """(a, b, tier, automatic, pair): pairs with evidence; ``pair`` orders equal tiers."""
+def candidates(listens: DataFrame, tolerance_ms: int, from_ms: int | None = None) -> DataFrame:
+    """(a, b, tier, automatic): pairs with evidence; of a page, those whose later listen is not before ``from_ms``."""
     pairs = candidate_pairs(listens, tolerance_ms).withColumn("tier", evidence()).where("tier is not null")
+    if from_ms is not None:
+        pairs = pairs.where(F.col("r_ms") >= from_ms)
     a, b = F.least("l_ord", "r_ord"), F.greatest("l_ord", "r_ord")
     return pairs.select(a.alias("a"), b.alias("b"), "tier", (F.col("tier") <= 3).alias("automatic"))
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from setlight.operators import dedupe as D
 from setlight.operators import setlists as P
+from setlight.operators.preparation import Preparation
 from setlight.sources.standins import concerts, listens, relistens, songs
 
+from .q_sources import folder_of
 from .registry import query
 
 TOL = 300_000
@@ -129,6 +131,31 @@ def page(spark, d):
     return D.candidate_pairs(listens(spark, d), TOL).selectExpr("l_ord", "r_ord", "r_ord div 500 as page")
 
 
+class Killed(Exception):
+    """What ends a run in the query below."""
+
+
+@query(
+    "d13_d14_x16_resumed_preparation",
+    f"""with recursive vl as (select * from relistens where trim(recording_title) <> '' and (source <> 'spotify_import' or (track_id is not null and duration_ms >= 30000))), {MATCHED.replace("from relistens l join relistens r", "from vl l join vl r")}
+    select vl.ord, coalesce(a, vl.ord) as canonical, a as duplicate_of from vl left join asg on b = vl.ord and outcome = 'automatic'""",
+)
+def resumed(spark, d):
+    """A preparation that is killed once in each phase, after a step's rows and before its cursor, and resumed."""
+    folder, killed = folder_of(spark, "preparation"), set()
+
+    def kill(phase: str, page: int) -> None:
+        if phase not in killed:
+            killed.add(phase)
+            raise Killed(phase)
+
+    while True:
+        try:
+            return Preparation(spark, folder, TOL, pages_a_step=16, watch=kill).run(relistens(spark, d))
+        except Killed:
+            continue
+
+
 LINKS = "select ord, case when ord % 10 = 3 then ord - 3 when ord % 50 = 4 then ord - 1 end as duplicate_of from listens"
 
 

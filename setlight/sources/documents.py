@@ -53,11 +53,20 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
+    def _files(self, name: str):
+        """The file system and path of something under the table's folder."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(conf), path
+
     def head(self) -> tuple[int, str | None]:
-        """Number and name of the newest version."""
-        pointers = read_json(self.spark, f"{self.folder}/pointers", "number long, version string, parent string")
-        row = pointers.orderBy(F.desc("number")).limit(1).collect()
-        return (row[0].number, row[0].version) if row else (0, None)
+        """Number and name of the newest version: the pointer with the largest name."""
+        files, path = self._files("pointers")
+        names = sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+        if not names:
+            return 0, None
+        row = self.spark.read.schema("number long, version string").json(f"{self.folder}/pointers/{names[-1]}").first()
+        return row.number, row.version
 
     def read(self, version: str | None = None) -> DataFrame:
         version = version or self.head()[1]
@@ -71,9 +80,8 @@ class VersionedTable:
     def _claim(self, number: int, pointer: dict) -> None:
         """Set the pointer of a number, or fail if it is set."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        draft, target = path(f"drafts/{pointer['version']}.json"), path(f"pointers/{number:012d}.json")
-        files = draft.getFileSystem(conf)
+        files, draft = self._files(f"drafts/{pointer['version']}.json")
+        _, target = self._files(f"pointers/{number:012d}.json")
         files.mkdirs(target.getParent())
         out = files.create(draft, False)
         out.write(bytearray(json.dumps(pointer).encode()))
