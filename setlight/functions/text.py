@@ -26,6 +26,11 @@ def without_marks(text: pd.Series) -> pd.Series:
     return text.map(_strip, na_action="ignore")
 
 
+def in_locale(text: Column) -> Column:
+    """H6: ``text`` that compares and sorts as a reader expects: by letters, then accents, then case, punctuation first."""
+    return F.collate(text, "UNICODE")
+
+
 def norm_text(text: Column, decompose: bool = True) -> Column:
     """decomposed, trimmed, lower case; null counts as empty."""
     plain = F.coalesce(text, F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setlight.functions.text import in_locale
+
 from .linking import sanitized
 from .rounds import components, first_come
 
@@ -86,10 +88,19 @@ def candidates(listens: DataFrame, tolerance_ms: int, from_ms: int | None = None
     return pairs.select(a.alias("a"), b.alias("b"), "tier", (F.col("tier") <= 3).alias("automatic"))
 
 
-def assign_one_to_one(pairs: DataFrame) -> DataFrame:
-    """Greedy matching by (tier, a, b) over automatic pairs; then review pairs that it leaves alone; the rest is rejected."""
-    keyed = pairs.withColumns({"k": F.struct("tier", "a", "b"), "ends": F.array("a", "b")})
-    won = first_come(keyed.where("automatic"), "k", "k", "ends").select(F.col("k").alias("w"))
+def pair_key(a: Column, b: Column) -> Column:
+    """The key of a pair of ids, whichever comes first; keys compare in the reader's order."""
+    return in_locale(F.concat(F.least(a, b), F.lit("|"), F.greatest(a, b)))
+
+
+def assign_one_to_one(pairs: DataFrame, by_pair_key: bool = False) -> DataFrame:
+    """Greedy matching by (tier, a, b) over automatic pairs; then review pairs that it leaves alone; the rest is rejected.
+
+    With ``by_pair_key`` the ids are texts, and pairs of a tier come in the order of their keys.
+    """
+    order = F.struct("tier", pair_key(F.col("a"), F.col("b")).alias("key"), "a", "b") if by_pair_key else F.struct("tier", "a", "b")
+    keyed = pairs.withColumns({"k": F.struct("tier", "a", "b"), "o": order, "ends": F.array("a", "b")})
+    won = first_come(keyed.where("automatic"), "k", "o", "ends").select(F.col("k").alias("w"))
     marked = keyed.join(won, F.col("k") == F.col("w"), "left")
     used = won.select(F.explode(F.array("w.a", "w.b")).alias("n")).distinct()
     touched = keyed.where("not automatic").select("k", F.explode("ends").alias("n")).join(used, "n", "left_semi").select(F.col("k").alias("t")).distinct()

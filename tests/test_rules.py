@@ -244,3 +244,17 @@ def test_two_writers_of_one_version(spark, tmp_path):
         two.write_if_current(df("theirs"), first)
     rows, version = one.document()
     assert version == second and rows.first().a == "mine"
+
+
+def test_pairs_and_names_sort_as_readers_expect(spark):
+    from setlight.functions.text import in_locale
+    from setlight.operators.dedupe import assign_one_to_one
+
+    words = ["zoo", "éclair", "Eclair", "eclair", "_x", "e clair", "e-clair", "f", "!", "10", "2", "Å", "a", "B", "b"]
+    got = [r.w for r in spark.createDataFrame([(w,) for w in words], "w string").orderBy(in_locale(__import__("pyspark.sql.functions", fromlist=["col"]).col("w"))).collect()]
+    assert got == ["_x", "!", "10", "2", "a", "Å", "b", "B", "e clair", "e-clair", "eclair", "Eclair", "éclair", "f", "zoo"]
+    # In binary order "f" would come before "é" and take the listen that both want.
+    pairs = spark.createDataFrame([("f1", "x", 2, True), ("x", "é1", 2, True), ("f1", "é2", 2, True)], "a string, b string, tier long, automatic boolean")
+    outcome = {(r.a, r.b): r.outcome for r in assign_one_to_one(pairs, by_pair_key=True).collect()}
+    assert outcome == {("f1", "é2"): "automatic", ("f1", "x"): "rejected", ("x", "é1"): "automatic"}
+    assert [r.outcome for r in assign_one_to_one(pairs).where("a = 'f1'").orderBy("b").collect()] == ["automatic", "rejected"]
