@@ -11,7 +11,7 @@ from setlight.operators.rounds import scratch
 from setlight.sources import documents as S
 from setlight.sources import pages as P
 from setlight.sources.standins import NOW_MS, bands, concerts, listens, read
-from setlight.streaming import ingest
+from setlight.streaming import ingest, timers
 
 from .registry import query
 
@@ -182,3 +182,39 @@ def stream_windows(spark, d):
 
     ingest.merge_batches(ingest.listen_stream(spark, _stream_input(spark, d), SCHEMA), marks, merge).awaitTermination()
     return spark.read.parquet(out).groupBy("start_at", "band_id").agg(F.sum("duration_ms").alias("duration_ms"), F.sum("listen_count").alias("listen_count"))
+
+
+#: Looks and sightings out of listens; a day of back-off is a minute here, so that many of them end.
+CHECKS = "select band_id, ord, ms, case when ord % 4 = 0 then 'trusted' else 'look' end as kind, ord % 7 = 0 as found from listens"
+
+
+@query(
+    "w4_stream_due",
+    f"""with ck as ({CHECKS}), kn as (select *, count(*) filter (kind = 'look') over (partition by band_id order by ms, ord rows unbounded preceding) > 0 as known from ck), ev as (select *, kind = 'trusted' or found as resets from kn where known),
+    gr as (select *, count(*) filter (resets) over (partition by band_id order by ms, ord rows unbounded preceding) as g, lead(ms) over (partition by band_id order by ms, ord) as following from ev),
+    em as (select *, least(3, count(*) filter (not resets) over (partition by band_id, g order by ms, ord rows unbounded preceding)) as empty from gr),
+    nx as (select *, ms + case when resets then 28 else 30 * empty end * 900000 as due_ms from em)
+    select band_id, due_ms, case when kind = 'trusted' then 'ticketmaster_activity_reset' when resets then 'supplemental_concert_check' else 'inactive_backoff_due' end as reason, case when resets then 0 else empty end as empty
+    from nx where coalesce(following, (select max(ms) from ck)) >= due_ms""",
+)
+def stream_due(spark, d):
+    """W4 as a stream: bands whose back-off ends are reported by event-time timers."""
+    session = timers.stateful_session(spark)
+    listens(spark, d).createOrReplaceTempView("listens")
+    folder, out, marks = folder_of(spark, "checks-in"), folder_of(spark, "due-out"), folder_of(spark, "due-marks")
+    rows = spark.sql(CHECKS)
+    rows.write.parquet(folder)
+    stream = session.readStream.schema(rows.schema).parquet(folder)
+    ingest.append_to(timers.due_stream(stream, "0 seconds", 900_000), out, marks).awaitTermination()
+    return spark.read.schema(timers.DUE).parquet(out)
+
+
+@query("w11_stream_trailing", "select ord, cast(sum(coalesce(duration_ms, 0)) over (partition by band_id order by ms range between 86400000 preceding and current row) as bigint) as used from listens")
+def stream_trailing(spark, d):
+    """W11 as a stream: trailing sums from kept rows."""
+    session = timers.stateful_session(spark)
+    folder, out, marks = folder_of(spark, "tokens-in"), folder_of(spark, "used-out"), folder_of(spark, "used-marks")
+    listens(spark, d).select("ord", "ms", "band_id", F.coalesce("duration_ms", F.lit(0)).cast("long").alias("tokens")).write.parquet(folder)
+    stream = session.readStream.schema("ord long, ms long, band_id long, tokens long").parquet(folder)
+    ingest.append_to(timers.trailing_stream(stream, "band_id", 86_400_000), out, marks).awaitTermination()
+    return spark.read.schema("ord long, used long").parquet(out)
