@@ -52,7 +52,24 @@ def test_line_runs_compact(spark):
     for i in range(5):
         store.add(spark.createDataFrame([(100 - i, f"a\nb{i}")], "doc_id long, text string"))
     assert [len(level) for level in store.levels] == [1, 0, 1]
-    assert sorted((r.n, r.holder) for r in store.merged().collect()) == [(1, 96), (1, 97), (1, 98), (1, 99), (1, 100), (5, 100)]
+    assert sorted((r.n, r.holder) for r in store.repeated(1).collect()) == [(1, 96), (1, 97), (1, 98), (1, 99), (1, 100), (5, 100)]
+
+
+def test_runs_are_joined_and_merged_without_an_exchange(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = line_dedup.LineRuns(spark, least=1, fanout=3)
+        docs = lambda k: spark.createDataFrame([(k, f"a\nb{k}\nc{k % 2}")], "doc_id long, text string")
+        store.add(docs(9)), store.add(docs(8))
+        keys = store.bucketed(line_dedup.batch_keys(docs(7), F.lit(0), 1, store.buckets).drop("batch"), "line_keys")
+        for rows in (store.first_sightings(keys), *store.known(keys), store.merged(*store.runs())):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert [r.n for r in store.first_sightings(keys).collect()] == [1]  # b7; a and c1 were seen
+        store.close()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def shingles(text, n=5):
