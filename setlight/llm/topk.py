@@ -1,8 +1,8 @@
 """Exact top-k inner products by pivot-table elimination.
 
 Vectors are packed into blocks of neighbours: rows of a batch are ordered by their nearest pivot.
-Beside each block lies its pivot table: the distances of its vectors to the same few dozen pivots,
-computed once. For a query and a candidate the triangle inequality gives
+Beside each block lies its pivot table: the distances of its vectors to the same 128 pivots, computed
+once. The pivots are far from each other: each is the vector of a bounded sample that is farthest from those before. For a query and a candidate the triangle inequality gives
 |d(q, p) - d(c, p)| <= d(q, c) for every pivot p; the largest of these lower bounds, with the norms,
 bounds the inner product from above. The least and largest distance of a block to each pivot bound all
 its candidates at once. Every query carries a floor, its k-th best score in a bounded sample of
@@ -60,6 +60,15 @@ def distances(x: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
+def far_apart(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` different rows of ``x``, each the farthest from all before it."""
+    chosen, nearest = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < n and nearest.max() > 0:
+        chosen.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+    return x[chosen]
+
+
 def draw_sample(vectors: DataFrame, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """dim -> (ids, vectors) of ``SAMPLE`` rows by hash order; a constant number of rows reaches the driver."""
     rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
@@ -79,20 +88,28 @@ def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def floor_of(q_id: int, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray] | None, k: int) -> float:
-    """The k-th best score in the sample, or less than any score if it has fewer candidates."""
+    """The k-th best score in the sample, or less than any score if it has fewer candidates.
+
+    Integers that a float cannot hold are rounded down: a floor above the score that set it would lose it.
+    """
     if sample is None:
         return -np.inf
-    scores = products(sample[1][sample[0] != q_id], q).astype(np.float64)
-    return float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf
+    scores = products(sample[1][sample[0] != q_id], q)
+    if len(scores) < k:
+        return -np.inf
+    best = np.sort(scores)[-k]
+    return float(best) if scores.dtype != object or int(float(best)) <= best else float(np.nextafter(float(best), -np.inf))
 
 
 def pack(vectors: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], pivots: int, scale: float, k: int | None) -> DataFrame:
     """Blocks of ids, integer vectors and pivot distances; with ``k`` also floors, for queries."""
 
+    table = {dim: far_apart(x, pivots) for dim, (_, x) in sample.items()}
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, x in scaled(batch, scale):
-                far = distances(x, sample[dim][1][:pivots] if dim in sample else None)
+                far = distances(x, table.get(dim))
                 order = np.lexsort((far.min(axis=1), far.argmin(axis=1)))
                 step = max(1, BLOCK_BYTES // (8 * dim))
                 for at in range(0, len(ids), step):
@@ -107,7 +124,7 @@ def pack(vectors: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], p
 def most_possible(q: np.ndarray, squares: np.ndarray | float, lower: np.ndarray | float) -> np.ndarray | float:
     """The largest inner product of q with vectors of these squared norms at these distances or farther."""
     own = q @ q
-    return (own + squares - lower**2) / 2 + 1e-9 * (own + squares) + 1e-6  # rounding of the distances
+    return (own + squares - lower**2) / 2 + 1e-9 * (own + squares) + 1e-6  # rounding of distances, norms and wide scores
 
 
 def best_of_block(query: tuple, block: tuple, k: int, chunk: int = 64) -> tuple[list[tuple[int, int, int]], int]:
@@ -135,7 +152,7 @@ def best_of_block(query: tuple, block: tuple, k: int, chunk: int = 64) -> tuple[
     return out, evaluated
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, pivots: int = 32) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, pivots: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of (id, vector) that ``queries`` selects, against all others."""
     spark = vectors.sparkSession
     sample = draw_sample(vectors.where("id is not null and vector is not null"), scale)

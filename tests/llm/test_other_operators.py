@@ -61,6 +61,30 @@ def test_topk_of_wide_components(spark):
         assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == best
 
 
+@pytest.mark.parametrize("most", [1 << 19, 1 << 29])
+def test_topk_of_many_wide_vectors(spark, most):
+    """Scores above 2**53, more of them than a query keeps: floors must not lose the candidate that set them."""
+    rng = np.random.default_rng(most % 1000)
+    rows = [(i, [float(int(x)) / 1024 for x in rng.integers(0, most, 4)]) for i in range(1000)]
+    rows += [(1000 + i, rows[i][1]) for i in range(50)]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    got = topk.top_k(spark.createDataFrame(rows, "id long, vector array<double>"), F.col("id") % 50 == 0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for q in range(0, 1050, 50):
+        assert found[q] == sorted((-limit(sum(a * b for a, b in zip(whole[q], v, strict=True))), i) for i, v in whole.items() if i != q)[:10]
+
+
+def test_floors_are_never_above_their_scores():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.floor(rng.uniform(0, 2.0**24, (40, 4)))
+        exact = sorted((sum(int(a) * int(b) for a, b in zip(x[0], v, strict=True)) for v in x[1:]), reverse=True)
+        assert topk.floor_of(0, x[0], (np.arange(40), x), 10) <= exact[9]
+
+
 def pages():
     big = "x" * 300_000
     return [(1, "http://a", "<p>é</p>"), (2, "http://b\r\nX: y", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", big), (0, "u", big), (7, "z", "one"), (7, "z", "one"), (None, "n", "one"), (8, "q", "one")]
