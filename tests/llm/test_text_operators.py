@@ -4,6 +4,7 @@ import pickle
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,34 @@ def test_hash_of_kept_text(spark):
     assert got == {1: hashlib.sha256(b"a\r\nb").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_region_links_connect_what_all_links_connect(seed):
+    """Chains, families of near sets and strangers; every link is one between a pivot and a set."""
+    rng = np.random.default_rng(seed)
+    bounds, sets = jaccard.Bounds(75), []
+    for _ in range(rng.integers(1, 5)):
+        base = np.sort(rng.choice(400, rng.integers(1, 60), replace=False))
+        for _ in range(rng.integers(1, 9)):
+            drop = rng.random(len(base)) < rng.choice([0.0, 0.1, 0.25])
+            more = rng.choice(400, rng.integers(0, 6), replace=False)
+            sets.append(np.unique(np.concatenate((base[~drop], more, base[:1]))).astype(np.int64))
+            if rng.random() < 0.5:
+                base = sets[-1]
+
+    def parts(links):
+        forest = jaccard.Forest()
+        for a, b in links:
+            forest.join(a, b)
+        roots = [forest.root(i) for i in range(len(sets))]
+        return {frozenset(j for j in range(len(sets)) if roots[j] == x) for x in roots}
+
+    common = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if bounds.linked(common(i, j), len(sets[i]), len(sets[j]))]
+    got = jaccard.region_links(sets, bounds, pivots=2)
+    assert {tuple(sorted(x, reverse=True)) for x in got} <= set(every)
+    assert parts(got) == parts(every) == parts(jaccard.region_links(sets, bounds))
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 7)]
     star = [(50, i) for i in range(51, 80)] + [(3, 79), (60, 61), (61, 60)]
