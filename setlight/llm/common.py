@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from setlight.operators.rounds import scratch as cut
 from setlight.operators.rounds import scratch_dir
 
-__all__ = ["cut", "held_out", "join_counted", "one_label", "per_batch", "scratch_dir", "table", "unused"]
+__all__ = ["cut", "held_out", "join_counted", "one_label", "per_batch", "pieces", "scratch_dir", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,18 @@ def join_counted(rows: DataFrame, keys: DataFrame, on: str | list[str] = "h", n:
     return rows.join(heavy, names).unionByName(rows.join(heavy.select(*names), names, "left_anti").join(keys.where(F.col(n) <= most), names))
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]):
-    """A mapInArrow function from one that maps a record batch."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def per_batch(fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], rows: int | None = None):
+    """A mapInArrow function from one that maps a record batch, of at most ``rows`` rows if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, rows) if rows else batches:
             out = fn(batch)
             if out is None:
                 continue

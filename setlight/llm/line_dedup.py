@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, per_batch, scratch_dir, unused
+from .common import cut, join_counted, per_batch, pieces, scratch_dir, unused
 
 #: Stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
@@ -54,7 +54,7 @@ def batch_keys(docs: DataFrame, batch: Column, least: int, buckets: int) -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found: dict[tuple[int, bytes], list] = {}
-            for doc_id, text, at in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, at in (x for piece in pieces([rows]) for x in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True)):
                 for h in {h for h in line_hashes(text, least) if h}:
                     got = found.setdefault((at, h), [0, None])
                     got[0] += 1
@@ -176,7 +176,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: in
         )
 
     marked = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_fp: F.xxhash64("text")})
-    lines = marked.select(own_id, "text", own_fp).mapInArrow(per_batch(places), "id long, fp long, line int, h1 long, h2 long")
+    lines = marked.select(own_id, "text", own_fp).mapInArrow(per_batch(places, 1000), "id long, fp long, line int, h1 long, h2 long")
     # few keys can be frequent; the rows of the others are shuffled only where the keys do not fit a broadcast
     found = lines.join(F.broadcast(repeated), ["h1", "h2"]) if repeated.count() <= MOST_KEYS else join_counted(lines, repeated, ["h1", "h2"], "n")
     drops = (
@@ -196,4 +196,4 @@ def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: in
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "kept", "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in names)
-    return joined.select(*[F.col(f"`{c}`") for c in names], own_drop).mapInArrow(per_batch(keep), f"{schema}, kept string, n_lines long, n_dropped long")
+    return joined.select(*[F.col(f"`{c}`") for c in names], own_drop).mapInArrow(per_batch(keep, 1000), f"{schema}, kept string, n_lines long, n_dropped long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, one_label, unused
+from .common import cut, held_out, one_label, pieces, unused
 
 ORDER, BITS = 4, 5
 CELLS = 1 << (ORDER * BITS)
@@ -77,7 +77,7 @@ def count_grams(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column(0).to_pylist():
                 for at in range(0, len(text or ""), 1 << 20):
                     codes = gram_codes(text[at : at + (1 << 20)])
@@ -173,7 +173,7 @@ class Restorer:
                     if DISGUISED.search(form):
                         found |= dict.fromkeys(x for y in restore(form, self.model).split() if (x := y.strip(EDGES)))
                 got = tuple(found)
-            if len(self.known) > 200_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[token] = got
         return got
@@ -203,7 +203,7 @@ def learn_lexicon(rows: DataFrame, restorer_of, least: int = 2) -> dict[str, flo
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, tables = restorer_of(), (Counter(), Counter())
-        for batch in batches:
+        for batch in pieces(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tables[label].update({k for w in restorer.words(text) for k in keys_of(w)})
         keys = list(tables[0].keys() | tables[1].keys())
@@ -258,7 +258,7 @@ class Model:
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             restorer = restorer_of()
-            for batch in batches:
+            for batch in pieces(batches):
                 e = [evidence(restorer.words(x), lexicon.value) for x in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(e, pa.list_(pa.float64())), batch.column(1)], ["e", "label"])
 
@@ -279,7 +279,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(grams.value)
-        for batch in batches:
+        for batch in pieces(batches):
             e = np.array([evidence(restorer.words(x), lexicon.value) for x in batch.column("text").to_pylist()]).reshape(-1, N_EVIDENCE)
             if weights is None:
                 s = np.full(len(e), base)
