@@ -4,9 +4,10 @@ A document is cut into overlapping passages of twice the longest item, one item
 leaked item lies whole in some passage. Every passage is a query against an inverted index of the
 items. Contributions are BM25 term weights over the item's own total, so that one threshold holds for
 all items. Items are ordered by length and put into blocks; for each term and block the index keeps
-the largest contribution. The sum of these block maxima over a passage's terms bounds every score in
-the block (block-max WAND): only blocks whose bound reaches the threshold are scored, term by term.
-Postings and block maxima are sparse, and only some passages' bounds are held at a time.
+the largest contribution. As in block-max WAND a passage has a pivot among its terms: weaker ones together
+stay below the threshold, so only blocks in the lists of the pivot and of stronger terms are opened,
+only those whose block maxima over all terms reach the threshold are read, and of a term's postings only
+those in such blocks. Passages are worked on together, in numpy, in place of cursors that move one by one.
 All items at or above the threshold are retrieved and then verified: enough of the question's and of
 the answer's word n-grams (the first two thirds and the last third of the item) must be in the
 passage, as sets.
@@ -50,6 +51,11 @@ def grams(words: list, n: int) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def stretches(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from first[i] on, n[i] of them, for all i."""
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class Rows:
     """Sparse rows: the columns and values of row k stand from start[k] to start[k + 1]."""
 
@@ -58,12 +64,11 @@ class Rows:
         self.columns, self.values = columns[order].astype(np.int32), values[order]
         self.start = np.searchsorted(rows[order], np.arange(n + 1))
 
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``rows``, column, value) of all entries of these rows."""
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``rows``, place of the entry) of all entries of these rows."""
         first = self.start[rows]
         n = self.start[rows + 1] - first
-        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        return np.repeat(np.arange(len(rows)), n), self.columns[at], self.values[at]
+        return np.repeat(np.arange(len(rows)), n), stretches(first, n)
 
     def items(self) -> Iterator[tuple[int, list[tuple[int, float]]]]:
         for k in range(len(self.start) - 1):
@@ -110,6 +115,10 @@ class ItemIndex:
         most = np.zeros(len(cells))
         np.maximum.at(most, inverse, values)
         self.maxima = Rows(cells // self.n_blocks, cells % self.n_blocks, most, n_rows)
+        self.cells = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(cells)))))  # where the postings of a term and block begin
+        self.most = np.zeros(n_rows)
+        np.maximum.at(self.most, rows, values)
+        self.lists_read = self.postings_read = 0
 
     def parts(self, j: int) -> tuple[set[tuple], set[tuple]]:
         """The n-grams of an item's question and answer, in codes of words."""
@@ -117,6 +126,21 @@ class ItemIndex:
         split = max(1, 2 * len(w) // 3)
         return grams(w[:split], self.gram), grams(w[split:], self.gram)
 
+    def pivots(self, terms: np.ndarray, owner: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which terms are their passage's pivot or stronger, and what the weaker ones of each passage can add up to.
+
+        In the order of their largest contributions the pivot is the first term at which the sum reaches the
+        threshold: an item without it and without any stronger term cannot reach it.
+        """
+        order = np.lexsort((self.most[terms], owner))
+        sums = np.cumsum(self.most[terms[order]])
+        first = np.searchsorted(owner[order], np.arange(n))
+        sums -= (sums - self.most[terms[order]])[first][owner[order]]
+        weak = sums < threshold - 1e-4
+        rest = np.zeros(n)
+        np.maximum.at(rest, owner[order[weak]], sums[weak])
+        return order[~weak], rest
+
     def matches(self, text: str | None, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, passages) of one document; the best passage counts."""
         words = words_of(text)
@@ -131,14 +155,21 @@ class ItemIndex:
         for first in range(0, len(starts), at_once):
             passages = [codes[s : s + 2 * step] for s in starts[first : first + at_once]]
             rows = [np.unique(x) for x in passages]
-            owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-            which, blocks, most = self.maxima.take(np.concatenate(rows))
-            bounds = np.bincount(owner[which] * self.n_blocks + blocks, most, len(rows) * self.n_blocks).reshape(len(rows), self.n_blocks)
-            reached = bounds >= threshold - 1e-4
-            for p in np.flatnonzero(reached.any(axis=1)).tolist():
-                _, items, x = self.postings.take(rows[p])
-                some = reached[p][items // BLOCK]
-                scores = np.bincount(items[some], x[some], len(self.ids))
+            owner, terms = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows)
+            strong, rest = self.pivots(terms, owner, len(rows), threshold)
+            which, at = self.maxima.places(terms[strong])
+            bounds = np.bincount(owner[strong][which] * self.n_blocks + self.maxima.columns[at], self.maxima.values[at], len(rows) * self.n_blocks).reshape(len(rows), self.n_blocks)
+            self.lists_read += len(at)
+            opened = (bounds > 0) & (bounds + rest[:, None] >= threshold - 1e-4)
+            for p in np.flatnonzero(opened.any(axis=1)).tolist():
+                _, at = self.maxima.places(rows[p])
+                at = at[opened[p][self.maxima.columns[at]]]
+                reached = np.bincount(self.maxima.columns[at], self.maxima.values[at], self.n_blocks) >= threshold - 1e-4
+                at = at[reached[self.maxima.columns[at]]]
+                there = stretches(self.cells[at], self.cells[at + 1] - self.cells[at])
+                scores = np.bincount(self.postings.columns[there], self.postings.values[there], len(self.ids))
+                self.lists_read += len(at)
+                self.postings_read += len(there)
                 good = np.flatnonzero((scores > 0) & (scores >= threshold - 1e-9)).tolist()
                 if not good:
                     continue

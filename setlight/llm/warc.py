@@ -37,6 +37,9 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Packages are read in at most so many tasks.
+MOST_TASKS = 10_000
+
 
 def digest32(payload: bytes) -> str:
     """Bare upper-case base32 SHA-1."""
@@ -252,5 +255,5 @@ def read_packages(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield flush(rows)
 
-    n = max(1, manifest.count())
+    n = max(1, min(MOST_TASKS, manifest.count()))
     return manifest.repartition(n).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")

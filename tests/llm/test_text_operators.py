@@ -379,6 +379,43 @@ def test_region_links_connect_what_all_links_connect(seed):
     assert parts(got) == parts(every) == parts(jaccard.region_links(sets, bounds))
 
 
+def test_pivots_leave_most_lists_and_postings_unread():
+    """Same results as scoring every item for every passage, from far fewer entries."""
+    rng = np.random.default_rng(6)
+    common, rare = [f"c{i}" for i in range(200)], [f"r{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n))
+    items = [(i, text(int(rng.integers(15, 40)))) for i in range(400)]
+    index = decontam.ItemIndex(items, 3)
+    by_id = dict(items)
+    docs = [text(400) for _ in range(20)] + [f"{text(90)} {by_id[int(i)]} {text(70)}" for i in rng.choice(400, 20)] + [by_id[3], "c1 c2", ""]
+    exhaustive = 0
+    for doc in docs:
+        found = {}
+        words, step = decontam.words_of(doc), index.longest
+        for start in range(0, max(1, len(words) - step), step) if words else []:
+            passage = words[start : start + 2 * step]
+            codes = [index.terms[w] for w in set(passage) if w in index.terms]
+            exhaustive += sum(int(index.postings.start[c + 1] - index.postings.start[c]) for c in codes)
+            have = decontam.grams(passage, 3)
+            for j, i in enumerate(index.ids):
+                score = sum(index.postings[c, j] for c in codes)
+                if score < 0.5 - 1e-9:
+                    continue
+                w = decontam.words_of(by_id[i])
+                cut = max(1, 2 * len(w) // 3)
+                parts = [decontam.grams(w[:cut], 3), decontam.grams(w[cut:], 3)]
+                share = [len(x & (have if len(next(iter(x))) == 3 else decontam.grams(passage, len(next(iter(x)))))) / len(x) if x else 1.0 for x in parts]
+                if min(share) >= 0.5:
+                    old = found.get(i, (0.0, 0.0, 0.0, 0))
+                    found[i] = (max(old[0], score), max(old[1], share[0]), max(old[2], share[1]), old[3] + 1)
+        got = {i: x for i, *x in index.matches(doc, 0.5, 0.5, 0.5)}
+        assert got.keys() == found.keys()
+        for i, x in got.items():
+            assert x == pytest.approx(list(found[i]))
+    assert 0 < index.postings_read < exhaustive / 5
+    assert index.lists_read < exhaustive
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 7)]
     star = [(50, i) for i in range(51, 80)] + [(3, 79), (60, 61), (61, 60)]
