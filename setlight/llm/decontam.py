@@ -110,14 +110,17 @@ class ItemIndex:
         self.codes = np.concatenate([np.zeros(0, np.int32), *codes])
         rows, columns, values = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((rows, np.int64), (columns, np.int64), (values, np.float64)))
         n_rows = len(self.terms) + 1  # the last row is for unknown words
+        self.most = np.zeros(n_rows)
+        np.maximum.at(self.most, rows, values)
+        code = np.empty(n_rows - 1, np.int64)  # terms are numbered by their largest contributions, the weakest first
+        code[np.argsort(self.most[:-1], kind="stable")] = np.arange(n_rows - 1)
+        self.terms, rows, self.codes, self.most = {t: int(code[k]) for t, k in self.terms.items()}, code[rows], code[self.codes].astype(np.int32), np.append(np.sort(self.most[:-1]), 0.0)
         self.postings = Rows(rows, columns, values, n_rows)
         cells, inverse = np.unique(rows * self.n_blocks + columns // BLOCK, return_inverse=True)
         most = np.zeros(len(cells))
         np.maximum.at(most, inverse, values)
         self.maxima = Rows(cells // self.n_blocks, cells % self.n_blocks, most, n_rows)
         self.cells = np.concatenate(([0], np.cumsum(np.bincount(inverse, minlength=len(cells)))))  # where the postings of a term and block begin
-        self.most = np.zeros(n_rows)
-        np.maximum.at(self.most, rows, values)
         self.lists_read = self.postings_read = 0
 
     def parts(self, j: int) -> tuple[set[tuple], set[tuple]]:
@@ -126,20 +129,27 @@ class ItemIndex:
         split = max(1, 2 * len(w) // 3)
         return grams(w[:split], self.gram), grams(w[split:], self.gram)
 
+    def cells_of(self, terms: np.ndarray, owner: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry of the block maxima, passage and block as one number) of the block lists of some terms."""
+        which, at = self.maxima.places(terms[some])
+        self.lists_read += len(at)
+        return at, owner[some][which] * self.n_blocks + self.maxima.columns[at]
+
     def pivots(self, terms: np.ndarray, owner: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Which terms are their passage's pivot or stronger, and what the weaker ones of each passage can add up to.
+        """Which terms are weaker than their passage's pivot, and what these can add up to in each passage.
 
-        In the order of their largest contributions the pivot is the first term at which the sum reaches the
-        threshold: an item without it and without any stronger term cannot reach it.
+        Terms stand by passage and number, so the weakest come first. The pivot is the first term at which the
+        sum of largest contributions reaches the threshold: an item without it and without any stronger term
+        cannot reach it.
         """
-        order = np.lexsort((self.most[terms], owner))
-        sums = np.cumsum(self.most[terms[order]])
-        first = np.searchsorted(owner[order], np.arange(n))
-        sums -= (sums - self.most[terms[order]])[first][owner[order]]
+        own = self.most[terms]
+        sums = np.cumsum(own)
+        first = np.searchsorted(owner, np.arange(n))
+        sums -= (sums - own)[first][owner]
         weak = sums < threshold - 1e-4
         rest = np.zeros(n)
-        np.maximum.at(rest, owner[order[weak]], sums[weak])
-        return order[~weak], rest
+        rest[owner[weak]] = sums[weak]  # the last of a passage's weak terms stays
+        return weak, rest
 
     def matches(self, text: str | None, threshold: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, passages) of one document; the best passage counts."""
@@ -156,19 +166,25 @@ class ItemIndex:
             passages = [codes[s : s + 2 * step] for s in starts[first : first + at_once]]
             rows = [np.unique(x) for x in passages]
             owner, terms = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows)
-            strong, rest = self.pivots(terms, owner, len(rows), threshold)
-            which, at = self.maxima.places(terms[strong])
-            bounds = np.bincount(owner[strong][which] * self.n_blocks + self.maxima.columns[at], self.maxima.values[at], len(rows) * self.n_blocks).reshape(len(rows), self.n_blocks)
-            self.lists_read += len(at)
-            opened = (bounds > 0) & (bounds + rest[:, None] >= threshold - 1e-4)
-            for p in np.flatnonzero(opened.any(axis=1)).tolist():
-                _, at = self.maxima.places(rows[p])
-                at = at[opened[p][self.maxima.columns[at]]]
-                reached = np.bincount(self.maxima.columns[at], self.maxima.values[at], self.n_blocks) >= threshold - 1e-4
-                at = at[reached[self.maxima.columns[at]]]
-                there = stretches(self.cells[at], self.cells[at + 1] - self.cells[at])
+            weak, rest = self.pivots(terms, owner, len(rows), threshold)
+            strong = np.flatnonzero(~weak)
+            at, cell = self.cells_of(terms, owner, strong)
+            bounds = np.bincount(cell, self.maxima.values[at], len(rows) * self.n_blocks)
+            opened = ((bounds > 0).reshape(len(rows), -1) & (bounds.reshape(len(rows), -1) + rest[:, None] >= threshold - 1e-4)).any(axis=1)
+            more, more_cell = self.cells_of(terms, owner, np.flatnonzero(weak & opened[owner]))
+            bounds += np.bincount(more_cell, self.maxima.values[more], len(bounds))
+            reached = (bounds >= threshold - 1e-4) & np.repeat(opened, self.n_blocks)
+            at, cell = np.concatenate((at, more)), np.concatenate((cell, more_cell))
+            inside = reached[cell]
+            at, whose = at[inside], cell[inside] // self.n_blocks
+            by_passage = np.argsort(whose, kind="stable")
+            at, whose = at[by_passage], whose[by_passage]
+            reached = reached.reshape(len(rows), -1)
+            for p in np.flatnonzero(reached.any(axis=1)).tolist():
+                lo, hi = np.searchsorted(whose, [p, p + 1])
+                cells = at[lo:hi]
+                there = stretches(self.cells[cells], self.cells[cells + 1] - self.cells[cells])
                 scores = np.bincount(self.postings.columns[there], self.postings.values[there], len(self.ids))
-                self.lists_read += len(at)
                 self.postings_read += len(there)
                 good = np.flatnonzero((scores > 0) & (scores >= threshold - 1e-9)).tolist()
                 if not good:

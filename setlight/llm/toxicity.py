@@ -173,7 +173,7 @@ class Restorer:
                     if DISGUISED.search(form):
                         found |= dict.fromkeys(x for y in restore(form, self.model).split() if (x := y.strip(EDGES)))
                 got = tuple(found)
-            if len(self.known) > 100_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             self.known[token] = got
         return got
@@ -188,6 +188,16 @@ class Restorer:
         return out
 
 
+_shared: list[Restorer] = []
+
+
+def shared_restorer(model: np.ndarray) -> Restorer:
+    """The process's restorer for this model: tasks that follow each other in it know the tokens of those before."""
+    if not _shared or _shared[0].model is not model:
+        _shared[:] = [Restorer(model)]
+    return _shared[0]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, label, fold) of at most about ``sample`` labelled documents outside the held-out fold, one for each text."""
     labels = one_label(labels, "toxic").where(~held_out())
@@ -252,7 +262,7 @@ class Model:
         self.grams = spark.sparkContext.broadcast(log_model(count_grams(docs)))
         grams = self.grams
         rows = cut(training_rows(docs, labels, sample), "toxicity-sample")
-        restorer_of = lambda: Restorer(grams.value)
+        restorer_of = lambda: shared_restorer(grams.value)
         self.lexicon = spark.sparkContext.broadcast(learn_lexicon(rows.where("not tuning"), restorer_of))
         lexicon = self.lexicon
 
@@ -278,7 +288,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     (fold,) = unused(docs, "fold")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(grams.value)
+        restorer = shared_restorer(grams.value)
         for batch in pieces(batches):
             e = np.array([evidence(restorer.words(x), lexicon.value) for x in batch.column("text").to_pylist()]).reshape(-1, N_EVIDENCE)
             if weights is None:
