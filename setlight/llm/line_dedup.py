@@ -4,11 +4,7 @@
 (h1, h2, n, holder): the 128-bit hash of a line key, the number of documents of the batch that hold
 it and the largest id among them. A new batch is merge-anti-joined with the runs: keys that no run
 has are first sightings and bring their holder, the others only add to the count. When a level holds
-``fanout`` runs they are merged into one run of the next level, while batches go on coming.
-
-Runs are tables bucketed and sorted by key, all with the same buckets, and so are the batches' keys, which one pass
-over the documents makes. Bucket meets bucket in joins and merges: after that pass no key is shuffled again,
-and the sorts before the merge joins find their rows sorted.
+``fanout`` runs they are merged into one sorted run of the next level.
 
 Batches go from large ids to small ones, so a first sighting already carries the holder that stays.
 
@@ -20,16 +16,14 @@ lines; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, per_batch, pieces, scratch_dir, unused
+from .common import cut, join_counted, per_batch, pieces, unused
 
 #: Stripped at both ends of a line.
 STRIP = " \t\n\x0b\x0c\r"
@@ -48,119 +42,95 @@ def line_hashes(text: str | None, least: int) -> list[bytes | None]:
     return out
 
 
-def batch_keys(docs: DataFrame, batch: Column, least: int, buckets: int) -> DataFrame:
-    """(batch, h1, h2, n, holder): a row for each key of a batch, added up before the shuffle and after it."""
+def batch_keys(docs: DataFrame, least: int) -> DataFrame:
+    """The run of one batch: a row for each key, added up before the shuffle and after it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            found: dict[tuple[int, bytes], list] = {}
-            for doc_id, text, at in (x for piece in pieces([rows]) for x in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True)):
+        for batch in batches:
+            found: dict[bytes, list] = {}
+            for doc_id, text in (x for piece in pieces([batch]) for x in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)):
                 for h in {h for h in line_hashes(text, least) if h}:
-                    got = found.setdefault((at, h), [0, None])
+                    got = found.setdefault(h, [0, None])
                     got[0] += 1
                     if doc_id is not None and (got[1] is None or doc_id > got[1]):
                         got[1] = doc_id
-            h = np.frombuffer(b"".join(h for _, h in found), PAIR)
+            h = np.frombuffer(b"".join(found), PAIR)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([at for at, _ in found], pa.int32()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())],
-                ["batch", "h1", "h2", "n", "holder"],
+                [pa.array(h["h1"].copy()), pa.array(h["h2"].copy()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())],
+                ["h1", "h2", "n", "holder"],
             )
 
-    counted = docs.select(F.col("doc_id").cast("long"), "text", batch.cast("int").alias("batch")).mapInArrow(count, f"batch int, {RUN}")
-    return counted.repartition(buckets, "h1", "h2").groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
+    counted = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, RUN)
+    return counted.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
 
 
 class LineRuns:
-    """Levelled runs of line keys; ``fanout`` runs of a level are merged into one of the next.
-
-    ``buckets`` is the same for all runs of a store. ``close`` forgets the tables' names; their files are left to the
-    shared folder's retention rule.
-    """
+    """Levelled runs of line keys; ``fanout`` runs of a level are merged into one of the next."""
 
-    def __init__(self, spark: SparkSession, least: int = 40, fanout: int = 2, buckets: int = 8):
-        self.spark, self.least, self.fanout, self.buckets = spark, least, fanout, buckets
+    def __init__(self, spark: SparkSession, least: int = 40, fanout: int = 3):
+        self.spark, self.least, self.fanout = spark, least, fanout
         self.levels: list[list[DataFrame]] = []
-        self.tables: list[str] = []
-
-    def close(self) -> None:
-        for name in self.tables:
-            self.spark.sql(f"drop table if exists {name}")
-
-    def bucketed(self, rows: DataFrame, name: str, *parts: str) -> DataFrame:
-        """``rows``, which lie in buckets of keys already, written as a table that says so."""
-        table = f"{name}_{uuid.uuid4().hex}"
-        writer = rows.write.format("parquet").option("path", f"{scratch_dir(self.spark)}/{table}").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-        (writer.partitionBy(*parts) if parts else writer).saveAsTable(table)
-        self.tables.append(table)
-        return self.spark.table(table)
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
-        """Two runs as one, a row for each key: an outer merge join of bucket with bucket."""
-        other = b.select("h1", "h2", F.col("n").alias("n_b"), F.col("holder").alias("holder_b"))
-        added = F.coalesce("n", F.lit(0)) + F.coalesce("n_b", F.lit(0))
-        return a.join(other, ["h1", "h2"], "full_outer").select("h1", "h2", added.alias("n"), F.greatest("holder", "holder_b").alias("holder"))
-
-    def first_sightings(self, keys: DataFrame) -> DataFrame:
-        """The keys of a batch that no run has, by one anti-join a run."""
-        return reduce(lambda left, run: left.join(self._firsts(run), ["h1", "h2"], "left_anti"), self.runs(), keys)
+    def _union(self, runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
+        for run in runs[1:]:
+            out = out.unionByName(run)
+        return out
 
-    def known(self, keys: DataFrame) -> list[DataFrame]:
-        """The keys of a batch that a run has, by run: a key has its holder in one of them only."""
-        return [keys.join(self._firsts(run), ["h1", "h2"], "left_semi") for run in self.runs()]
-
-    def _firsts(self, run: DataFrame) -> DataFrame:
-        return run.where("holder is not null").select("h1", "h2")
+    def merged(self, runs: list[DataFrame] | None = None) -> DataFrame:
+        runs = self.runs() if runs is None else runs
+        if not runs:
+            return self.spark.createDataFrame([], RUN)
+        if len(runs) == 1:
+            return runs[0]
+        return self._union(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
 
     def add(self, docs: DataFrame) -> None:
-        """Add a batch of documents."""
-        self.add_keys(self.bucketed(batch_keys(docs, F.lit(0), self.least, self.buckets).drop("batch"), "line_keys"))
-
-    def add_keys(self, keys: DataFrame) -> None:
-        """Add a batch's bucketed keys: the new ones with their holders, the known ones as counts."""
-        if self.runs():
-            again = reduce(DataFrame.unionByName, self.known(keys)).withColumn("holder", F.lit(None).cast("long"))
-            keys = self.bucketed(self.first_sightings(keys).unionByName(again), "line_run")
+        """Add a batch: its new keys with their holders, its known keys as counts."""
+        keys = batch_keys(docs, self.least)
+        if runs := self.runs():
+            keys = cut(keys, "line-batch")
+            seen = self._union(runs).where("holder is not null").select("h1", "h2")
+            first = keys.join(seen, ["h1", "h2"], "left_anti")
+            again = keys.join(seen, ["h1", "h2"], "left_semi").withColumn("holder", F.lit(None).cast("long"))
+            keys = first.unionByName(again)
         self._place(keys, 0)
 
     def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
+        self.levels[level].append(cut(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}"))
         if len(self.levels[level]) >= self.fanout:
             together, self.levels[level] = self.levels[level], []
-            self._place(self.compacted(together, level + 1), level + 1)
-
-    def compacted(self, runs: list[DataFrame], level: int) -> DataFrame:
-        return reduce(lambda a, b: self.bucketed(self.merged(a, b), f"line_run_{level}"), runs)
+            self._place(self.merged(together), level + 1)
 
     def repeated(self, at_least: int) -> DataFrame:
-        """(h1, h2, n, holder) of the keys that ``at_least`` documents hold; the levels are merged for it, the newest first."""
-        if not self.runs():
-            return self.spark.createDataFrame([], RUN)
-        return self.compacted(self.runs(), len(self.levels)).where(F.col("n") >= at_least).select("h1", "h2", "n", "holder")
+        """(h1, h2, n, holder) of the keys that ``at_least`` documents hold."""
+        return self.merged().where(F.col("n") >= at_least).select("h1", "h2", "n", "holder")
 
 
-def batch_of(docs: DataFrame, batches: int) -> Column:
-    """The batch of a row, by ranges of ids: 0 has the largest ids, the last one the smallest and null ids."""
+def id_ranges(docs: DataFrame, batches: int) -> list:
+    """Predicates on doc_id that split the table, large ids first; null ids come last."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = max(1, -(-(high - low + 1) // batches)) if low is not None else 1
-    return F.coalesce(F.floor((F.lit(high).cast("long") - F.col("doc_id")) / step), F.lit(batches - 1))
+    if low is None:
+        return [F.lit(True)]
+    step = max(1, -(-(high - low + 1) // batches))
+    edges = [*range(low, high + 1, step), high + 1]
+    inside = [(F.col("doc_id") >= a) & (F.col("doc_id") < b) for a, b in zip(edges, edges[1:], strict=False)][::-1]
+    return [*inside[:-1], inside[-1] | F.col("doc_id").isNull()]
 
 
-def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 40, at_least: int = 5, batches: int = 3) -> DataFrame:
     """Every row of ``docs`` with its columns, ``kept`` (text without dropped lines), ``n_lines`` and ``n_dropped``,
     which replace columns of these names."""
     spark = docs.sparkSession
-    buckets = max(8, min(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions()))
-    store = LineRuns(spark, least, buckets=buckets)
-    keys = store.bucketed(batch_keys(docs, batch_of(docs, batches), least, buckets), "line_keys", "batch")
-    for k in range(batches):
-        store.add_keys(keys.where(F.col("batch") == k).drop("batch"))
+    store = LineRuns(spark, least)
+    for where in id_ranges(docs, batches):
+        store.add(docs.where(where))
     repeated = cut(store.repeated(at_least), "line-repeated")
-    store.close()
     own_id, own_fp, own_drop = unused(docs, "dedup_id", "dedup_fp", "dedup_drop")
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
