@@ -22,6 +22,13 @@ def test_query(spark, con, name):
         assert rows(found) == rows(wanted)
 
 
+@pytest.mark.parametrize("name", ["l19_reconcile", "m1_unknown_fields", "r3_lifecycle_alerts", "r5_merged_releases"])
+def test_order_dependent_query_on_more_rows(spark, name):
+    folder = "/root/testdata/sf0.01"
+    wanted = connect(folder).execute(catalog.ORACLES[name]).df()
+    assert rows(catalog.QUERIES[name](spark, folder).toPandas()) == rows(wanted)
+
+
 def test_entry_contract():
     import __spark_entry__ as entry
 
