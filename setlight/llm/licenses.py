@@ -1,17 +1,20 @@
 """License scan: MinHash bands over overlapping text windows, with DataFrame functions only.
 
-A text becomes the array of hashes of its five-word shingles. Templates with equally many shingles
-m form a class with windows of m + s shingles at every s-th position (s is a quarter of m), so that
-some window holds the whole of any occurrence. A window that contains at least ``containment`` of a
-template has a Jaccard similarity of at least j0 with it, and the number of bands is chosen from j0
-so that all bands miss with a probability below ``miss``. Bands are joined with the template bands;
-each pair that they retrieve is verified by exact shingle containment. Windows without any shingle
-of any template cannot be verified later, so only windows around such shingles are hashed: that
-loses nothing.
-
-Defined cases: null, empty and shorter texts match nothing; repeated rows of an id count as one
-document; rows with a null id share one result row for each license; an empty table gives an empty
-result.
+Templates are rows (license, text), from a folder of license texts or from the stated notices. A text
+becomes rows of hashed five-word shingles with their positions; a broadcast table of the templates'
+shingles keeps the known ones. Templates with equally many shingles m form a class with windows of
+m + s shingles at every s-th position (s is a quarter of m), so that some window holds the whole of
+any occurrence. A shingle known to a class goes to the windows around it, and a window's known
+shingles, at most its length, are one row. A window that contains at least ``containment`` of a
+template has a Jaccard similarity of at least j0 with it, more so without unknown shingles, and the
+number of bands is chosen from j0 so that all bands miss with a probability below ``miss``. Bands are
+joined with the template bands; each pair that they retrieve is verified by exact shingle containment,
+once, at the first band that the two share. Windows with fewer known shingles than any match needs are
+not hashed: that loses nothing.
+
+Defined cases: null, empty and shorter texts match nothing, as do templates of fewer than five words;
+repeated rows of an id count as one document; rows with a null id share one result row for each
+license; equal templates count once; an empty table of documents or templates gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +25,6 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
-
 WORDS = "[a-z0-9]+"
 SHINGLE = 5
 
@@ -69,22 +70,20 @@ def template_shingles(templates: dict[str, list[str]]) -> list[tuple[str, int, l
     return out
 
 
-def hashed(shingle: list[Column]) -> Column:
-    return F.xxhash64(*shingle)
+#: Templates with more shingles in all are joined as Spark sees fit, not by a broadcast.
+BROADCAST = 1_000_000
 
 
-def minima(hashes: Column, bands: int) -> Column:
-    """One minimum for each band's hash function."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, k))))
+def stated_templates(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
+    """(license, text) of a few stated notices."""
+    rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, texts in templates.items() for text in texts]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
-    """(license, template, m, shingles): as many rows as there are templates."""
-    rows = []
-    for name, number, shingles in template_shingles(templates):
-        hashes = F.array(*[hashed([F.lit(w) for w in s.split()]) for s in shingles])
-        rows.append(F.struct(F.lit(name).alias("license"), F.lit(number).alias("template"), F.lit(len(shingles)).alias("m"), hashes.alias("shingles")))
-    return spark.range(1).select(F.inline(F.array(*rows)))
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text) of a folder of license texts, a file each; the license is the file's name without .txt."""
+    texts = spark.read.text(path, wholetext=True)
+    return texts.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("license"), F.col("value").alias("text"))
 
 
 def kept_apart(df: DataFrame, name: str, value: Column, *others: str) -> DataFrame:
@@ -92,39 +91,63 @@ def kept_apart(df: DataFrame, name: str, value: Column, *others: str) -> DataFra
     return df.select(*others, F.explode(F.array(value)).alias(name))
 
 
-def window_starts(hits: Column, length: int, step: int) -> Column:
-    """Starts, at multiples of ``step``, of the windows of ``length`` shingles that hold one of the positions."""
-    covering = lambda p: F.sequence(F.greatest(F.lit(0), F.ceil((p - length + 1) / step) * step).cast("int"), (F.floor(p / step) * step).cast("int"), F.lit(step))
-    return F.array_distinct(F.flatten(F.transform(hits, covering)))
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = 0.75, miss: float = 1e-6) -> DataFrame:
-    """(doc_id, license, containment, first_word) for each license found in a document."""
-    spark = docs.sparkSession
-    templates = templates or TEMPLATES
-    known = template_table(spark, templates)
-    values = sorted({h for r in known.select("shingles").collect() for h in r[0]})  # literals: the templates' shingles
-    wanted = F.array(*[F.lit(h) for h in values])
-
-    words = kept_apart(docs.select("doc_id", "text"), "w", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)), "doc_id")
-    shingle = lambda i: hashed([F.get("w", i + j) for j in range(SHINGLE)])
-    long_enough = words.where(F.size("w") >= SHINGLE)
-    hashes = kept_apart(long_enough, "h", F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), shingle), "doc_id")
-    some = kept_apart(hashes, "t", F.array_intersect("h", wanted), "doc_id", "h").where(F.size("t") > 0)
-    # few documents have such a shingle; written once, they serve all classes of windows
-    hits = cut(kept_apart(some, "hits", F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.array_contains("t", F.get("h", i))), "doc_id", "h"), "license-hits")
-
-    found = None
-    for m in sorted({len(s) for _, _, s in template_shingles(templates)}):
-        s, bands = stride(m), bands_for(m, containment, miss)
-        length = m + s
-        windows = hits.select("doc_id", "h", F.explode(window_starts(F.col("hits"), length, s)).alias("start")).select("doc_id", "start", F.slice("h", F.col("start") + 1, F.lit(length)).alias("window"))
-        banded = windows.select("doc_id", "start", "window", F.posexplode(minima(F.col("window"), bands)).alias("band", "value"))
-        keys = known.where(F.col("m") == m).select("license", "template", "shingles", F.posexplode(minima(F.col("shingles"), bands)).alias("t_band", "t_value"))
-        pairs = banded.join(F.broadcast(keys), (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
-        share = F.size(F.array_intersect("window", "shingles")) / F.lit(m)
-        part = pairs.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
-        found = part if found is None else found.unionByName(part)
+def with_shingles(texts: DataFrame, *others: str) -> DataFrame:
+    """``others`` and the hashes of a text's shingles in order, for texts that have any."""
+    words = kept_apart(texts, "w", F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)), *others).where(F.size("w") >= SHINGLE)
+    shingle = lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(SHINGLE)])
+    return kept_apart(words, "h", F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), shingle), *others)
+
+
+def minima(hashes: Column, bands: Column) -> Column:
+    """One minimum for each band's hash function."""
+    return F.transform(F.sequence(F.lit(0), bands - 1), lambda k: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, k))))
+
+
+def template_table(templates: DataFrame, containment: float, miss: float) -> DataFrame:
+    """(license, template, m, step, bands, shingles), a row for each template that has shingles."""
+    texts = templates.select("license", "text").distinct().withColumn("template", F.xxhash64("license", "text"))
+    known = with_shingles(texts, "license", "template").select("license", "template", F.array_distinct("h").alias("shingles")).withColumn("m", F.size("shingles"))
+    lengths = [r.m for r in known.select("m").distinct().collect()]  # no more than the longest template has shingles
+    classes = [F.struct(F.lit(m).alias("m"), F.lit(stride(m)).alias("step"), F.lit(bands_for(m, containment, miss)).alias("bands")) for m in sorted(lengths)]
+    if not classes:
+        return known.withColumns({"step": F.lit(1), "bands": F.lit(1)})
+    return known.join(F.broadcast(templates.sparkSession.range(1).select(F.inline(F.array(*classes)))), "m")
+
+
+def known_windows(docs: DataFrame, known: DataFrame, small) -> DataFrame:
+    """(doc_id, m, bands, start, window): the shingles of a class that a window holds."""
+    keys = known.select("m", "step", "bands", F.explode("shingles").alias("h")).groupBy("h").agg(F.collect_set(F.struct("m", "step", "bands")).alias("classes"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.crc32(F.col("text").cast("binary")).alias("t2"))
+    row = ["doc_id", "t1", "t2"]  # repeated ids with other texts have windows of their own
+    at = with_shingles(texts, *row).select(*row, F.posexplode("h").alias("pos", "h"))
+    hits = at.join(small(keys), "h").select(*row, "pos", "h", F.inline("classes"))
+    length = F.col("m") + F.col("step")
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - length + 1) / F.col("step")) * F.col("step")).cast("int")
+    last = (F.floor(F.col("pos") / F.col("step")) * F.col("step")).cast("int")
+    return hits.select(*row, "m", "bands", "h", F.explode(F.sequence(first, last, F.col("step"))).alias("start")).groupBy(*row, "m", "bands", "start").agg(F.collect_set("h").alias("window"))
+
+
+def scan_licenses(docs: DataFrame, templates: DataFrame | dict[str, list[str]] | None = None, containment: float = 0.75, miss: float = 1e-6) -> DataFrame:
+    """(doc_id, license, containment, first_word) for each license found in a document.
+
+    ``templates`` is a table (license, text); without one the stated notices are looked for.
+    """
+    if not isinstance(templates, DataFrame):
+        templates = stated_templates(docs.sparkSession, templates or TEMPLATES)
+    known = template_table(templates, containment, miss)
+    few = (known.agg(F.sum("m")).first()[0] or 0) <= BROADCAST
+    small = F.broadcast if few else lambda df: df
+
+    windows = known_windows(docs, known, small).where(F.size("window") / F.col("m") >= containment)
+    signed = kept_apart(windows, "signature", minima(F.col("window"), F.col("bands")), "doc_id", "m", "start", "window")
+    banded = signed.select("*", F.posexplode("signature").alias("band", "value"))
+    signatures = known.select("license", "template", "m", minima(F.col("shingles"), F.col("bands")).alias("t_signature"))
+    bands = signatures.select("license", "template", "m", "t_signature", F.posexplode("t_signature").alias("band", "value"))
+    met_before = F.exists(F.zip_with("signature", "t_signature", lambda x, y: x == y), lambda same: same)
+    pairs = banded.join(small(bands), ["m", "band", "value"]).withColumns({c: F.slice(c, F.lit(1), F.col("band")) for c in ("signature", "t_signature")}).where(~met_before)
+    share = F.size(F.array_intersect("window", "shingles")) / F.col("m")
+    checked = pairs.select("doc_id", "license", "template", "m", "start", "window").join(small(known.select("template", "shingles")), "template")
+    found = checked.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= containment)
     return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"))
 
 
