@@ -5,9 +5,11 @@ lines of a level are one block. Level 0 is the message's own text, the others ar
 text (whole, by block and by line) and quoted text (by block and by line) are normalised and hashed.
 Units of any length count, only empty ones are left out. A quoted hash points to the latest earlier
 message of the conversation whose own text has it: an as-of lookup inside each (conversation, hash),
-so repeated lines don't multiply. A message's parent is the one its lowest quote level points to with
-most characters, ties to the later turn. Chains of parents are followed by pointer doubling. Messages come back without quotations, ordered so that each thread
-stands together behind its first message: by the thread's first turn, then by turn.
+so repeated lines don't multiply. It looks within a block of turns, then to the last of all earlier
+blocks, so that no task holds a line that every message of a huge conversation has. A message's
+parent is the one its lowest quote level points to with most characters, ties to the later turn.
+Chains of parents are followed by pointer doubling. Messages come back without quotations, ordered so
+that each thread stands together behind its first message: by the thread's first turn, then by turn.
 
 Defined cases: a message without a resolvable quotation begins a thread of its own; attribution
 lines ("... wrote:") just before a quotation go with it; null texts are empty; rows with a null
@@ -72,8 +74,15 @@ def parents(rows: DataFrame, least: int) -> DataFrame:
     units = there.select("conv_id", "turn", "row_id", F.explode(F.array_distinct(F.concat(whole, by_block, by_line))).alias("u")).where(F.length("u.text") >= least)
     keyed = units.select("conv_id", "turn", "row_id", F.col("u.level").alias("level"), F.length("u.text").alias("size"), F.xxhash64("u.text").alias("h1"), F.crc32(F.col("u.text").cast("binary")).alias("h2"))
     asked = F.when(F.col("level") > 0, 0).otherwise(1)  # at the same turn, quotations come before originals
-    earlier = W.partitionBy("conv_id", "h1", "h2").orderBy("turn", asked).rowsBetween(W.unboundedPreceding, 0)
-    found = keyed.withColumn("origin", F.last(F.when(F.col("level") == 0, F.col("turn")), ignorenulls=True).over(earlier)).where("level > 0 and origin < turn")
+    said = F.when(F.col("level") == 0, F.col("turn"))
+    unit_key = ["conv_id", "h1", "h2"]
+    keyed = keyed.withColumn("block", F.floor(F.col("turn") / PLACES))
+    in_block = W.partitionBy(*unit_key, "block").orderBy("turn", asked).rowsBetween(W.unboundedPreceding, 0)
+    quoted = keyed.withColumn("near", F.last(said, ignorenulls=True).over(in_block)).where("level > 0")
+    blocks = keyed.groupBy(*unit_key, "block").agg(F.max(said).alias("last"))
+    before = F.max("last").over(W.partitionBy(*unit_key).orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    far = blocks.select(*unit_key, "block", before.alias("far")).where("far is not null")
+    found = quoted.join(far, [*unit_key, "block"], "left").withColumn("origin", F.coalesce("near", "far")).where("origin < turn")
     votes = found.groupBy("row_id", "conv_id", "turn", "level", "origin").agg(F.sum("size").alias("size"))
     best = F.min(F.struct("level", (-F.col("size")).alias("size"), (-F.col("origin")).alias("origin")))
     return votes.groupBy("row_id", "conv_id", "turn").agg(best.alias("best")).select("row_id", "conv_id", "turn", (-F.col("best.origin")).alias("parent_turn"))

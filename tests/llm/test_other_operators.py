@@ -197,3 +197,20 @@ def test_reply_order_in_one_huge_thread(spark, monkeypatch):
     rows = [(9, i, "r", "> Start\nreply" if i else "Start") for i in range(200)] + [(9, 300, "x", "Other"), (9, 301, "y", "> Other\nok")]
     got = quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert [r.turn for r in sorted(got, key=lambda r: r.reply_order)] == [*range(200), 300, 301] and {r.reply_order for r in got} == set(range(1, 203))
+
+
+@pytest.mark.parametrize("places", [4, 1024])
+def test_lines_of_every_message_are_looked_up_in_blocks(spark, monkeypatch, places):
+    monkeypatch.setattr(quotes, "PLACES", places)
+    rng = random.Random(12)
+    rows, want = [], {}
+    for conv in range(3):
+        said = {}  # line -> latest turn that says it
+        for turn in sorted(rng.sample(range(-60, 400), 120)):
+            own = ["Me too.", *rng.sample([f"Line {i}" for i in range(30)], 2)]
+            asked = rng.choice(["Me too."] * 2 + [f"Line {i}" for i in range(34)])
+            rows.append((conv, turn, "u", "\n".join([f"> {asked}", *own])))
+            want[conv, turn] = said.get(asked)
+            said |= dict.fromkeys(own, turn)
+    frame = spark.createDataFrame([*rows, *rows[50:60]], "conv_id long, turn long, role string, text string")
+    assert {(r.conv_id, r.turn): r.parent_turn for r in quotes.link_quotations(frame).collect()} == want
