@@ -1,5 +1,7 @@
 import itertools
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -140,3 +142,69 @@ def test_language_model_is_a_distribution():
     counts = np.random.default_rng(2).integers(0, 5, toxicity.CELLS).astype(float)
     p = np.exp(toxicity.log_model(counts).astype(float)).reshape(-1, 32)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+
+
+def plain_log_odds(rows, words_of):
+    """key -> weight, from (text, label) rows."""
+    seen, sizes = {0: Counter(), 1: Counter()}, Counter(label for _, label in rows)
+    for text, label in rows:
+        seen[label].update({k for w in words_of(text) for k in toxicity.keys_of(w)})
+    out = {}
+    for key, t in seen[1].items():
+        c = seen[0][key]
+        odds = math.log((t + 0.5) / (c + 0.5)) - math.log((sizes[1] + 1) / (sizes[0] + 1))
+        bound = odds - 1.3 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if t >= 2 and bound > 0.7:
+            out[key] = bound
+    return out
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    docs, labels = corpus(spark, 200)
+    extra = [(1000 + i, f"River {w} stone\tgarden", None) for i, w in enumerate(["zw0rp", "g.r.a.l.k", "z w o r p", "Ünïcode жук", "a!", "gralk"])]
+    copies = [(2000 + r.doc_id, r.text, None) for r in docs.where("doc_id < 40").collect()]  # labelled copies count once
+    docs = docs.unionByName(spark.createDataFrame(extra + copies, DOCS))
+    labels = labels.unionByName(labels.where("doc_id < 40").selectExpr("doc_id + 2000 as doc_id", "quality", "toxic"))
+    all_docs = [(r.doc_id, r.text) for r in docs.collect()]
+
+    grams = Counter()
+    for _, text in all_docs:
+        if text:
+            symbols = [toxicity.BLANK] * 3 + [toxicity.fold(ch) for ch in text] + [toxicity.BLANK]
+            grams.update(tuple(symbols[i : i + toxicity.ORDER]) for i in range(len(symbols) - toxicity.ORDER + 1))
+    counts = np.zeros((1 << toxicity.BITS,) * toxicity.ORDER)
+    for gram, n in grams.items():
+        counts[gram] = n
+    assert np.array_equal(toxicity.count_grams(docs)[np.flatnonzero(counts.ravel())], counts.ravel()[counts.ravel() > 0])
+
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    first = {}
+    for doc_id, text in all_docs:
+        if doc_id in toxic and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            key = (text, toxic[doc_id])
+            first[key] = min(first.get(key, doc_id), doc_id)
+    part = {True: [], False: []}
+    for (text, label), doc_id in first.items():
+        part[zlib.crc32(str(doc_id).encode()) % 4 == 3].append((text, label))
+
+    log_p = toxicity.log_model(counts.ravel())
+    words_of = toxicity.Restorer(log_p).words
+    lexicon = plain_log_odds(part[False], words_of)
+    model = toxicity.Model(docs, labels, 40_000)
+    assert np.allclose(model.grams.value, log_p)
+    assert model.lexicon.value == pytest.approx(lexicon) and "zworp" in lexicon and "river" not in lexicon
+
+    def weigh(text):
+        words = words_of(text)
+        best = sorted((max(lexicon.get(k, 0.0) for k in toxicity.keys_of(w)) for w in words), reverse=True) + [0.0, 0.0]
+        strong = len([w for w in best if w > 2.5])
+        return [best[0], best[1], math.log(1 + strong), strong / math.sqrt(10 + len(words)), 1.0]
+
+    x = np.array([weigh(text) for text, _ in part[True]])
+    y = np.array([label for _, label in part[True]])
+    slope = x.T @ (1 / (1 + np.exp(-x @ model.weights)) - y) + 0.05 * model.weights
+    assert np.abs(slope).max() < 1e-6  # the only minimum of a strictly convex loss
+    want = sorted((str(d), 1 / (1 + math.exp(-float(np.array(weigh(t)) @ model.weights)))) for d, t in all_docs)
+    got = sorted((str(r.doc_id), r.score) for r in toxicity.score_toxicity(docs, labels).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-6)

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from setlight.llm import toxicity
+from setlight.llm import mixing, toxicity
 from setlight.llm.common import cut
 from tests.llm.test_text_operators import LONG, plain_components, plain_line_dedup
 
@@ -75,3 +75,21 @@ def test_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
         assert docs.count() == 0
+
+
+def test_pipeline_keeps_what_was_planted_clean_in_reading_order(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    item = write(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    toxic = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 1").collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    clean = [(d, r.text) for d, r in rows.items() if d not in toxic]
+    lines = {d: t for d, _, _, t in plain_line_dedup(clean)}
+    heads = {str(c) for _, _, c in plain_components([(None if d == "None" else int(d), t) for d, t in lines.items()])} | {"None"}
+    kept = [d for d in lines if d in heads and item not in lines[d]]
+    left = [(rows[None if d == "None" else int(d)], lines[d]) for d in kept]
+    frame = spark.createDataFrame([(r.doc_id, r.text and t, r.lang, r.source, len(t)) for r, t in left], docs.schema)  # null texts stay null
+    places = [c for c in mixing.mix(frame).columns if c not in docs.columns]
+    listed = lambda out: sorted(map(str, out.select("doc_id", "source", *places).collect()))
+    assert len(places) >= 3
+    assert listed(corpus_pipeline.run(spark, folder)) == listed(mixing.mix(frame))
