@@ -90,3 +90,21 @@ def test_long_chains_of_claims_take_few_rounds(spark):
 def test_fair_plan_takes_turns(spark):
     tasks = spark.createDataFrame([(1, "m", 0, 1, 0), (1, "r", 0, 2, 0), (2, "m", 0, 9, 0)], "band_id long, kind string, priority long, due long, activity long")
     assert [(r.band_id, r.kind) for r in P.fair_pick(tasks, 3).orderBy("place").collect()] == [(1, "m"), (2, "m"), (1, "r")]
+
+
+def test_listens_meet_by_evidence_not_by_time_alone(spark):
+    rng = random.Random(3)
+    pick = lambda *xs: rng.choice([None, *xs])
+    rows = [(i, rng.randrange(40_000), pick(1, 2), pick("A", " a", "B"), pick("R", "S"), pick(30_000, 31_000, 40_000), pick("x", "y"), pick("r1", "r2", "r3"), pick("s1", "s2")) for i in range(120)]
+    listens = spark.createDataFrame(rows, "ord long, ms long, band_id long, recording_title string, release_title string, duration_ms long, source string, recording_id string, track_id string")
+    plain = D.candidate_pairs(listens, 1000).withColumn("tier", D.evidence()).where("tier is not null").select(F.least("l_ord", "r_ord"), F.greatest("l_ord", "r_ord"), "tier", F.col("tier") <= 3)
+    found = D.candidates(listens, 1000)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
+    assert "mark" in next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_of_equal_pairs_one_is_taken(spark):
+    pairs = spark.createDataFrame([(1, 2, 2, True), (1, 2, 2, True), (7, 7, 3, True)], "a long, b long, tier long, automatic boolean")
+    assigned = D.assign_one_to_one(pairs)
+    assert sorted((r.a, r.b, r.outcome) for r in assigned.collect()) == [(1, 2, "automatic"), (1, 2, "rejected"), (7, 7, "automatic")]
+    assert sorted((r.ord, r.canonical, r.duplicate_of or 0) for r in D.canonical_rows(assigned).collect()) == [(1, 1, 0), (2, 1, 1), (7, 7, 0), (7, 7, 7)]
