@@ -439,7 +439,7 @@ def trailing(spark, d):
 
 @query("x30_remaining_budget", f"select band_id, cast(sum(n) as bigint) as reserved, greatest(0, 40 - sum(n))::bigint as remaining from (select band_id, ms, ord % 25 as n from listens) where ms > {NOW_MS} - {DAYS} and ms <= {NOW_MS} group by band_id")
 def budget(spark, d):
-    rows = listens(spark, d).selectExpr("band_id", "ms as at_ms", "ord % 25 as n")
+    rows = listens(spark, d).where(F.col("ms") <= NOW_MS).selectExpr("band_id", "ms as at_ms", "ord % 25 as n")  # as in the SQL; the operator refuses later ones
     return P.remaining_budget(rows, "band_id", NOW_MS, 40)
 
 

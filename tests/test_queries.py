@@ -33,3 +33,24 @@ def test_entry_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def changed_copy(con, tmp_path, table, sql):
+    """The small folder with one table made anew, and a connection to it."""
+    import os
+
+    for name in os.listdir(FOLDER):
+        if name != f"{table}.parquet":
+            os.symlink(f"{FOLDER}/{name}", tmp_path / name)
+    con.execute(f"copy ({sql}) to '{tmp_path}/{table}.parquet' (format parquet)")
+    return str(tmp_path), connect(str(tmp_path))
+
+
+def same_as_sql(spark, folder, con, name):
+    found = rows(catalog.QUERIES[name](spark, folder).toPandas())
+    assert found and found == rows(con.execute(catalog.ORACLES[name]).df())
+
+
+def test_listens_after_now_are_no_reservations(spark, con, tmp_path):
+    folder, other = changed_copy(con, tmp_path, "events", "select * replace (case when event_id % 9 = 0 then ts + interval 2 hour else ts end as ts) from events")
+    same_as_sql(spark, folder, other, "x30_remaining_budget")
