@@ -3,7 +3,8 @@
 The archive is a table by month. A view holds, for each day and band, the number and duration of canonical
 listens, as signed contributions in one folder for each batch. A batch adds new listens and takes back what
 it changes: listens that are now declared duplicates go, and a representative that takes fields from
-its duplicates (D10) is taken back as it was and added as it is. Only the months of changed rows are read.
+its duplicates (D10) is taken back as it was and added as it is. Only the months of changed rows are read;
+which they are, the ids of the archive tell.
 Batches are numbered and overwrite their own folders, so one that failed can be run again. Every few
 batches the contributions become one base.
 """
@@ -37,8 +38,7 @@ def added_up(parts: DataFrame) -> DataFrame:
 
 def canonical_of(listens: DataFrame, declared: DataFrame) -> DataFrame:
     """The listens that are no duplicates, with the fields they take from theirs, and their bands."""
-    canonical = canonicalize(listens, declared)
-    return canonical.join(listens.select("ord", "band_id"), "ord")
+    return canonicalize(listens, declared, "band_id")
 
 
 class MaintainedSums:
@@ -58,17 +58,17 @@ class MaintainedSums:
     def apply(self, batch: int, listens: DataFrame, declared: DataFrame) -> None:
         """Take new listens and newly declared duplicates (ord, duplicate_of, ms), the ms being the duplicate's.
 
-        A duplicate and its representative lie in the same or in neighbouring months. ``ord`` is unique.
+        A duplicate and its representative may lie in any months: which ones is looked up by their ids.
         """
         new, declared = scratch(listens.select(*_names(LISTEN)), "new-listens"), scratch(declared.select(*_names(DECLARED)), "declared")
-        touched = [r[0] for r in declared.select(F.explode(F.array(*[month(F.col("ms") + k * 86_400_000) for k in (-1, 0, 1)]))).distinct().collect()]  # months, of which there are few
         # The rows whose contribution may change: new ones, declared ones and their representatives.
         before = self._numbered("declared", DECLARED, batch)
-        known = self._numbered("listens", LISTEN, batch, touched).select(*_names(LISTEN))
         changed = scratch(declared.select(F.col("ord").alias("k")).unionByName(declared.select(F.col("duplicate_of").alias("k"))).distinct(), "changed")
         family = before.join(changed, before.duplicate_of == changed.k, "left_semi")
-        old_rows = known.join(changed.unionByName(family.select(F.col("ord").alias("k"))).distinct(), F.col("ord") == F.col("k"), "left_semi")
-        old_rows = scratch(old_rows, "changed-before")
+        wanted = scratch(changed.unionByName(family.select(F.col("ord").alias("k"))).distinct(), "wanted")
+        touched = [r[0] for r in self._numbered("listens", LISTEN, batch).join(wanted, F.col("ord") == F.col("k"), "left_semi").select("month").distinct().collect()]  # months, of which there are few
+        known = self._numbered("listens", LISTEN, batch, touched).select(*_names(LISTEN))
+        old_rows = scratch(known.join(wanted, F.col("ord") == F.col("k"), "left_semi"), "changed-before")
         was = canonical_of(old_rows, before).join(changed, F.col("ord") == F.col("k"), "left_semi")
         now = canonical_of(old_rows.unionByName(new), family.unionByName(declared).select("ord", "duplicate_of"))
         already = old_rows.join(before.select(F.col("ord").alias("o")), F.col("ord") == F.col("o"), "left_semi").select("ord")

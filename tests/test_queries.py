@@ -54,3 +54,9 @@ def same_as_sql(spark, folder, con, name):
 def test_listens_after_now_are_no_reservations(spark, con, tmp_path):
     folder, other = changed_copy(con, tmp_path, "events", "select * replace (case when event_id % 9 = 0 then ts + interval 2 hour else ts end as ts) from events")
     same_as_sql(spark, folder, other, "x30_remaining_budget")
+
+
+@pytest.mark.parametrize("name", ["a9_maintained_days", "a2_a20_maintained_activity"])
+def test_duplicates_far_from_their_originals(spark, con, tmp_path, name):
+    folder, other = changed_copy(con, tmp_path, "events", "select e.* replace (event_id + c * 1000000 as event_id, ts + c * interval 5 day as ts) from events e, (select unnest(range(0, 12)) as c) where event_id % 8 > 0")
+    same_as_sql(spark, folder, other, name)
