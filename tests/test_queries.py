@@ -60,3 +60,8 @@ def test_listens_after_now_are_no_reservations(spark, con, tmp_path):
 def test_duplicates_far_from_their_originals(spark, con, tmp_path, name):
     folder, other = changed_copy(con, tmp_path, "events", "select e.* replace (event_id + c * 1000000 as event_id, ts + c * interval 5 day as ts) from events e, (select unnest(range(0, 12)) as c) where event_id % 8 > 0")
     same_as_sql(spark, folder, other, name)
+
+
+def test_titles_cut_inside_a_reference(spark, con, tmp_path):
+    folder, other = changed_copy(con, tmp_path, "pages", "select * replace (replace(html, '</title>', ' &amp; x&amp</title>') as html) from pages")
+    same_as_sql(spark, folder, other, "s21_homepage_titles")
