@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from setlight.functions.text import norm_title
+from setlight.operators.rounds import scratch
 
 WINDOW_DAYS, MOST_SETS, LEAST_SETS = 730, 20, 3
 
@@ -109,12 +110,28 @@ def prediction_summary(sets: DataFrame, songs: DataFrame, today: str) -> DataFra
 
 #: Words in a track's or album's name that make it unfit for a prediction.
 UNFIT = r"\b(karaoke|tribute|cover)\b"
+#: Pairs of songs and tracks that a task finds.
+PAIRS_A_TASK = 2_000_000
 
 
 def fitting_tracks(tracks: DataFrame, songs: DataFrame, decompose: bool = True) -> DataFrame:
-    """Tracks (track_id, artist_id, title, album) for predicted songs (song_id, artist_id, name): same artist and normalised title, nothing unfit."""
+    """Tracks (track_id, artist_id, title, album) for predicted songs (song_id, artist_id, name): same artist and normalised title, nothing unfit.
+
+    There are as many tasks as the pairs need, and a title with very many pairs is split among tasks by its tracks.
+    """
     known = tracks.where(~F.lower(F.concat_ws(" ", "title", "album")).rlike(UNFIT)).select("track_id", "artist_id", norm_title(F.col("title"), decompose).alias("wanted"))
-    return songs.select("song_id", "artist_id", norm_title(F.col("name"), decompose).alias("wanted")).join(known, ["artist_id", "wanted"]).select("song_id", "track_id")
+    asked = songs.select("song_id", "artist_id", norm_title(F.col("name"), decompose).alias("wanted"))
+    keys = ["artist_id", "wanted"]
+    sizes = asked.groupBy(*keys).agg(F.count("*").alias("n")).join(known.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    sizes = scratch(sizes.select(*keys, (F.col("n") * F.col("m")).alias("pairs"), F.ceil(F.col("n") * F.col("m") / PAIRS_A_TASK).alias("parts")), "title-sizes")
+    n = -(-(sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS_A_TASK)
+    if n <= 1:
+        return asked.join(known, keys).select("song_id", "track_id")
+    parts = sizes.select(*keys, "parts")
+    left = asked.join(parts, keys).select("song_id", *keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    right = known.join(parts, keys).select("track_id", *keys, F.pmod(F.xxhash64("track_id"), "parts").alias("part"))
+    keys = [*keys, "part"]
+    return left.repartition(n, *keys).join(right.repartition(n, *keys), keys).select("song_id", "track_id")
 
 
 def insights(sets: DataFrame, songs: DataFrame, compare: int = 50, least_prior: int = 20, rare: float = 0.05, least_tour: int = 3, gap_years: int = 2, most: int = 2) -> DataFrame:

@@ -65,3 +65,12 @@ def test_duplicates_far_from_their_originals(spark, con, tmp_path, name):
 def test_titles_cut_inside_a_reference(spark, con, tmp_path):
     folder, other = changed_copy(con, tmp_path, "pages", "select * replace (replace(html, '</title>', ' &amp; x&amp</title>') as html) from pages")
     same_as_sql(spark, folder, other, "s21_homepage_titles")
+
+
+def test_titles_of_many_tracks_are_split(spark, con, tmp_path, monkeypatch):
+    from setlight.operators import setlists
+
+    monkeypatch.setattr(setlists, "PAIRS_A_TASK", 50)
+    folder, other = changed_copy(con, tmp_path, "part", "select p.* replace (p_partkey + c * 2000 as p_partkey) from part p, (select unnest(range(0, 12)) as c)")
+    same_as_sql(spark, folder, other, "x23_fitting_tracks")
+    assert catalog.QUERIES["x23_fitting_tracks"](spark, folder).rdd.getNumPartitions() > 4
