@@ -258,3 +258,15 @@ def test_pairs_and_names_sort_as_readers_expect(spark):
     outcome = {(r.a, r.b): r.outcome for r in assign_one_to_one(pairs, by_pair_key=True).collect()}
     assert outcome == {("f1", "é2"): "automatic", ("f1", "x"): "rejected", ("x", "é1"): "automatic"}
     assert [r.outcome for r in assign_one_to_one(pairs).where("a = 'f1'").orderBy("b").collect()] == ["automatic", "rejected"]
+
+
+def test_marks_go_without_python_texts(spark):
+    from setlight.functions.text import without_marks
+
+    rows = spark.createDataFrame([("Ångström é ﬁ",), ("plain",), (None,), ("ñ̈q ² 한",)], "x string")
+    import unicodedata
+
+    strip = lambda v: v and "".join(c for c in unicodedata.normalize("NFKD", v) if not "̀" <= c <= "ͯ")
+    got = rows.select("x", without_marks("x").alias("y"))
+    assert [r.y for r in got.collect()] == [strip(r.x) for r in rows.collect()]
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and without_marks.evalType == 250
