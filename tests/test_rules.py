@@ -270,3 +270,20 @@ def test_marks_go_without_python_texts(spark):
     got = rows.select("x", without_marks("x").alias("y"))
     assert [r.y for r in got.collect()] == [strip(r.x) for r in rows.collect()]
     assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString() and without_marks.evalType == 250
+
+
+def test_many_shows_of_a_day_are_met_by_place(monkeypatch):
+    from setlight.operators import linking
+
+    met = []
+    monkeypatch.setattr(linking, "_same_venue", lambda a, b, real=linking._same_venue: met.append(a) or real(a, b))
+    row = {"n_city": "c", "n_country": "", "n_venue": "forum", "n_address": "", "url": "", "event_id": "", "ticketmaster": True}
+    records = linking._Records()
+    for i in range(500):
+        records.add({**row, "id": f"s{i}"})
+    records.add({**row, "id": "other", "n_venue": "parken"})
+    found, how = records.match({**row, "id": "c1", "n_venue": "forum hall"}, False)
+    assert len(found) > 1 and how == "same_show" and len(met) <= 2
+    other = next(iter(next(iter(records.by_place["c"]["parken"].values())).values()))
+    records.patch(other, {"n_venue": "forum"})
+    assert records.match({**row, "id": "c2", "n_venue": "parken"}, False)[0] == [] and records.twin({**row, "id": "c3"})
