@@ -108,3 +108,13 @@ def test_of_equal_pairs_one_is_taken(spark):
     assigned = D.assign_one_to_one(pairs)
     assert sorted((r.a, r.b, r.outcome) for r in assigned.collect()) == [(1, 2, "automatic"), (1, 2, "rejected"), (7, 7, "automatic")]
     assert sorted((r.ord, r.canonical, r.duplicate_of or 0) for r in D.canonical_rows(assigned).collect()) == [(1, 1, 0), (2, 1, 1), (7, 7, 0), (7, 7, 7)]
+
+
+def test_dense_claims_are_passed_over_by_components(spark, monkeypatch):
+    from setlight.operators import rounds
+
+    rows = spark.createDataFrame([(100 * i + j, 100 * i + j, [f"a{i}", f"b{j}"]) for i in range(12) for j in range(12)], "k long, o long, t array<string>")
+    split = []
+    monkeypatch.setattr(rounds, "_small_components", lambda left, real=rounds._small_components: split.append(left.count()) or real(left))
+    assert sorted(r.k for r in first_come(rows, "k", "o", "t").collect()) == [101 * i for i in range(12)]
+    assert split == [288]
