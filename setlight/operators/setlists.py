@@ -134,31 +134,39 @@ def fitting_tracks(tracks: DataFrame, songs: DataFrame, decompose: bool = True)
     return left.repartition(n, *keys).join(right.repartition(n, *keys), keys).select("song_id", "track_id")
 
 
+#: Sets and plays that a task of ``insights`` holds.
+PLAYS_A_TASK = 250_000
+
+
 def insights(sets: DataFrame, songs: DataFrame, compare: int = 50, least_prior: int = 20, rare: float = 0.05, least_tour: int = 3, gap_years: int = 2, most: int = 2) -> DataFrame:
     """For each set up to two remarkable songs against the band's earlier sets: long gap, tour debut, rare.
 
     Everything is counted by windows over each band's sets and each song's plays, so no set meets another.
+    There are as many tasks as the sets and plays need, so a task's memory does not grow with the tables.
     """
-    own = own_songs(sets.where("d is not null"), songs)
-    useful = sets.join(own.select("setlist").distinct(), "setlist", "left_semi").withColumn("day", F.unix_date("d"))
+    heard = scratch(songs.where("not is_cover and name is not null and name <> ''").select("setlist", F.lower("name").alias("song")), "plays")
+    dated = sets.where("d is not null")
+    n = max(sets.sparkSession.sparkContext.defaultParallelism, -(-(heard.count() + dated.count()) // PLAYS_A_TASK))
+    dealt = lambda rows, *keys: rows.repartition(n, *keys)
+    useful = dealt(dealt(dated, "setlist").join(dealt(heard.select("setlist"), "setlist"), "setlist", "left_semi"), "band_id").withColumn("day", F.unix_date("d"))
     before = lambda *keys: W.partitionBy(*keys).orderBy("day").rangeBetween(W.unboundedPreceding, -1)
     on_tour = lambda *keys: F.when(F.col("tour").isNotNull(), F.count("*").over(before(*keys, "tour"))).otherwise(0)
     order = F.row_number().over(W.partitionBy("band_id").orderBy("day", F.desc("setlist")))
     placed = useful.select("setlist", "band_id", "d", "day", "tour", order.alias("nth"), F.count("*").over(before("band_id")).alias("n_all"), on_tour("band_id").alias("n_tour"))
-    plays = own.select("setlist", "song").distinct().join(placed, "setlist")
+    plays = dealt(dealt(heard, "setlist").distinct().join(dealt(placed, "setlist"), "setlist"), "band_id", "song")
     counted = plays.withColumns({"in_all": F.count("*").over(before("band_id", "song")), "last_d": F.max("d").over(before("band_id", "song")), "in_tour": on_tour("band_id", "song")})
     # a set asks at the place behind its n_all earlier sets; plays of the last ``compare`` of them lie in reach
-    asked = plays.select("band_id", "song", (2 * F.col("n_all") + 1).alias("place"), F.lit(0).alias("one"), "setlist")
-    marks = plays.select("band_id", "song", (2 * F.col("nth")).cast("long").alias("place"), F.lit(1).alias("one"), F.lit(None).cast(plays.schema["setlist"].dataType).alias("setlist")).unionByName(asked)
-    lately = marks.withColumn("in_prior", F.sum("one").over(W.partitionBy("band_id", "song").orderBy("place").rangeBetween(-2 * compare, 0))).where("one = 0").select("setlist", "song", "in_prior")
-    full = counted.where("n_all > 0").join(lately, ["setlist", "song"]).withColumn("n_prior", F.least("n_all", F.lit(compare)))
+    mark = lambda place, one: F.struct(place.cast("long").alias("place"), F.lit(one).alias("one"))
+    marks = counted.withColumn("m", F.explode(F.array(mark(2 * F.col("nth"), 1), mark(2 * F.col("n_all") + 1, 0)))).select("*", "m.place", "m.one").drop("m")
+    lately = F.sum("one").over(W.partitionBy("band_id", "song").orderBy("place").rangeBetween(-2 * compare, 0))
+    full = marks.withColumn("in_prior", lately).where("one = 0 and n_all > 0").withColumn("n_prior", F.least("n_all", F.lit(compare)))
     years = F.floor(F.datediff("d", "last_d") / 365.25)
     kinds = F.array(
         F.when((F.col("in_all") > 0) & (years >= gap_years), F.struct(F.lit(1).alias("priority"), (-years).cast("double").alias("score"), F.lit("long_gap").alias("kind"))),
         F.when((F.col("n_tour") >= least_tour) & (F.col("in_tour") == 0), F.struct(F.lit(2).alias("priority"), (-F.col("n_tour")).cast("double").alias("score"), F.lit("tour_debut").alias("kind"))),
         F.when((F.col("n_prior") >= least_prior) & (F.col("in_prior") / F.col("n_prior") <= rare), F.struct(F.lit(3).alias("priority"), (F.col("in_prior") / F.col("n_prior")).alias("score"), F.lit("rare").alias("kind"))),
     )
-    best = full.withColumn("x", F.array_min(F.array_compact(kinds))).where("x is not null")
+    best = dealt(full.select("setlist", "song", F.array_min(F.array_compact(kinds)).alias("x")).where("x is not null"), "setlist")
     rank = F.row_number().over(W.partitionBy("setlist").orderBy("x.priority", "x.score", "song"))
     return best.withColumn("rn", rank).where(F.col("rn") <= most).select("setlist", "song", F.col("x.kind").alias("kind"), F.col("rn").cast("long").alias("rank"))
 

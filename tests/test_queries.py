@@ -74,3 +74,16 @@ def test_titles_of_many_tracks_are_split(spark, con, tmp_path, monkeypatch):
     folder, other = changed_copy(con, tmp_path, "part", "select p.* replace (p_partkey + c * 2000 as p_partkey) from part p, (select unnest(range(0, 12)) as c)")
     same_as_sql(spark, folder, other, "x23_fitting_tracks")
     assert catalog.QUERIES["x23_fitting_tracks"](spark, folder).rdd.getNumPartitions() > 4
+
+
+def test_insights_are_dealt_by_their_plays(spark, con, tmp_path, monkeypatch):
+    from setlight.operators import setlists
+    from setlight.sources import standins
+
+    monkeypatch.setattr(setlists, "PLAYS_A_TASK", 500, raising=False)
+    monkeypatch.setattr(standins, "LINES_A_TASK", 500, raising=False)
+    # few bands with many sets of a day, so that places among a day's sets decide what lies in reach
+    folder, other = changed_copy(con, tmp_path, "orders", "select * replace (o_custkey % 30 as o_custkey, date_trunc('quarter', o_orderdate) as o_orderdate) from orders")
+    same_as_sql(spark, folder, other, "p3_p4_insights")
+    assert catalog.QUERIES["p3_p4_insights"](spark, folder).rdd.getNumPartitions() > 4
+    assert standins.songs(spark, folder).select("setlist", "name").rdd.getNumPartitions() > 4
