@@ -87,3 +87,13 @@ def test_insights_are_dealt_by_their_plays(spark, con, tmp_path, monkeypatch):
     same_as_sql(spark, folder, other, "p3_p4_insights")
     assert catalog.QUERIES["p3_p4_insights"](spark, folder).rdd.getNumPartitions() > 4
     assert standins.songs(spark, folder).select("setlist", "name").rdd.getNumPartitions() > 4
+
+
+@pytest.mark.parametrize("name", ["d2_candidate_pairs"])
+def test_pairs_of_a_time_are_split(spark, con, tmp_path, monkeypatch, name):
+    from setlight.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "PAIRS_A_TASK", 2000, raising=False)
+    folder, other = changed_copy(con, tmp_path, "events", "select * replace (date_trunc('day', ts) + (event_id % 700) * interval 1 second as ts) from events")
+    same_as_sql(spark, folder, other, name)
+    assert catalog.QUERIES[name](spark, folder).rdd.getNumPartitions() > 4
