@@ -89,7 +89,7 @@ def test_insights_are_dealt_by_their_plays(spark, con, tmp_path, monkeypatch):
     assert standins.songs(spark, folder).select("setlist", "name").rdd.getNumPartitions() > 4
 
 
-@pytest.mark.parametrize("name", ["d2_candidate_pairs"])
+@pytest.mark.parametrize("name", ["d2_candidate_pairs", "d13_page_pairs"])
 def test_pairs_of_a_time_are_split(spark, con, tmp_path, monkeypatch, name):
     from setlight.operators import dedupe
 
