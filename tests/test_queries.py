@@ -97,3 +97,18 @@ def test_pairs_of_a_time_are_split(spark, con, tmp_path, monkeypatch, name):
     folder, other = changed_copy(con, tmp_path, "events", "select * replace (date_trunc('day', ts) + (event_id % 700) * interval 1 second as ts) from events")
     same_as_sql(spark, folder, other, name)
     assert catalog.QUERIES[name](spark, folder).rdd.getNumPartitions() > 4
+
+
+def test_crowded_times_are_not_copied_to_every_task(spark, con, tmp_path, monkeypatch):
+    from setlight.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "PAIRS_A_TASK", 1000)
+    monkeypatch.setattr(dedupe, "CELL_ROWS", 20, raising=False)
+    # three seconds hold all listens, so a bucket has far more pairs than a task may look at
+    folder, other = changed_copy(con, tmp_path, "events", "select * replace (timestamp '2024-01-02 00:04:59' + (event_id % 3) * interval 1 second as ts) from events where event_id < 700")
+    found = catalog.QUERIES["d13_page_pairs"](spark, folder)
+    executor = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0)
+    before = executor().totalShuffleWrite()
+    got = rows(found.toPandas())
+    assert got and got == rows(other.execute(catalog.ORACLES["d13_page_pairs"]).df())
+    assert executor().totalShuffleWrite() - before < 2_000_000
