@@ -62,6 +62,13 @@ def test_duplicates_far_from_their_originals(spark, con, tmp_path, name):
     same_as_sql(spark, folder, other, name)
 
 
+@pytest.mark.parametrize("name", ["a9_maintained_days", "a2_a20_maintained_activity"])
+def test_values_of_ids_that_come_more_than_once(spark, con, tmp_path, name):
+    # ord + 1000000 is the id of another event as well, so an id has several durations until an earlier one comes with a later batch
+    folder, other = changed_copy(con, tmp_path, "events", "select * replace (event_id % 32 * 16 + event_id // 32 * 1000000 as event_id, case when event_id < 48 then 'error' else event_type end as event_type) from events")
+    same_as_sql(spark, folder, other, name)
+
+
 def test_titles_cut_inside_a_reference(spark, con, tmp_path):
     folder, other = changed_copy(con, tmp_path, "pages", "select * replace (replace(html, '</title>', ' &amp; x&amp</title>') as html) from pages")
     same_as_sql(spark, folder, other, "s21_homepage_titles")

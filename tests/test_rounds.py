@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from setlight.operators import dedupe as D
@@ -57,6 +58,13 @@ def test_canonical_rows_fill_from_duplicates(spark):
     assert D.broken_rows(canonical).count() == 0
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_of_values_of_one_id_the_smallest_is_taken(spark, last):
+    rows = [(1, 5, None, None, None), (2, 5, 300, "x", "t"), (2, 6, 200, "y", "s")]
+    listens = spark.createDataFrame(rows[::-1] if last else rows, "ord long, ms long, duration_ms long, recording_id string, track_id string").coalesce(1)
+    assert [tuple(r) for r in D.canonicalize(listens, spark.createDataFrame([(2, 1, 1)], "ord long, canonical long, duplicate_of long")).collect()] == [(1, 5, 200, "x", "s")]
+
+
 def test_shared_alias_links_to_no_band(spark):
     bands = spark.createDataFrame([(1, "A", ["x"]), (2, "B", ["x", "B"])], "band_id long, name string, aliases array<string>")
     assert {r.name: r.band_id for r in K.unique_names(bands).collect()} == {"A": 1, "B": 2}
