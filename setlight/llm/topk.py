@@ -33,6 +33,8 @@ from .common import cut, per_batch
 BLOCK_BYTES = 1 << 18
 #: Candidates whose scores give the queries' floors.
 SAMPLE = 1024
+#: Shares of the candidates, or four for each core where these are more. Each gets a copy of all queries.
+SHARES = 64
 WIDE = 1 << 20
 LONG = (1 << 63) - 1
 PACKED = "dim int, ids binary, vectors binary, pivots binary, floors binary"
@@ -71,7 +73,10 @@ def far_apart(x: np.ndarray, n: int) -> np.ndarray:
 
 def draw_sample(vectors: DataFrame, scale: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """dim -> (ids, vectors) of ``SAMPLE`` rows by hash order; a constant number of rows reaches the driver."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    at = F.xxhash64("id")
+    # a task sends its first hashes; only then the vectors that they stand for
+    last = vectors.select(at.alias("at")).orderBy("at").limit(SAMPLE).agg(F.max("at")).first()[0]
+    rows = vectors.where(at <= last).orderBy(at, "id").limit(SAMPLE).toArrow()
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in rows.combine_chunks().to_batches():
         for dim, ids, x in scaled(batch, scale):
@@ -158,11 +163,12 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     sample = draw_sample(vectors.where("id is not null and vector is not null"), scale)
     blocks = cut(pack(vectors, sample, pivots, scale, None).drop("floors"), "pivot-table")
     asked = pack(vectors.where(queries).dropDuplicates(["id", "vector"]), sample, pivots, scale, k)
-    shares = max(1, min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
+    shares = max(1, min(max(SHARES, 4 * spark.sparkContext.defaultParallelism), blocks.count()))
     # every query block meets every candidate block: candidates are dealt out, queries are copied to each share
     dealt = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
     copied = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("q_share"))
-    pairs = dealt.join(copied, (F.col("share") == F.col("q_share")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_vectors", "q_pivots", "ids", "vectors", "pivots", "q_floors")
+    # not broadcast: Spark knows the size of the queries, not how many copies there will be
+    pairs = dealt.join(copied.hint("merge"), (F.col("share") == F.col("q_share")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_vectors", "q_pivots", "ids", "vectors", "pivots", "q_floors")
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple[int, int, int]] = []

@@ -51,6 +51,17 @@ def test_topk_prunes_blocks_and_stays_exact(spark, monkeypatch):
     assert seen < 0.25 * 20 * 1200
 
 
+def test_topk_does_not_broadcast_copies_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 8 * 2)
+    monkeypatch.setattr(topk, "SAMPLE", 20)
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, rng.normal(0, 1, 8).tolist()) for i in range(200)], "id long, vector array<double>").repartition(8)
+    found = topk.top_k(frame, F.col("id") % 10 == 0)
+    assert len(found.collect()) == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_topk_of_wide_components(spark):
     rows = [(1, [1e6, 3.0]), (2, [1e6, 1.0]), (3, [-1e6, 2.0]), (4, [1e15, 1e15]), (100, [1e6, 2.5]), (200, [1e15, 1.0])]
     got = topk.top_k(spark.createDataFrame(rows, "id long, vector array<double>"), F.col("id") % 100 == 0).collect()
